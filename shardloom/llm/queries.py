@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from shardloom.llm.mixing import mix_sources
 from shardloom.llm.near_dedup import near_duplicates
+from shardloom.llm.sharding import assign_shards
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,17 +20,28 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = assign_shards(_table(spark, sf_dir, "documents"), shards=8)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op4_sharding": op4_sharding,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_near_dedup": r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
   FROM documents),
 s AS MATERIALIZED (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), i -> md5(array_to_string(ws[i:i + 4], ' ')))
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: md5(array_to_string(ws[i:i + 4], ' ')))
                                       WHEN len(ws) > 0 THEN [md5(array_to_string(ws, ' '))] ELSE [] END) AS h FROM w),
 n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY ALL),
@@ -35,5 +49,58 @@ e AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc
 r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) c ON c.x = d.doc_id
+""",
+    "op4_sharding": """
+WITH t AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (
+  SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 1 AS size, hex(encode(coalesce(text, ''))) AS h,
+         (CAST('0x' || substr(md5('11:' || doc_id), 1, 12) AS BIGINT)::DOUBLE + 0.5) / 281474976710656.0 AS u FROM documents),
+c AS (
+  SELECT *, CASE WHEN h = '' THEN 0 ELSE xor(list_reduce(
+    list_prepend(4294967295, list_transform(range(0, len(h), 2), lambda i: CAST('0x' || substr(h, i + 1, 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) END AS crc FROM d, t),
+f AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY u, doc_id) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY source) AS frac FROM c),
+p AS (SELECT *, row_number() OVER (ORDER BY frac, source NULLS LAST, u, doc_id) - 1 AS place, count(*) OVER () AS n FROM f)
+SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'rows' AS law, (place * 8 // n)::INTEGER AS shard,
+       (place - ((place * 8 // n) * n + 7) // 8)::BIGINT AS slot, NULL::INTEGER AS grown_shard
+FROM p
+""",
+    "op10_mixing": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size FROM documents),
+copies AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, size) AS copy FROM d),
+s0 AS (SELECT source, sum(size)::BIGINT AS ss, count(*) AS n FROM d GROUP BY source),
+s1 AS (SELECT *, [1.0, 2.0, 3.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM s0),
+fill AS (
+  SELECT 0 AS k, (SELECT sum(ss) FROM s1)::DOUBLE AS free, (SELECT sum(w) FROM s1) AS fw, -1.0::DOUBLE AS lim
+  UNION ALL
+  SELECT k + 1, (SELECT (SELECT sum(ss) FROM s1) - coalesce(sum(3 * ss) FILTER (WHERE free / fw * w > 3 * ss), 0) FROM s1)::DOUBLE,
+         (SELECT sum(w) - coalesce(sum(w) FILTER (WHERE free / fw * w > 3 * ss), 0) FROM s1), free / fw
+  FROM fill WHERE k < 200 AND fw > 0 AND lim < free / fw),
+level AS (SELECT free / fw AS l FROM fill WHERE fw > 0 ORDER BY k DESC LIMIT 1),
+s2 AS (SELECT *, least(l * w, 3.0 * ss) AS target FROM s1, level),
+s3 AS (SELECT *, CASE WHEN ss > 0 THEN floor(target / ss + 1e-12) ELSE 0 END AS whole FROM s2),
+s4 AS (SELECT *, greatest(0, target - whole * ss) AS rest, ceil(n / 4096.0) AS b FROM s3),
+s5 AS (SELECT *, CASE WHEN ss > 0 THEN least(1 - 1e-9, greatest(1e-9, rest / ss)) ELSE 1e-9 END AS chance FROM s4),
+r AS (
+  SELECT c.doc_id, c.source, c.size, c.copy, s.ss, s.target, s.whole, s.rest, s.b, s.chance,
+         (CAST('0x' || substr(md5('17:' || c.doc_id || ':' || c.copy || ':' || c.size), 1, 12) AS BIGINT)::DOUBLE + 0.5) / 281474976710656.0 AS u
+  FROM copies c JOIN s5 s ON c.source IS NOT DISTINCT FROM s.source),
+q AS (SELECT *, u / (1 - u) * (1 - chance) / chance AS q FROM r),
+bk AS (SELECT *, floor(q / (1 + q) * b) AS bucket FROM q),
+cm AS (SELECT source, bucket, sum(words) OVER (PARTITION BY source ORDER BY bucket) AS reach, words FROM (SELECT source, bucket, sum(size) AS words FROM bk GROUP BY ALL)),
+cut AS (SELECT c.source, min(bucket) AS cut, min(reach) - arg_min(words, bucket) AS before FROM cm c JOIN s5 s ON c.source IS NOT DISTINCT FROM s.source WHERE reach >= rest GROUP BY c.source),
+o AS MATERIALIZED (
+  SELECT bk.*, cut, before, row_number() OVER (PARTITION BY bk.source, bucket ORDER BY q, doc_id, copy) AS i
+  FROM bk JOIN cut ON bk.source IS NOT DISTINCT FROM cut.source),
+g AS (
+  SELECT source, 0 AS i, (rest - before)::DOUBLE AS room, false AS took FROM (SELECT DISTINCT source, rest, before FROM o)
+  UNION ALL
+  SELECT g.source, o.i, CASE WHEN o.size > 0 AND o.size <= g.room THEN g.room - o.size ELSE g.room END, o.size > 0 AND o.size <= g.room
+  FROM g JOIN o ON o.source IS NOT DISTINCT FROM g.source AND o.bucket = o.cut AND o.i = g.i + 1)
+SELECT o.doc_id, o.size, o.ss AS source_size, o.target,
+       ((o.whole + CASE WHEN o.size > 0 AND (o.bucket < o.cut OR o.bucket = o.cut AND g.took) THEN 1 ELSE 0 END) * o.size)::BIGINT AS taken
+FROM o LEFT JOIN g ON o.source IS NOT DISTINCT FROM g.source AND o.bucket = o.cut AND g.i = o.i
 """,
 }
