@@ -21,6 +21,13 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def tokenizer_file(name: str) -> str:
+    """The path of a public tokenizer's file, which every node has."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 class Scratch:
     """Parquet tables in the shared folder: they cut lineage and survive lost executors.
 
