@@ -13,6 +13,7 @@ from shardloom.llm.near_dedup import near_duplicates
 from shardloom.llm.packing import pack_documents
 from shardloom.llm.sharding import assign_shards
 from shardloom.llm.token_tables import read_tables, write_tables
+from shardloom.llm.warc import read_captures, read_records, write_archive
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,13 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{Scratch(spark, 'warc').root}/archive"
+    write_archive(_table(spark, sf_dir, "pages"), path, least_bytes=0)
+    records = read_records(path, read_captures(spark, path))
+    return records.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = assign_shards(_table(spark, sf_dir, "documents"), shards=8)
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -45,6 +53,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op3_warc": op3_warc,
     "op4_sharding": op4_sharding,
     "op8_packing": op8_packing,
     "op9_token_tables": op9_token_tables,
@@ -65,6 +74,15 @@ e AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc
 r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) c ON c.x = d.doc_id
+""",
+    "op3_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, octet_length(encode(html))::BIGINT AS n, sha1(html) AS sha, max(page_id) OVER (PARTITION BY html) AS top FROM p),
+b AS (SELECT *, array_to_string(list_transform(range(40), lambda i: printf('%04b', CAST('0x' || substr(sha, i + 1, 1) AS INTEGER))), '') AS bits FROM h)
+SELECT page_id, n AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_reduce(list_transform(range(5), lambda j: CAST(substr(bits, i * 5 + j + 1, 1) AS INTEGER)), lambda x, y: 2 * x + y), 1)), '') AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+FROM b
 """,
     "op4_sharding": """
 WITH t AS MATERIALIZED (

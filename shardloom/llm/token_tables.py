@@ -182,7 +182,7 @@ def _write(folder: str, tokenizer: str, end_id: int):
             for doc_id, ids in zip(batch.column(0).to_pylist(), coder.batch(batch.column(1)), strict=True):
                 key = key_of(doc_id)
                 if writer is None:
-                    out = at.open_output_stream(f"{root}/_{name}")
+                    out = at.open_output_stream(f"{root}/_{name}", compression=None)
                     writer, first = TableWriter(out, width), key
                 writer.add(key, np.concatenate([ids, end]))
         if writer is not None:
