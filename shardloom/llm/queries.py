@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardloom.llm.common import Scratch, tokenizer_file
+from shardloom.llm.forest import near_duplicate_vectors, nearest_neighbours
 from shardloom.llm.mixing import mix_sources
 from shardloom.llm.near_dedup import near_duplicates
 from shardloom.llm.packing import pack_documents
@@ -24,6 +25,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"), queries=F.col("vec_id") % 50 == 0, k=5)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{Scratch(spark, 'warc').root}/archive"
     write_archive(_table(spark, sf_dir, "pages"), path, least_bytes=0)
@@ -36,6 +41,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_documents(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), window=2048, end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -53,8 +62,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_neighbours": op2_neighbours,
     "op3_warc": op3_warc,
     "op4_sharding": op4_sharding,
+    "op7_vector_dedup": op7_vector_dedup,
     "op8_packing": op8_packing,
     "op9_token_tables": op9_token_tables,
     "op10_mixing": op10_mixing,
@@ -99,6 +110,16 @@ p AS (SELECT *, row_number() OVER (ORDER BY frac, source NULLS LAST, u, doc_id)
 SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'rows' AS law, (place * 8 // n)::INTEGER AS shard,
        (place - ((place * 8 // n) * n + 7) // 8)::BIGINT AS slot, NULL::INTEGER AS grown_shard
 FROM p
+""",
+    "op7_vector_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, c.component_id = e.vec_id AS kept
+FROM embeddings e JOIN c ON c.x = e.vec_id LEFT JOIN (SELECT x, count(*) AS n FROM l GROUP BY x) n ON n.x = e.vec_id
 """,
     "op10_mixing": r"""
 WITH RECURSIVE d AS (
