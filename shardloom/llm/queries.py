@@ -12,7 +12,9 @@ from shardloom.llm.forest import near_duplicate_vectors, nearest_neighbours
 from shardloom.llm.mixing import mix_sources
 from shardloom.llm.near_dedup import near_duplicates
 from shardloom.llm.packing import pack_documents
+from shardloom.llm.quality import quality_scores
 from shardloom.llm.sharding import assign_shards
+from shardloom.llm.suffix_dedup import repeated_strings
 from shardloom.llm.token_tables import read_tables, write_tables
 from shardloom.llm.warc import read_captures, read_records, write_archive
 
@@ -41,6 +43,14 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_strings(_table(spark, sf_dir, "documents"), length=50)
+
+
 def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.95)
 
@@ -65,6 +75,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_neighbours": op2_neighbours,
     "op3_warc": op3_warc,
     "op4_sharding": op4_sharding,
+    "op5_quality": op5_quality,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_vector_dedup": op7_vector_dedup,
     "op8_packing": op8_packing,
     "op9_token_tables": op9_token_tables,
@@ -110,6 +122,20 @@ p AS (SELECT *, row_number() OVER (ORDER BY frac, source NULLS LAST, u, doc_id)
 SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'rows' AS law, (place * 8 // n)::INTEGER AS shard,
        (place - ((place * 8 // n) * n + 7) // 8)::BIGINT AS slot, NULL::INTEGER AS grown_shard
 FROM p
+""",
+    "op6_suffix_dedup": """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS MATERIALIZED (SELECT doc_id, s, md5_number(substr(x, 2 * s + 1, 100)) AS k FROM (SELECT doc_id, x, unnest(range(n - 49)) AS s FROM h)),
+f AS (SELECT k, min(doc_id) AS m FROM w GROUP BY k),
+c AS (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS p FROM w JOIN f USING (k) WHERE doc_id > m),
+g AS (SELECT doc_id, s, sum(CASE WHEN s > p + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM c),
+r AS (SELECT doc_id, min(s) AS a, max(s) + 50 AS b FROM g GROUP BY doc_id, run),
+l AS (SELECT *, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS after FROM r),
+k AS (
+  SELECT h.doc_id, h.n, count(l.a) AS spans, coalesce(sum(l.b - l.a), 0) AS gone,
+         substr(any_value(x), 1, 2 * coalesce(min(l.a), h.n)) || coalesce(string_agg(substr(x, 2 * l.b + 1, 2 * (coalesce(l.after, h.n) - l.b)), '' ORDER BY l.a), '') AS rest
+  FROM h LEFT JOIN l ON l.doc_id = h.doc_id GROUP BY h.doc_id, h.n)
+SELECT doc_id, n::BIGINT AS n_bytes, gone::BIGINT AS n_removed, spans::BIGINT AS n_spans, sha256(unhex(rest)) AS kept_sha256 FROM k
 """,
     "op7_vector_dedup": """
 WITH RECURSIVE v AS (
