@@ -207,7 +207,7 @@ def _cut(keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, text, parts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for doc_id, text, parts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):  # others are carried
                 data = (text or "").encode()
                 spans = _pairs(parts)
                 spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
@@ -227,13 +227,14 @@ def _cut(keep_text: bool):
                 rows.append((*row, text if text is None or not n else rest.decode("utf-8", "ignore")) if keep_text else row)
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"][: 6 if keep_text else 5]
             kinds = [pa.int64()] * 4 + [pa.string()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(map(list, zip(*rows, strict=True)) if rows else [[]] * len(names), kinds, strict=False)], names)
+            columns = [pa.array(c, k) for c, k in zip(map(list, zip(*rows, strict=True)) if rows else [[]] * len(names), kinds, strict=False)]
+            yield pa.RecordBatch.from_arrays([*columns, *batch.columns[3:]], [*names, *batch.schema.names[3:]])
 
     return run
 
 
 def repeated_strings(docs: DataFrame, length: int = 50, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and text, what is left, with ``keep_text``) of every row.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with ``keep_text`` also text, what is left, and row, its other columns.
 
     Of a text's UTF-8 bytes those go that lie in a string of ``length`` bytes (36 to 56) that starts in a document
     with a smaller id too; all strings are judged on the input. Matches never cross documents, and rows with the same
@@ -265,6 +266,9 @@ def repeated_strings(docs: DataFrame, length: int = 50, keep_text: bool = False,
         packed_span = F.concat(number(F.col("start")), number(F.col("start") + length))
         spans = spans.union(late.select("doc_id", packed_span.alias("spans")))
     spans = spans.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
-    whole = rows.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
-    out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", text string" if keep_text else "")
-    return whole.mapInArrow(_cut(keep_text), out)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    if not keep_text:
+        return rows.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_cut(False), schema)
+    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("row")
+    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), others).join(spans, "doc_id", "left").select("doc_id", "text", "spans", "row")
+    return whole.mapInArrow(_cut(True), f"{schema}, text string, row {whole.schema['row'].dataType.simpleString()}")
