@@ -3,8 +3,8 @@
 Anchors (grams that equal strings choose alike) bring together the places that may share a long string. Places whose
 whole surroundings equal those of an earlier document are covered at once; the first documents of different
 surroundings of one anchor meet in a run-length compressed Burrows-Wheeler index of bounded size, through which their
-matching statistics stream. Surroundings of an anchor that has too many kinds for one index are settled by their
-whole strings instead, grouped by Spark.
+matching statistics stream. An anchor that has too many kinds of surroundings for one index is split by the bytes before
+and after it, and what is still too many is settled by its whole strings, grouped by Spark.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from shardloom.llm.textbytes import mix, prefix_hashes, slices, span_hashes
 #: Anchors that one task groups at a time, about, and bytes in one index, about.
 BUCKET_ANCHORS = 500_000
 INDEX_BYTES = 1 << 20
-#: More kinds of surroundings of one anchor than this go to Spark as whole strings.
+#: An anchor with more kinds of surroundings than this is split.
 HOT_KINDS = 4096
 _PLACE = np.dtype([("h", "<u4"), ("doc", "<i8"), ("pos", "<i4"), ("kind", "<u8")])
 SPANS = "doc_id long, spans binary, tests binary, hot binary"
@@ -72,7 +72,7 @@ def _anchors(length: int, buckets: int):
     return run
 
 
-def _grouped(length: int):
+def _grouped(length: int, hot_kinds: int):
     """Per document: covered spans (start, end), places to test (bucket anchor, start), and those of hot anchors."""
     side = length - GRAM
 
@@ -93,7 +93,7 @@ def _grouped(length: int):
             low, high = np.minimum.reduceat(x["doc"], np.flatnonzero(new_h)), np.maximum.reduceat(x["doc"], np.flatnonzero(new_h))
             docs = low != high
             test = ~covered & (kinds > 1)[group] & docs[group]
-            hot = test & (kinds > HOT_KINDS)[group]
+            hot = test & (kinds > hot_kinds)[group]
         use = covered | test
         x, covered, test, hot = x[use], covered[use], test[use], hot[use]
         order = np.argsort(x["doc"], kind="stable")
@@ -119,9 +119,13 @@ def _pairs(parts: list[bytes | None]) -> np.ndarray:
     return np.frombuffer(b"".join(p for p in parts or [] if p), "<i8").reshape(-1, 2)
 
 
-def _surroundings(length: int, column: int, shards: int):
-    """(shard, anchor, doc_id, start, place of the anchor in the bytes, bytes) of the places to test."""
-    side = length - GRAM
+def _surroundings(length: int, column: int, shards: int, halves: bool = False):
+    """(shard, anchor, doc_id, start, place of the anchor in the bytes, bytes) of the places to test.
+
+    ``halves``: each place twice, under its anchor with half of the bytes before it and with half of those after it;
+    a string that holds the anchor holds one of the halves too.
+    """
+    side, half = length - GRAM, (length - GRAM) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,7 +135,11 @@ def _surroundings(length: int, column: int, shards: int):
                 for doc_id, data, parts in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(column).to_pylist(), strict=True):
                     for key, pos in _pairs(parts).tolist():
                         start = max(0, pos - side)
-                        rows.append((key % shards, key, doc_id, start, pos - start, data[start : pos + length]))
+                        keys = [key]
+                        if halves:
+                            ends = [(b"<", data[pos - half : pos])] * (pos >= half) + [(b">", data[pos + GRAM : pos + GRAM + half])] * (pos + GRAM + half <= len(data))
+                            keys = [int.from_bytes(hashlib.blake2b(x, digest_size=8, key=where + key.to_bytes(8, "little")).digest(), "little", signed=True) for where, x in ends]
+                        rows += [(k % shards, k, doc_id, start, pos - start, data[start : pos + length]) for k in keys]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in map(list, zip(*rows, strict=True))], ["shard", "anchor", "doc_id", "start", "at", "bytes"])
 
@@ -233,7 +241,7 @@ def _cut(keep_text: bool):
     return run
 
 
-def repeated_strings(docs: DataFrame, length: int = 50, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_strings(docs: DataFrame, length: int = 50, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text", hot_kinds: int = HOT_KINDS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with ``keep_text`` also text, what is left, and row, its other columns.
 
     Of a text's UTF-8 bytes those go that lie in a string of ``length`` bytes (36 to 56) that starts in a document
@@ -247,7 +255,7 @@ def repeated_strings(docs: DataFrame, length: int = 50, keep_text: bool = False,
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, round(size * 2 / (length - GRAM + 2) / BUCKET_ANCHORS))
     packed = rows.mapInArrow(_anchors(length, buckets), "bucket long, places binary")
-    found = scratch.keep(packed.groupBy("bucket").applyInArrow(_grouped(length), SPANS))
+    found = scratch.keep(packed.groupBy("bucket").applyInArrow(_grouped(length, hot_kinds), SPANS))
 
     asked = found.where((F.octet_length("tests") > 0) | (F.octet_length("hot") > 0)).groupBy("doc_id").agg(F.collect_list("tests").alias("tests"), F.collect_list("hot").alias("hot"))
     sums = asked.agg(F.sum(F.aggregate("tests", F.lit(0).cast("long"), lambda s, x: s + F.octet_length(x)))).first()[0] or 0
@@ -258,13 +266,18 @@ def repeated_strings(docs: DataFrame, length: int = 50, keep_text: bool = False,
     matched = scratch.keep(tests.groupBy("shard").applyInArrow(_matched(length), "doc_id long, spans binary"))
     spans = found.where(F.octet_length("spans") > 0).select("doc_id", "spans").union(matched)
     if found.where(F.octet_length("hot") > 0).limit(1).count():
-        hot = texts.where(F.exists("hot", lambda x: F.octet_length(x) > 0)).mapInArrow(_surroundings(length, 3, 1), around)
-        windows = scratch.keep(hot.mapInArrow(_windows(length), "doc_id long, start long, window binary"))
+        hot = scratch.keep(texts.where(F.exists("hot", lambda x: F.octet_length(x) > 0)).mapInArrow(_surroundings(length, 3, 1, halves=True), around))
+        kinds = scratch.keep(hot.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
+        some = kinds.where(F.col("n") <= hot_kinds)
+        shards = max(1, round((some.agg(F.sum("n")).first()[0] or 0) * (2 * length - GRAM) / INDEX_BYTES))
+        tests = hot.join(some, "anchor").select(F.pmod("anchor", F.lit(shards)).alias("shard"), "anchor", "doc_id", "start", "at", "bytes")
+        spans = spans.union(tests.groupBy("shard").applyInArrow(_matched(length), "doc_id long, spans binary"))
+        windows = hot.join(kinds.where(F.col("n") > hot_kinds), "anchor").select("doc_id", "start", "bytes").distinct()
+        windows = scratch.keep(windows.mapInArrow(_windows(length), "doc_id long, start long, window binary"))
         least = windows.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("window", "least")
         late = windows.join(least, "window").where("doc_id > least").select("doc_id", "start")
         number = lambda c: F.unhex(F.concat(*(F.lpad(F.hex(F.shiftright(c, 8 * i).bitwiseAND(255)), 2, "0") for i in range(8))))
-        packed_span = F.concat(number(F.col("start")), number(F.col("start") + length))
-        spans = spans.union(late.select("doc_id", packed_span.alias("spans")))
+        spans = spans.union(late.select("doc_id", F.concat(number(F.col("start")), number(F.col("start") + length)).alias("spans")))
     spans = spans.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     if not keep_text:
