@@ -105,7 +105,7 @@ def mix_sources(
     cut = scratch.keep(cut.select("source", "cut", (F.col("reach") - F.col("words")).alias("before")))
     ranked = with_plan(ranked, cut)
 
-    # around the cut: in order, each document that still fits
+    # around the cut: in order, each document that still fits, then one that doesn't if that comes nearer
     row = F.struct("q", "doc_id", "copy", "size")
     at_cut = ranked.where("bucket = cut").groupBy("source", "source_size", "target", "whole", "rest", "before").agg(F.sort_array(F.collect_list(row)).alias("rows"))
     start = F.struct((F.col("rest") - F.col("before")).alias("left"), F.array().cast("array<boolean>").alias("took"))
@@ -114,7 +114,11 @@ def mix_sources(
         fits = (x["size"] <= acc["left"]) & (x["size"] > 0)
         return F.struct((acc["left"] - F.when(fits, x["size"]).otherwise(0)).alias("left"), F.concat(acc["took"], F.array(fits)).alias("took"))
 
-    at_cut = at_cut.withColumn("x", F.explode(F.arrays_zip("rows", F.aggregate("rows", start, step)["took"].alias("took"))))
+    at_cut = at_cut.withColumn("a", F.aggregate("rows", start, step))
+    off = F.transform("rows", lambda x, i: F.struct(F.abs(x["size"] - F.col("a.left")).alias("off"), i.alias("i"), (x["size"] > 0).alias("some")))
+    extra = F.array_min(F.filter(off, lambda x: x["some"] & (x["off"] < F.col("a.left")) & ~F.get(F.col("a.took"), x["i"])))["i"]
+    at_cut = at_cut.withColumn("took", F.transform("a.took", lambda t, i: t | F.coalesce(i == extra, F.lit(False))))
+    at_cut = at_cut.withColumn("x", F.explode(F.arrays_zip("rows", "took")))
     at_cut = at_cut.select(F.col("x.rows.doc_id").alias("doc_id"), "source", F.col("x.rows.size").alias("size"), "source_size", "target", "whole", F.col("x.took").alias("more"))
     others = ranked.where("bucket <> cut").select("doc_id", "source", "size", "source_size", "target", "whole", ((F.col("bucket") < F.col("cut")) & (F.col("size") > 0)).alias("more"))
     out = others.union(at_cut).withColumn("copies", (F.col("whole") + F.col("more").cast("int")).cast("long"))

@@ -179,9 +179,15 @@ g AS (
   SELECT source, 0 AS i, (rest - before)::DOUBLE AS room, false AS took FROM (SELECT DISTINCT source, rest, before FROM o)
   UNION ALL
   SELECT g.source, o.i, CASE WHEN o.size > 0 AND o.size <= g.room THEN g.room - o.size ELSE g.room END, o.size > 0 AND o.size <= g.room
-  FROM g JOIN o ON o.source IS NOT DISTINCT FROM g.source AND o.bucket = o.cut AND o.i = g.i + 1)
+  FROM g JOIN o ON o.source IS NOT DISTINCT FROM g.source AND o.bucket = o.cut AND o.i = g.i + 1),
+e AS (SELECT source, arg_max(room, i) AS room FROM g GROUP BY source),
+x AS (
+  SELECT o.source, o.i, row_number() OVER (PARTITION BY o.source ORDER BY abs(o.size - e.room), o.i) AS r
+  FROM o JOIN g ON o.source IS NOT DISTINCT FROM g.source AND o.i = g.i JOIN e ON e.source IS NOT DISTINCT FROM o.source
+  WHERE o.bucket = o.cut AND NOT g.took AND o.size > 0 AND abs(o.size - e.room) < e.room)
 SELECT o.doc_id, o.size, o.ss AS source_size, o.target,
-       ((o.whole + CASE WHEN o.size > 0 AND (o.bucket < o.cut OR o.bucket = o.cut AND g.took) THEN 1 ELSE 0 END) * o.size)::BIGINT AS taken
+       ((o.whole + CASE WHEN o.size > 0 AND (o.bucket < o.cut OR o.bucket = o.cut AND (g.took OR x.i IS NOT NULL)) THEN 1 ELSE 0 END) * o.size)::BIGINT AS taken
 FROM o LEFT JOIN g ON o.source IS NOT DISTINCT FROM g.source AND o.bucket = o.cut AND g.i = o.i
+LEFT JOIN x ON o.source IS NOT DISTINCT FROM x.source AND o.bucket = o.cut AND x.i = o.i AND x.r = 1
 """,
 }

@@ -34,10 +34,10 @@ class RunLengthIndex:
         ranks, width, kept = np.unique(key, return_inverse=True)[1], _FIRST, {}
         while True:
             kept[width] = ranks
-            if width > lengths.max(initial=0):
+            if width > lengths.max(initial=0) and width >= 4 * _FIRST:
                 break
             after = np.zeros(n, np.int64)
-            after[: n - width] = ranks[width:] + 1
+            after[: max(0, n - width)] = ranks[width:] + 1
             after[left <= width] = 0
             ranks = np.unique(ranks * np.int64(n + 2) + after, return_inverse=True)[1]
             width *= 2
@@ -51,7 +51,7 @@ class RunLengthIndex:
             before[order == 0] = 0
         start = np.flatnonzero(np.r_[True, before[1:] != before[:-1]]) if n else np.zeros(0, np.int64)
         self.run_start, self.run_char = start, before[start].astype(np.int64)
-        run_end = np.r_[start[1:], n] - 1
+        run_end = np.r_[start[1:], n][: len(start)] - 1
         self.at_start, self.at_end = order[start], order[run_end]  # the only sampled places
         runs = np.arange(len(start))
         by_char = np.lexsort((runs, self.run_char))
