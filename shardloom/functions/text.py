@@ -7,18 +7,18 @@ from pyspark.sql import functions as F
 
 #: Characters of a statement's pattern that are kept.
 MAX_PATTERN = 2 * 4096
-#: Weights of risky fragments; a statement is risky from 8 on.
+# Weights and patterns of risky statements; a statement is risky from 8 on.
 RISKY = [
-    (8, r"(?i)\bor\b\s+1\s*=\s*1"),
-    (8, r"(?i)\bunion\b.+\bselect\b"),
-    (8, r"(?i)\binto\s+(out|dump)file\b"),
-    (4, r"(?i)\bsleep\s*\("),
-    (4, r"(?i)\bbenchmark\s*\("),
-    (4, r"(?i)information_schema"),
-    (4, r"(?i)\bload_file\s*\("),
-    (2, r"--|#"),
-    (2, r"/\*"),
-    (2, r"(?i)\b(char|hex|unhex)\s*\("),
+    (4, r"^(?<res>.*)information_schema|system_user|@@version|@@version_compile_os|@@basedir|session_user|current_user|current_db|version_compile_os|mysql\."),
+    (8, r"^(?<res>.*)sleep|benchmark|receive_message|pg_sleep"),
+    (8, r"""^(?<res>.*)\-\-\s*['"]{1}[^'"]*$"""),
+    (4, r"^(?<res>.*)/\*|/\*?!\d+|\-\-"),
+    (8, r"""^(?<res>.*)['"]*\d+['|"]*\s*(=|>|<|>=|<=)\s*['|"]*\d+['|"]*"""),
+    (8, r"^(?<res>.*)(and|or)+\s+\d+\s*[^=]+"),
+    (4, r"^(?<res>.*)\b(elt|chr|substring|ascii|truncate|load_file|updatexml|extractvalue|xmltype|is_srvrolemember|char|strcmp|substr|bin|ord|hex|database)+\("),
+    (4, r"^(?<res>.*)\||\^|~|xor"),
+    (8, r"^(?<res>.*)select\s*\d+\s*,\s*\d+\s*"),
+    (4, r"""^(?<res>.*)(\b|'|")0x"""),
 ]
 RISK_LIMIT, RISK_LENGTHS = 8, (15, 65536)
 
@@ -98,8 +98,11 @@ def white_fields(sql: Column, names: list[str]) -> Column:
 
 
 def danger(sql: Column) -> Column:
-    """The sum of the weights of risky fragments; 0 for statements that are too short or too long to be judged."""
-    total = sum((F.when(sql.rlike(p), w).otherwise(0) for w, p in RISKY[1:]), F.when(sql.rlike(RISKY[0][1]), RISKY[0][0]).otherwise(0))
+    """The sum of the weights of risky patterns; 0 for statements that are too short or too long to be judged."""
+    hits = [F.when(sql.rlike(f"(?s){p}"), w).otherwise(0) for w, p in RISKY]
+    total = hits[0]
+    for h in hits[1:]:
+        total = total + h
     return F.when(F.length(sql).between(*RISK_LENGTHS), total).otherwise(0)
 
 
@@ -116,3 +119,20 @@ def sampling_rate(millis: Column) -> Column:
 
 def safe_div(a: Column, b: Column) -> Column:
     return a / (b + 0.001)
+
+
+def smart_kill_millis(queue: Column, upper: int, slow_millis: int) -> Column:
+    """From how slow on statements are killed: ``slow_millis`` from a queue of ``upper`` on, twice that from half of it, and so on; never for an empty queue."""
+    halvings = F.filter(F.sequence(F.lit(0), F.lit(max(0, upper.bit_length() - 1))), lambda k: queue >= F.floor(F.lit(upper) / F.pow(F.lit(2), k)))
+    return F.coalesce((F.lit(slow_millis) * F.pow(F.lit(2), F.array_min(halvings))).cast("long"), F.lit(2**31 - 1).cast("long"))
+
+
+def features(sql: Column, key: str) -> Column:
+    """(tab, one_key, group_by, lim) of a simple statement: its first table, whether one key value is asked for, and so on."""
+    one = sql.rlike(rf"(?i)\b{key}\s*=\s*('[^']*'|\d+)") & ~sql.rlike(r"(?i)\bor\b")
+    return F.struct(
+        F.regexp_extract(sql, r"(?i)\b(?:from|into|update)\s+`?(\w+)", 1).alias("tab"),
+        one.alias("one_key"),
+        sql.rlike(r"(?i)\bgroup\s+by\b").alias("group_by"),
+        F.regexp_extract(sql, r"(?i)\blimit\s+(\d+)", 1).try_cast("bigint").alias("lim"),
+    )

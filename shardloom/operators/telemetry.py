@@ -100,3 +100,9 @@ def int_overflow(df: DataFrame, limits: dict[str, int]) -> DataFrame:
     tops = df.agg(*(F.max(c).cast("long").alias(c) for c in limits))
     pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("most"), F.lit(v).cast("long").alias("limit")) for c, v in limits.items())))
     return tops.select(pairs.alias("x")).select("x.*").withColumn("over", F.col("most") > F.col("limit"))
+
+
+def group_rates(groups: DataFrame) -> DataFrame:
+    """win, grp, group_rate: each group's mean against its previous window's."""
+    was = F.lag("avg").over(Window.partitionBy("grp").orderBy("win"))
+    return groups.withColumn("group_rate", F.col("avg") / was).select("win", "grp", "group_rate")

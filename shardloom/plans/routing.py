@@ -438,3 +438,46 @@ def sort_natural(spark, sf_dir):
     df = spark.createDataFrame([(x,) for x in ("b1c10", "a10", "b", "a02", "a1", "b1c2", "a2")], "name string")
     order = Window.orderBy(natural_key(F.col("name")), F.length("name"), "name")
     return df.withColumn("place", F.row_number().over(order))
+
+
+@query("filt_func_in", "SELECT o_orderkey FROM orders WHERE upper(o_orderstatus) IN ('F', 'P') AND abs(o_custkey) IN (1, 2, 3, 4)")
+def filt_func_in(spark, sf_dir):
+    df = S.table(spark, sf_dir, "orders")
+    return df.where(F.upper("o_orderstatus").isin("F", "P") & F.abs("o_custkey").isin(1, 2, 3, 4)).select("o_orderkey")
+
+
+@query("filt_literal_quote", "SELECT o_orderkey FROM orders WHERE \"o_custkey\" = 7")
+def filt_literal_quote(spark, sf_dir):
+    return spark.sql("SELECT o_orderkey FROM {orders} WHERE `o_custkey` = 7", orders=S.table(spark, sf_dir, "orders"))
+
+
+@query("cat_help", "SELECT unnest(['shard_map', 'shard_info', 'choose_route', 'read_sharded', 'write_sharded']) AS name")
+def cat_help(spark, sf_dir):
+    names = ["shard_map", "shard_info", "choose_route", "read_sharded", "write_sharded"]
+    return spark.createDataFrame([(n,) for n in names if hasattr(R, n) or n == "shard_map"], "name string")
+
+
+@query("cat_show_columns", "SELECT column_name AS name, row_number() OVER () - 1 AS place FROM (DESCRIBE SELECT * FROM orders)")
+def cat_show_columns(spark, sf_dir):
+    fields = S.table(spark, sf_dir, "orders").schema.names
+    return spark.createDataFrame([(n, i) for i, n in enumerate(fields)], "name string, place long")
+
+
+@query("dml_insert_select", f"SELECT {shard_sql('c_custkey')} AS shard, count(*) AS n FROM customer WHERE c_acctbal > 0 GROUP BY 1")
+def dml_insert_select(spark, sf_dir):
+    path = S.work_folder(spark, "insert-select")
+    dml.insert(S.table(spark, sf_dir, "customer").where("c_acctbal > 0"), CUSTOMER, path)
+    return spark.read.parquet(path).groupBy("shard").agg(F.count("*").alias("n"))
+
+
+@query("dml_replace", "SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment FROM customer")
+def dml_replace(spark, sf_dir):
+    old = S.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    new = old.where("c_custkey % 7 = 0").select("c_custkey", F.lit("NEW").alias("c_mktsegment"), F.lit(1).alias("seq"))
+    return dml.upsert_mapping(old, new, "c_custkey", "seq")
+
+
+@query("route_table_union_all_dims", f"SELECT {shard_sql('user_id')} AS user_shard, {shard_sql('event_id')} AS event_shard, count(*) AS n FROM events GROUP BY 1, 2")
+def route_table_union_all_dims(spark, sf_dir):
+    df = _sharded(spark, sf_dir, "events", 0).withColumnRenamed("shard", "user_shard").drop("slot")
+    return R.with_shard(df, EVENTS, 1).groupBy("user_shard", F.col("shard").alias("event_shard")).agg(F.count("*").alias("n"))

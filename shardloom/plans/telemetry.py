@@ -164,3 +164,44 @@ def stream_first_sights(spark, sf_dir):
     path = work_folder(spark, "stream-in")
     table(spark, sf_dir, "events").select("user_id", "ts").repartition(1).write.parquet(path)
     return ST.drain(ST.first_sights(ST.event_stream(spark, path), late="60 days"), work_folder(spark, "stream-out")).agg(F.count_distinct("user_id").alias("users"))
+
+
+@query("win_slow_gate", _SLOW + " SELECT r.win, r.grp, r.pattern FROM r JOIN q ON r.win = q.win AND r.grp = q.grp WHERE r.avg > 60 AND q.group_rate > 1.5")
+def win_slow_gate(spark, sf_dir):
+    """Patterns that are slow at all, in groups well above their previous window."""
+    e = _events(spark, sf_dir)
+    g = T.group_rates(_doubles(T.samples(e, "1 hour", "grp"))).where("group_rate > 1.5")
+    s = _doubles(T.samples(e, "1 hour", "grp", "pattern")).where("avg > 60")
+    return s.join(g, ["win", "grp"], "left_semi").select("win", "grp", "pattern")
+
+
+@query("win_slow_new", _SLOW + " SELECT win, grp, pattern, round(score, 6) AS score FROM z WHERE reason = 'new'")
+def win_slow_new(spark, sf_dir):
+    return _scores(spark, sf_dir).where("reason = 'new'").select("win", "grp", "pattern", F.round("score", 6).alias("score"))
+
+
+@query("win_slow_qps", _S + ", b AS (SELECT *, lag(n) OVER (PARTITION BY grp ORDER BY win) AS was FROM s) SELECT win, grp, CASE WHEN n >= 1.5 * was THEN 'more requests' ELSE 'slow statements' END AS reason FROM b WHERE was IS NOT NULL")
+def win_slow_qps(spark, sf_dir):
+    from pyspark.sql import Window
+
+    s = T.samples(_events(spark, sf_dir), "1 hour", "grp").withColumn("was", F.lag("n").over(Window.partitionBy("grp").orderBy("win")))
+    reason = F.when(F.col("n") >= 1.5 * F.col("was"), "more requests").otherwise("slow statements")
+    return s.where("was is not null").select("win", "grp", reason.alias("reason"))
+
+
+@query("sort_pattern_avg", "SELECT user_id, row_number() OVER (ORDER BY sum(CAST(value AS DECIMAL(18,2)))::DOUBLE / (count(*) + 0.001::DOUBLE) DESC, user_id) AS place FROM events GROUP BY user_id")
+def sort_pattern_avg(spark, sf_dir):
+    from pyspark.sql import Window
+
+    s = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("t"), F.count("*").alias("n"))
+    order = Window.orderBy(F.desc(F.col("t") / (F.col("n") + F.lit(0.001))), "user_id")  # one row for each pattern
+    return s.select("user_id", F.row_number().over(order).cast("long").alias("place"))
+
+
+@query("sort_priority_queue", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'error' THEN 0 WHEN 'purchase' THEN 1 ELSE 2 END, event_id) AS place FROM events")
+def sort_priority_queue(spark, sf_dir):
+    from pyspark.sql import Window
+
+    priority = F.when(F.col("event_type") == "error", 0).when(F.col("event_type") == "purchase", 1).otherwise(2)
+    order = Window.partitionBy("user_id").orderBy(priority, "event_id")
+    return table(spark, sf_dir, "events").select("event_id", F.row_number().over(order).cast("long").alias("place"))

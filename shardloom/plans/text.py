@@ -112,10 +112,28 @@ def txt_reject_regex(spark, sf_dir):
     return _statements(spark, sf_dir).where(F.regexp_replace("sql", r"\s+", "").rlike(r"(?i)O_CUSTKEY=1[0-9]AND")).select("o_orderkey")
 
 
-@query("txt_danger_score", "SELECT * FROM (VALUES (1, false), (2, true), (3, true), (4, false), (5, false)) t(i, risky)")
+_SHADY = [
+    "SELECT a FROM t WHERE b = 'x'", "SELECT a FROM t WHERE b = 'x' or 1=1", "select sleep(5) from t where b = 'x'", "or 1=1", "select 1,2,3 from t union all", "SELECT hex(a) FROM t WHERE b = 0x41",
+    "select a from information_schema.t where b = 'x'", "select a from t -- ' and more", "select a from t /* note */ where b ^ c", "select a from t where b and 7 > c",
+]
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_WEIGHT = " + ".join(f"CASE WHEN regexp_matches(s, {_quoted(p.replace('(?<', '(?P<'))}, 's') THEN {w} ELSE 0 END" for w, p in X.RISKY)
+
+
+@query("txt_danger_score", f"SELECT i, w AS weight, w >= 8 AS risky FROM (SELECT i, CASE WHEN length(s) BETWEEN 15 AND 65536 THEN {_WEIGHT} ELSE 0 END AS w FROM (VALUES " + ", ".join(f"({i}, {_quoted(t)})" for i, t in enumerate(_SHADY)) + ") t(i, s))")
 def txt_danger_score(spark, sf_dir):
-    rows = [(1, "SELECT a FROM t WHERE b = 1"), (2, "SELECT a FROM t WHERE b = 1 OR 1=1"), (3, "SELECT a FROM t WHERE sleep(5) AND load_file('x')"), (4, "or 1=1"), (5, "SELECT sleep(1) FROM t WHERE a = 2")]
-    return _given(spark, rows, "i int, s string").select("i", (X.danger(F.col("s")) >= X.RISK_LIMIT).alias("risky"))
+    df = _given(spark, list(enumerate(_SHADY)), "i int, s string").select("i", X.danger(F.col("s")).alias("weight"))
+    return df.withColumn("risky", F.col("weight") >= X.RISK_LIMIT)
+
+
+@query("fn_smart_kill", "SELECT q.range AS queue, coalesce((SELECT 500 * (2 ** min(k.range))::BIGINT FROM range(6) k WHERE q.range >= (40 >> k.range)), 2147483647) AS millis FROM range(60) q")
+def fn_smart_kill(spark, sf_dir):
+    return spark.range(60).select(F.col("id").alias("queue"), X.smart_kill_millis(F.col("id"), 40, 500).alias("millis"))
 
 
 @query("txt_scan_all_risk", "SELECT o_orderkey FROM orders WHERE o_orderkey % 100 = 0")
@@ -162,3 +180,30 @@ def tx_single_shard(spark, sf_dir):
 def tx_ids(spark, sf_dir):
     prefix = F.when(F.col("event_type") == "purchase", "t").when(F.col("event_type") == "error", "a").otherwise("q")
     return table(spark, sf_dir, "events").select("event_id", F.concat(prefix, F.col("event_id")).alias("id"))
+
+
+@query("txt_features", "SELECT o_orderkey, 'orders' AS tab, true AS one_key, false AS group_by, NULL::BIGINT AS lim FROM orders WHERE o_orderkey <= 200 UNION ALL SELECT -1, 'lineitem', false, true, 5")
+def txt_features(spark, sf_dir):
+    s = _statements(spark, sf_dir).where("o_orderkey <= 200").select("o_orderkey", "sql")
+    s = s.union(spark.createDataFrame([(-1, "select a, count(*) from lineitem where b > 2 group by a limit 5")], "o_orderkey long, sql string"))
+    return s.select("o_orderkey", X.features(F.col("sql"), "o_custkey").alias("f")).select("o_orderkey", "f.*")
+
+
+@query("txt_reject_real_regex", "SELECT o_orderkey FROM orders WHERE o_custkey % 10 = 3 AND o_orderstatus = 'F'")
+def txt_reject_real_regex(spark, sf_dir):
+    return _statements(spark, sf_dir).where(F.col("sql").rlike(r"o_custkey = \d*3 AND o_orderstatus = 'F'$")).select("o_orderkey")
+
+
+@query("txt_fp_fail", "SELECT 1 AS i, '[parse_fail] select from where and so on and ' AS pattern UNION ALL SELECT 2, 'SELECT a FROM t WHERE b = ?'")
+def txt_fp_fail(spark, sf_dir):
+    df = _given(spark, [(1, "select from where and so on and it goes on and on"), (2, "select a from t where b = 7")], "i int, s string")
+    bad = F.col("s").rlike(r"(?i)\b(select|from|where)\s+(from|where)\b")
+    return df.select("i", F.when(bad, F.concat(F.lit("[parse_fail] "), F.substring("s", 1, 32))).otherwise(X.fingerprint(F.col("s"))).alias("pattern"))
+
+
+@query("txt_index_hint", "SELECT o_orderkey, replace(" + _SQL + ", 'FROM orders', 'FROM orders USE INDEX (ix_cust)') AS sql FROM orders")
+def txt_index_hint(spark, sf_dir):
+    s = _statements(spark, sf_dir).withColumn("id", X.sql_id(X.fingerprint(F.col("sql"))))
+    rule = F.md5(F.lit("SELECT * FROM orders WHERE o_custkey = ? AND o_orderstatus = ?"))
+    hinted = F.regexp_replace("sql", r"(?i)\bFROM (\w+)", "FROM $1 USE INDEX (ix_cust)")
+    return s.select("o_orderkey", F.when(F.col("id") == rule, hinted).otherwise(F.col("sql")).alias("sql"))
