@@ -116,3 +116,9 @@ def test_stream_windows_equal_batch(spark):
     e = table(spark, SF, "events").groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour")["start"].alias("win"), "event_type").agg(F.sum("value").alias("t"), F.count("*").alias("n"))
     want = {(r.win, r.event_type): (round(r.t, 4), r.n) for r in e.collect()}
     assert got and all(want[k] == v for k, v in got.items()) and len(got) > 0.9 * len(want)
+
+
+def test_uneven_slots(spark):
+    d = Dimension.of("k", {"t_2": "0-99", "t_10": "100-1023"}, {"t_[2,10-10]": "db"})
+    rows = spark.range(-1, 1024).select("id", d.shard_column(F.col("id").cast("int")).alias("s")).collect()
+    assert all(r.s == (None if r.id < 0 else int(r.id >= 100)) for r in rows) and d.tables == ["t_2", "t_10"]
