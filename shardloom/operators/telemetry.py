@@ -32,12 +32,17 @@ def all_time_average(samples: DataFrame, key: str) -> DataFrame:
     return samples.withColumn("ever", F.sum("total").over(w) / (F.sum("n").over(w) + 0.001))
 
 
-def carried_forward(samples: DataFrame, key: str, value: str) -> DataFrame:
-    """Each key in every window from its first on, with its last value where it has none."""
-    grid = samples.select("win").distinct().crossJoin(samples.groupBy(key).agg(F.min("win").alias("born"))).where("win >= born")  # windows x keys: the wanted rows
-    w = Window.partitionBy(key).orderBy("win").rowsBetween(Window.unboundedPreceding, 0)
-    full = grid.join(samples.select("win", key, value), ["win", key], "left")
-    return full.select("win", key, F.last(value, ignorenulls=True).over(w).alias(value))
+def carried_forward(samples: DataFrame, key: str, value: str, width: str = "1 hour") -> DataFrame:
+    """Each key in every window from its first on, with its last value where it has none.
+
+    A sample holds until its key's next one, or to the last window; windows without any sample don't count.
+    """
+    step = F.expr(f"INTERVAL {width}")
+    end = samples.agg(F.max("win")).first()[0]
+    following = F.lead("win").over(Window.partitionBy(key).orderBy("win"))
+    held = samples.select("win", key, value).withColumn("_to", F.coalesce(following - step, F.lit(end).cast(samples.schema["win"].dataType)))
+    spread = held.withColumn("win", F.explode(F.sequence("win", "_to", step))).drop("_to")
+    return spread.join(samples.select("win").distinct(), "win", "left_semi").select("win", key, value)
 
 
 def slow_scores(samples: DataFrame, groups: DataFrame, queue: Column | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from shardloom.operators import telemetry as T
 from shardloom.plans.registry import query
 from shardloom.sources.tables import table, work_folder
 from shardloom.streaming import telemetry as ST
+from shardloom.streaming.fuse import fuse_stream
 
 _HOUR = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS win, event_type AS grp, {k}sum(CAST(value AS DECIMAL(18,2))) AS total, count(*) AS n FROM events GROUP BY ALL"
 _S = f"WITH s AS ({_HOUR.format(k='')})"
@@ -205,3 +206,16 @@ def sort_priority_queue(spark, sf_dir):
     priority = F.when(F.col("event_type") == "error", 0).when(F.col("event_type") == "purchase", 1).otherwise(2)
     order = Window.partitionBy("user_id").orderBy(priority, "event_id")
     return table(spark, sf_dir, "events").select("event_id", F.row_number().over(order).cast("long").alias("place"))
+
+
+@query("stream_fuse")
+def stream_fuse(spark, sf_dir):
+    """The events' errors and others by hour as ticks of one fuse for each tenth of the users."""
+    hour = F.expr("unix_timestamp(cast(ts as timestamp)) div 3600")
+    e = table(spark, sf_dir, "events")
+    ticks = e.groupBy((F.col("user_id") % 10).cast("string").alias("grp"), hour.alias("tick"))
+    ticks = ticks.agg(F.count(F.when(F.col("event_type") == "error", 1)).alias("killed"), F.count(F.when(F.col("event_type") != "error", 1)).alias("passed"))
+    path = work_folder(spark, "ticks")
+    ticks.coalesce(1).sortWithinPartitions("tick").write.parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    return ST.drain(fuse_stream(stream), work_folder(spark, "fuse"))

@@ -13,16 +13,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share; a temporary one in local mode without it."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, from ``spark.checkpoint.dir``; a temporary one only in local mode."""
     sc = spark.sparkContext
-    root = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not sc.master.startswith("local"):
+    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="shardloom-"))
-        root = sc.getCheckpointDir()
-    path = f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+        folder = sc.getCheckpointDir()
+    return folder
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path under the shared one; the folder goes when the application ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm)
     return path

@@ -122,3 +122,19 @@ def test_uneven_slots(spark):
     d = Dimension.of("k", {"t_2": "0-99", "t_10": "100-1023"}, {"t_[2,10-10]": "db"})
     rows = spark.range(-1, 1024).select("id", d.shard_column(F.col("id").cast("int")).alias("s")).collect()
     assert all(r.s == (None if r.id < 0 else int(r.id >= 100)) for r in rows) and d.tables == ["t_2", "t_10"]
+
+
+def test_fuse_stream(spark):
+    """The stream's states against one loop over each group's ticks."""
+    from shardloom.streaming.fuse import step
+
+    hour = F.expr("unix_timestamp(cast(ts as timestamp)) div 3600")
+    e = table(spark, SF, "events").groupBy((F.col("user_id") % 10).cast("string").alias("grp"), hour.alias("tick"))
+    rows = e.agg(F.count(F.when(F.col("event_type") == "error", 1)).alias("k"), F.count(F.when(F.col("event_type") != "error", 1)).alias("p")).collect()
+    want = {}
+    for grp in {r.grp for r in rows}:
+        state = ([], [], -1)
+        for r in sorted((r for r in rows if r.grp == grp), key=lambda r: r.tick):
+            *state, want[grp, r.tick] = step(*state, r.tick, r.k, r.p, 5, 3, 10)
+    got = {(r.grp, r.tick): r.open for r in QUERIES["stream_fuse"](spark, SF).collect()}
+    assert got == want and any(got.values()) and not all(got.values())
