@@ -2,23 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; a temporary one only in local mode."""
-    sc = spark.sparkContext
-    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="shardloom-"))
-        folder = sc.getCheckpointDir()
-    return folder
+from shardloom.sources.tables import work_folder
 
 
 def tokenizer_file(name: str) -> str:
@@ -37,10 +24,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        self._path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        self._fs = self._path.getFileSystem(spark._jsc.hadoopConfiguration())
-        self._fs.deleteOnExit(self._path)
+        self.root = work_folder(spark, name)
+        self._fs = spark._jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
         self._n = 0
         self._at: dict[int, str] = {}
 
