@@ -119,11 +119,11 @@ def _pairs(parts: list[bytes | None]) -> np.ndarray:
     return np.frombuffer(b"".join(p for p in parts or [] if p), "<i8").reshape(-1, 2)
 
 
-def _surroundings(length: int, column: int, shards: int, halves: bool = False):
-    """(shard, anchor, doc_id, start, place of the anchor in the bytes, bytes) of the places to test.
+def _surroundings(length: int, shards: int):
+    """(hot, shard, anchor, doc_id, start, place of the anchor in the bytes, bytes) of the places to test.
 
-    ``halves``: each place twice, under its anchor with half of the bytes before it and with half of those after it;
-    a string that holds the anchor holds one of the halves too.
+    A place of a hot anchor comes twice, under its anchor with half of the bytes before it and with half of those after
+    it; a string that holds the anchor holds one of the halves too.
     """
     side, half = length - GRAM, (length - GRAM) // 2
 
@@ -132,16 +132,16 @@ def _surroundings(length: int, column: int, shards: int, halves: bool = False):
             for lo in range(0, len(batch), 500):
                 rows: list[tuple] = []
                 part = batch.slice(lo, 500)
-                for doc_id, data, parts in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(column).to_pylist(), strict=True):
-                    for key, pos in _pairs(parts).tolist():
+                for doc_id, data, tests, hots in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
+                    for hot, key, pos in [(h, *x) for h, parts in ((False, tests), (True, hots)) for x in _pairs(parts).tolist()]:
                         start = max(0, pos - side)
                         keys = [key]
-                        if halves:
+                        if hot:
                             ends = [(b"<", data[pos - half : pos])] * (pos >= half) + [(b">", data[pos + GRAM : pos + GRAM + half])] * (pos + GRAM + half <= len(data))
                             keys = [int.from_bytes(hashlib.blake2b(x, digest_size=8, key=where + key.to_bytes(8, "little")).digest(), "little", signed=True) for where, x in ends]
-                        rows += [(k % shards, k, doc_id, start, pos - start, data[start : pos + length]) for k in keys]
+                        rows += [(hot, k % shards, k, doc_id, start, pos - start, data[start : pos + length]) for k in keys]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in map(list, zip(*rows, strict=True))], ["shard", "anchor", "doc_id", "start", "at", "bytes"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in map(list, zip(*rows, strict=True))], ["hot", "shard", "anchor", "doc_id", "start", "at", "bytes"])
 
     return run
 
@@ -261,12 +261,13 @@ def repeated_strings(docs: DataFrame, length: int = 50, keep_text: bool = False,
     sums = asked.agg(F.sum(F.aggregate("tests", F.lit(0).cast("long"), lambda s, x: s + F.octet_length(x)))).first()[0] or 0
     shards = max(1, round(sums / 16 * (2 * length - GRAM) / INDEX_BYTES))
     texts = rows.join(asked, "doc_id").select("doc_id", F.col("text").cast("binary").alias("text"), "tests", "hot")
-    around = "shard long, anchor long, doc_id long, start long, at long, bytes binary"
-    tests = texts.mapInArrow(_surroundings(length, 2, shards), around)
+    # whole texts meet their places once, for hot anchors and for others
+    places = texts.mapInArrow(_surroundings(length, shards), "hot boolean, shard long, anchor long, doc_id long, start long, at long, bytes binary")
+    places = scratch.keep(places)
+    tests, hot = places.where("not hot").drop("hot"), places.where("hot").drop("hot")
     matched = scratch.keep(tests.groupBy("shard").applyInArrow(_matched(length), "doc_id long, spans binary"))
     spans = found.where(F.octet_length("spans") > 0).select("doc_id", "spans").union(matched)
     if found.where(F.octet_length("hot") > 0).limit(1).count():
-        hot = scratch.keep(texts.where(F.exists("hot", lambda x: F.octet_length(x) > 0)).mapInArrow(_surroundings(length, 3, 1, halves=True), around))
         kinds = scratch.keep(hot.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
         some = kinds.where(F.col("n") <= hot_kinds)
         shards = max(1, round((some.agg(F.sum("n")).first()[0] or 0) * (2 * length - GRAM) / INDEX_BYTES))
