@@ -147,7 +147,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, k: int =
     values = nodes.select("rep", F.explode("sketch").alias("v"))
     often = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     c = least_shared(k, t)
-    need = F.when(F.size("sketch") < k, F.ceil(F.size("sketch") * t)).otherwise(F.lit(c)).cast("int")
+    # a whole sketch meets whole ones only if its largest partner, of n / t shingles, is whole too; else values are cut off
+    whole = F.size("sketch") * 100 <= k * percent
+    need = F.when(whole, F.ceil(F.size("sketch") * t)).otherwise(F.least(F.lit(c), F.ceil(F.size("sketch") * t))).cast("int")
     held = values.join(often, "v").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"), F.sum(F.log2("df")).alias("typical"))
     held = held.join(nodes.select("rep", F.size("sketch").alias("s"), (F.size("sketch") - need + 1).alias("p")), "rep")
     room = F.greatest(F.lit(0), F.col("p") - (F.col("s") - F.size("vs")))

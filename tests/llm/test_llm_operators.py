@@ -113,6 +113,18 @@ def test_large_group_of_near_copies(spark):
     assert {i: r.component_id for i, r in got.items()} == closure(sets, links)
 
 
+def test_short_text_in_a_longer_one(spark):
+    # 63 shingles inside 84 and 80: a longer sketch keeps 64 values, so fewer of the common ones are seen
+    pairs = []
+    for i in range(30):
+        w = [f"w{i}x{j}" for j in range(88)]
+        pairs += [(4 * i, " ".join(w[:67])), (4 * i + 1, " ".join(w))]
+        w = [f"v{i}x{j}" for j in range(84)]
+        pairs += [(4 * i + 2, " ".join(w[:64])), (4 * i + 3, " ".join(w))]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(pairs, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in pairs}
+
+
 def test_bound():
     from math import comb
 
