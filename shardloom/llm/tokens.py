@@ -2,7 +2,8 @@
 
 A text is cut before each single space that starts a piece and between an ASCII letter and ASCII punctuation other
 than the apostrophe: byte-level and word BPE never join across such places, so the ids of a text are those of its
-pieces. Pieces repeat; each is encoded once by the tokenizers library and remembered in the worker.
+pieces. Pieces repeat; each is encoded once by the tokenizers library and remembered in the worker. The rare texts that
+hold an added token (such as <|endoftext|>) are encoded as a whole.
 """
 
 from __future__ import annotations
@@ -40,8 +41,9 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.lower = '"Lowercase"' in json.dumps(json.loads(self.tokenizer.to_str())["normalizer"])
+        # in lower case: which of them match is the library's choice
+        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
     def _forget(self) -> None:
@@ -81,7 +83,21 @@ class PieceEncoder:
     def batch(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each row's text, in order; none for a null or empty text."""
         for _, data, offsets in slices(column):
-            yield from self._rows(data, offsets)
+            whole = self._with_added(data, offsets)
+            for i, ids in enumerate(self._rows(data, offsets)):
+                yield whole.get(i, ids)
+
+    def _with_added(self, data: np.ndarray, offsets: np.ndarray) -> dict[int, np.ndarray]:
+        """The ids of the rows that hold an added token, by row."""
+        raw, hits = data.tobytes().lower(), []
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                hits.append(at)
+                at = raw.find(token, at + 1)
+        rows = np.unique(np.searchsorted(offsets, np.array(hits, np.int64), "right") - 1).tolist()
+        texts = [data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace") for i in rows]
+        return {i: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for i, t in zip(rows, texts, strict=True)}
 
     def _rows(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
         n = len(offsets) - 1

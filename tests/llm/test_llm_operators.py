@@ -389,6 +389,16 @@ def test_pieces_are_the_tokenizers(name):
     assert got == want
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens(name):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    odd = ["end of page <|endoftext|> next", None, "<|endoftext|>", "a<|startoftext|>b<|endoftext|><|endoftext|> c", "<|endof", "text|>", "<|ENDOFTEXT|> É", "x <|endoftext|", "plain"]
+    plain = Tokenizer.from_file(tokenizer_file(name))
+    assert [list(x) for x in encoder(tokenizer_file(name)).batch(pa.array(odd))] == [plain.encode(t or "", add_special_tokens=False).ids for t in odd]
+
+
 def plain_ids(name, end):
     from tokenizers import Tokenizer
 
