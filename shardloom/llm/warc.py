@@ -235,8 +235,8 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = 0, id_col: str
 
     Of pages with equal payloads of at least ``least_bytes`` bytes the one with the largest id is written as response
     and the others as revisits of it. Null payloads are empty, null URLs too; pages with a null id are responses
-    unless an id has their payload; repeated rows of the largest id are one response and revisits of it. An empty
-    table gives an archive without files.
+    unless an id has their payload; repeated rows of the largest id are all responses. An id's rows with other payloads
+    are judged by their own. An empty table gives an archive without files.
     """
     spark = pages.sparkSession
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -246,9 +246,12 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = 0, id_col: str
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     marked = rows.select("page_id", F.sha1("payload").alias("sha"), F.octet_length("payload").alias("n"))
     groups = marked.where(F.col("n") >= least_bytes).groupBy("sha", "n").agg(F.max("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    # only payloads that repeat travel; each page's digest is computed where the page is
-    repeats = scratch.keep(marked.join(groups, ["sha", "n"]).where("page_id <> first or page_id is null").groupBy("page_id").agg(F.max("first").alias("refers_to")))
-    rows = rows.join(repeats, rows.page_id.eqNullSafe(repeats.page_id), "left").select(rows.page_id, "url", "payload", "refers_to")
+    # each page's digest is computed where the page is; a revisit is known by its id and its payload
+    repeats = marked.join(groups, ["sha", "n"]).where("page_id <> first or page_id is null").where("first is not null")
+    repeats = scratch.keep(repeats.groupBy("page_id", "sha", "n").agg(F.max("first").alias("refers_to")))
+    rows = rows.withColumn("sha", F.sha1("payload")).withColumn("n", F.octet_length("payload"))
+    same = rows.page_id.eqNullSafe(repeats.page_id) & (rows.sha == repeats.sha) & (rows.n == repeats.n)
+    rows = rows.join(repeats, same, "left").select(rows.page_id, "url", "payload", "refers_to")
     captures = scratch.keep(rows.mapInArrow(_write(path), CAPTURES))
     ordered = captures.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
     ordered.mapInArrow(_index(path), INDEX_FILES).write.parquet(f"{path}/index")

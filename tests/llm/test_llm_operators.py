@@ -240,6 +240,16 @@ def test_archive(spark, tmp_path):
 # shards and mixture
 
 
+def test_archive_of_repeated_ids(spark, tmp_path):
+    rows = [(1, "<p>a</p>"), (9, "<p>a</p>"), (9, "<p>a</p>"), (1, "own"), (None, "<p>a</p>"), (None, "other"), (None, "third"), (9, "own")]
+    path = f"file://{tmp_path}/r"
+    write_archive(spark.createDataFrame([(i, "u.org", h) for i, h in rows], "page_id long, url string, html string").repartition(2), path)
+    got = [(r.page_id, r.kind, r.refers_to, bytes(r.payload).decode() if r.payload is not None else None) for r in read_records(path, read_captures(spark, path)).collect()]
+    want = [(1, "revisit", 9, None)] * 2 + [(9, "response", None, "<p>a</p>")] * 2 + [(9, "response", None, "own"), (None, "revisit", 9, None)]
+    want += [(None, "response", None, "other"), (None, "response", None, "third")]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_shards(docs, none, spark, tmp_path):
     got = assign_shards(docs, 5).collect()
     n = len(rows())
