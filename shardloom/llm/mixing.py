@@ -89,37 +89,64 @@ def mix_sources(
     few = plan.count() <= BROADCAST_SOURCES
     near = lambda t: F.broadcast(t) if few else t
 
-    def with_plan(left: DataFrame, right: DataFrame) -> DataFrame:
+    def with_plan(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
         right = right.withColumnRenamed("source", "_source")
-        return left.join(near(right), left.source.eqNullSafe(right["_source"])).drop("_source")
+        return left.join(near(right), left.source.eqNullSafe(right["_source"]), how).drop("_source")
 
     u = uniform(F.lit(str(seed)), F.col("doc_id"), F.col("copy"), F.col("size"))
-    chance = F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), F.col("chance") * F.col("liking") / F.col("liking_avg")))
+    bounded = lambda c: F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), c))
+    chance, base = bounded(F.col("chance") * F.col("liking") / F.col("liking_avg")), bounded(F.col("chance"))
     ranked = with_plan(rows, plan).withColumn("q", u / (1 - u) * (1 - chance) / chance)
     ranked = ranked.withColumn("bucket", F.floor(F.col("q") / (1 + F.col("q")) * F.col("buckets")))
+    # the same order in parts of about equal sizes, whatever the chance: u itself where odds are equal
+    level = F.col("q") * base / (1 - base)
+    ranked = ranked.withColumn("part", F.floor(level / (1 + level) * F.col("buckets")))
 
-    sums = ranked.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+    # where at most half a word is wanted no document comes nearer: such sources have no cut
+    sums = ranked.where("rest > 0.5").groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     upto = Window.partitionBy("source").orderBy("bucket")
     sums = with_plan(sums.withColumn("reach", F.sum("words").over(upto)), plan.select("source", "rest"))
     cut = sums.where(F.col("reach") >= F.col("rest")).groupBy("source").agg(F.min("bucket").alias("cut"), F.min("reach").alias("reach"), F.min_by("words", "bucket").alias("words"))
     cut = scratch.keep(cut.select("source", "cut", (F.col("reach") - F.col("words")).alias("before")))
-    ranked = with_plan(ranked, cut)
+    ranked = with_plan(ranked, cut, "left")
 
     # around the cut: in order, each document that still fits, then one that doesn't if that comes nearer
-    row = F.struct("q", "doc_id", "copy", "size")
-    at_cut = ranked.where("bucket = cut").groupBy("source", "source_size", "target", "whole", "rest", "before").agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    start = F.struct((F.col("rest") - F.col("before")).alias("left"), F.array().cast("array<boolean>").alias("took"))
+    fields = ["q", "doc_id", "copy", "size", "liking"]
+    key = F.struct(*fields)
+    at_cut = ranked.where("bucket = cut").select("source", "source_size", "target", "whole", (F.col("rest") - F.col("before")).alias("room"), "part", *fields)
+    at_cut = scratch.keep(at_cut)
+    # the part in which the first document doesn't fit, and that document
+    sums = at_cut.groupBy("source", "room", "part").agg(F.sum("size").alias("words"))
+    sums = sums.withColumn("reach", F.sum("words").over(Window.partitionBy("source").orderBy("part"))).where("reach > room")
+    stop = sums.groupBy("source").agg(F.min("part").alias("stop"), F.min_by(F.col("reach") - F.col("words"), "part").alias("done"))
+    inside = with_plan(at_cut, stop).where("part = stop")
+    ordered = Window.partitionBy("source").orderBy(*fields).rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumn("run", F.col("done") + F.sum("size").over(ordered)).where("run > room")
+    edge = inside.groupBy("source", "room", "stop").agg(F.min(key).alias("edge"), F.min("run").alias("run"))
+    edge = scratch.keep(edge.select("source", "stop", "edge", (F.col("room") - F.col("run") + F.col("edge.size")).alias("left")))
+    # behind it no more than left / size documents of a size fit, the first ones
+    behind = with_plan(at_cut, edge).where((F.col("part") > F.col("stop")) | ((F.col("part") == F.col("stop")) & (key > F.col("edge"))))
+    behind = behind.where("size > 0 and size <= left").withColumn("i", F.row_number().over(Window.partitionBy("source", "size").orderBy(*fields)))
+    behind = behind.where(F.col("i") <= F.floor(F.col("left") / F.col("size"))).groupBy("source", "left").agg(F.sort_array(F.collect_list(key)).alias("rows"))
+    some = F.array().cast(f"array<{at_cut.select(key.alias('k')).schema[0].dataType.simpleString()}>")
 
     def step(acc: Column, x: Column) -> Column:
-        fits = (x["size"] <= acc["left"]) & (x["size"] > 0)
-        return F.struct((acc["left"] - F.when(fits, x["size"]).otherwise(0)).alias("left"), F.concat(acc["took"], F.array(fits)).alias("took"))
-
-    at_cut = at_cut.withColumn("a", F.aggregate("rows", start, step))
-    off = F.transform("rows", lambda x, i: F.struct(F.abs(x["size"] - F.col("a.left")).alias("off"), i.alias("i"), (x["size"] > 0).alias("some")))
-    extra = F.array_min(F.filter(off, lambda x: x["some"] & (x["off"] < F.col("a.left")) & ~F.get(F.col("a.took"), x["i"])))["i"]
-    at_cut = at_cut.withColumn("took", F.transform("a.took", lambda t, i: t | F.coalesce(i == extra, F.lit(False))))
-    at_cut = at_cut.withColumn("x", F.explode(F.arrays_zip("rows", "took")))
-    at_cut = at_cut.select(F.col("x.rows.doc_id").alias("doc_id"), "source", F.col("x.rows.size").alias("size"), "source_size", "target", "whole", F.col("x.took").alias("more"))
-    others = ranked.where("bucket <> cut").select("doc_id", "source", "size", "source_size", "target", "whole", ((F.col("bucket") < F.col("cut")) & (F.col("size") > 0)).alias("more"))
+        fits = x["size"] <= acc["left"]
+        took = F.when(fits, F.concat(acc["took"], F.array(x))).otherwise(acc["took"])
+        return F.struct((acc["left"] - F.when(fits, x["size"]).otherwise(0)).alias("left"), took.alias("took"))
+
+    behind = behind.select("source", F.aggregate("rows", F.struct("left", some.alias("took")), step).alias("a"))
+    edge = with_plan(edge, behind, "left").select("source", "stop", "edge", F.coalesce("a.left", "left").alias("left"), F.coalesce("a.took", some).alias("took"))
+    edge = scratch.keep(edge)
+    early = (F.col("part") < F.col("stop")) | ((F.col("part") == F.col("stop")) & (key < F.col("edge")))
+    at_cut = with_plan(at_cut, edge, "left").withColumn("took", F.col("stop").isNull() | early | F.array_contains("took", key))
+    off = F.abs(F.col("size") - F.col("left"))
+    extra = at_cut.where(~F.col("took") & (F.col("size") > 0) & (off < F.col("left"))).groupBy("source").agg(F.min(F.struct(off.alias("off"), *fields)).alias("x"))
+    extra = extra.select("source", F.struct(*(F.col(f"x.{c}").alias(c) for c in fields)).alias("extra"))
+    at_cut = with_plan(at_cut, scratch.keep(extra), "left")
+    more = (F.col("size") > 0) & (F.col("took") | F.coalesce(key == F.col("extra"), F.lit(False)))
+    at_cut = at_cut.select("doc_id", "source", "size", "source_size", "target", "whole", more.alias("more"))
+    early = F.coalesce((F.col("bucket") < F.col("cut")) & (F.col("size") > 0), F.lit(False))
+    others = ranked.where("cut is null or bucket <> cut").select("doc_id", "source", "size", "source_size", "target", "whole", early.alias("more"))
     out = others.union(at_cut).withColumn("copies", (F.col("whole") + F.col("more").cast("int")).cast("long"))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -304,6 +305,14 @@ def test_mixture(docs, none):
 # quality
 
 
+def test_mixture_of_whole_copies(spark):
+    # nothing is wanted beyond whole copies: no source's rows are gathered in one array
+    many = spark.range(150_000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source"))
+    start = time.monotonic()
+    assert [tuple(r) for r in mix_sources(many).groupBy("copies").count().collect()] == [(1, 150_000)]
+    assert time.monotonic() - start < 60
+
+
 def test_quality(spark, docs, none):
     table = "/root/testdata/sf0.01"
     d, labels = spark.read.parquet(f"{table}/documents.parquet"), spark.read.parquet(f"{table}/labels.parquet")
