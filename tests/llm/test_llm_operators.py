@@ -14,7 +14,7 @@ from shardloom.llm.common import Scratch, components, tokenizer_file
 from shardloom.llm.forest import near_duplicate_vectors, nearest_neighbours
 from shardloom.llm.mixing import mix_sources
 from shardloom.llm.near_dedup import least_shared, near_duplicates
-from shardloom.llm.packing import pack_documents
+from shardloom.llm.packing import B, K1, Bm25, bm25_idf, pack_documents, pack_shard, routing_ranks
 from shardloom.llm.quality import fit_quality, held_out, passages, quality_scores, score_quality
 from shardloom.llm.run_index import RunLengthIndex
 from shardloom.llm.sharding import assign_shards, write_shards
@@ -422,7 +422,6 @@ def plain_ids(name, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_file(name))
-    t.encode_special_tokens = True
     return lambda text: np.array([*t.encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
@@ -446,10 +445,75 @@ def test_packing(docs, none):
         mine.sort(key=lambda r: r.offset)
         assert [r.offset for r in mine] == np.cumsum([0, *(r.length for r in mine)])[:-1].tolist() and sum(r.length for r in mine) <= 256
         padding += 256 - sum(r.length for r in mine)
-    assert padding < 256 * len({s >> 32 for s in windows})
+    assert padding < 256 * len({s >> 40 for s in windows})
     assert pack_documents(none, tokenizer_file("byte_bpe_50k.json")).count() == 0
 
 
+def plain_bm25(docs, everyone, seed):
+    """Scores of all documents for the distinct terms of one of them, with counts over ``everyone``."""
+    mean = sum(map(len, everyone)) / len(everyone)
+    out = []
+    for d in docs:
+        score = 0.0
+        for t in set(docs[seed]):
+            df, tf = sum(t in e for e in everyone), list(d).count(t)
+            score += np.log(1 + (len(everyone) - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(d) / mean))
+        out.append(score)
+    return np.array(out)
+
+
+def test_bm25():
+    rng = np.random.default_rng(4)
+    everyone = [rng.zipf(1.3, rng.integers(0, 90)).astype(np.int64) % 400 for _ in range(60)]
+    docs = everyone[:40]
+    df = np.bincount(np.concatenate([np.unique(d) for d in everyone]).astype(int), minlength=400)
+    index = Bm25(docs, bm25_idf(df, len(everyone)), sum(map(len, everyone)) / len(everyone))
+    used = np.zeros(40, bool)
+    used[[3, 7]] = True
+    for seed in range(40):
+        want = plain_bm25(docs, everyone, seed)
+        want[used] = 0
+        got = index.neighbours(seed, used)
+        assert set(got.tolist()) == set(np.flatnonzero(want).tolist()) or len(set(docs[seed])) == 0
+        assert np.allclose(want[got], np.sort(want)[::-1][: len(got)])
+
+
+def test_windows_hold_the_best_unused_neighbours():
+    rng = np.random.default_rng(5)
+    docs = [rng.integers(0, 50, rng.integers(1, 30)).astype(np.int64) for _ in range(50)]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=50)
+    index = Bm25(docs, bm25_idf(df, 50), sum(map(len, docs)) / 50)
+    pieces = list(pack_shard(docs, index, 64))
+    used, order = np.zeros(50, bool), list(dict.fromkeys(p[0] for p in pieces))
+    opens = {}
+    for d, start, n, s, offset in pieces:
+        opens.setdefault(s, d)
+    first = {d: s for d, start, n, s, offset in reversed(pieces) if start == 0}
+    for k, d in enumerate(order):
+        seed = opens[first[d]]
+        if d != seed and k:
+            want = plain_bm25(docs, docs, seed)
+            want[used] = 0
+            assert want[d] == pytest.approx(want.max()) or want.max() == 0
+        used[d] = True
+    assert sorted(order) == list(range(50)) and max(p[3] for p in pieces) == (sum(map(len, docs)) - 1) // 64
+
+
+def test_neighbours_meet_in_windows(spark):
+    """Families of texts with own words, dealt far apart by id, lie next to each other in the order."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    common, own = [word() for _ in range(50)], [[word() for _ in range(12)] for _ in range(40)]
+    data = [(i, " ".join(rng.choices(own[i % 40], k=30) + rng.choices(common, k=10))) for i in range(600)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = pack_documents(df, tokenizer_file("byte_bpe_50k.json"), window=2048, range_ids=20_000).toPandas()
+    assert got.sequence_id.floordiv(1 << 40).nunique() > 3
+    mates = [(a % 40 == b % 40) for _, w in got.sort_values(["sequence_id", "offset"]).groupby("sequence_id") for a, b in zip(w.doc_id, w.doc_id[1:])]
+    assert np.mean(mates) > 0.6
+    ranks = routing_ranks(np.array([0, 1, 5, 5]), 10, 5)
+    assert np.isinf(ranks[:, :2]).all() and np.isfinite(ranks[:, 2:]).all()
+
+
 def test_token_tables(spark, docs, none, tmp_path):
     ids, path = plain_ids("word_bpe_49k.json", 2), f"file://{tmp_path}/t"
     write_tables(docs, path, tokenizer_file("word_bpe_49k.json"))
