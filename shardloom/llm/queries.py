@@ -15,7 +15,7 @@ from shardloom.llm.packing import pack_documents
 from shardloom.llm.quality import quality_scores
 from shardloom.llm.sharding import assign_shards
 from shardloom.llm.suffix_dedup import repeated_strings
-from shardloom.llm.token_tables import read_tables, write_tables
+from shardloom.llm.token_tables import lookup, write_tables
 from shardloom.llm.warc import read_captures, read_records, write_archive
 
 
@@ -62,8 +62,9 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{Scratch(spark, 'token-tables').root}/files"
-    write_tables(_table(spark, sf_dir, "documents"), path, tokenizer_file("word_bpe_49k.json"), end_id=2)
-    return read_tables(spark, path).select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    docs = _table(spark, sf_dir, "documents")
+    write_tables(docs, path, tokenizer_file("word_bpe_49k.json"), end_id=2)
+    return lookup(path, docs).select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

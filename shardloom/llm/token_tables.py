@@ -1,9 +1,9 @@
 """Token ids in sorted-string-table files: documents by identifier, found by binary search.
 
 A file holds a run of ascending keys. Data blocks keep keys prefix-compressed between restart points and end with the
-restarts; a sparse index has the last key of each block; a Bloom filter over the keys and a fixed footer follow. The
-manifest, a Parquet table, has a row for each file with its first and last key, so a lookup opens one file, asks its
-filter, and reads one block.
+restarts; a sparse index has the last key of each block and the ids before it; a Bloom filter over the keys and a fixed
+footer follow. The manifest, a Parquet table, has a row for each file with its first and last key, so a lookup opens
+one file, asks its filter, and reads one block.
 """
 
 from __future__ import annotations
@@ -15,10 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shardloom.llm.files import commit, store
+from shardloom.llm.common import Scratch
+from shardloom.llm.files import commit, covering, store
 from shardloom.llm.textbytes import mix
 from shardloom.llm.tokens import encoder
 
@@ -27,7 +29,11 @@ FOOTER = struct.Struct("<QQQQQQB8s")  # index at, index bytes, filter at, filter
 BLOCK_BYTES = 64 << 10
 RESTART = 16
 BITS, PROBES = 10, 7
-MANIFEST = "file string, first_key binary, last_key binary, n_docs long, n_ids long, n_bytes long"
+#: Blocks that one task reads, and bytes of files for one task of lookups, about.
+CHUNK_BLOCKS = 256
+TASK_BYTES = 16 << 20
+MANIFEST = "file string, part long, first_key binary, last_key binary, n_docs long, n_ids long, n_bytes long, n_blocks long"
+DOCUMENTS = "doc_id long, start long, ids binary"
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -71,7 +77,7 @@ class TableWriter:
     def __init__(self, out, id_bytes: int):
         self.out, self.id_bytes, self.at = out, id_bytes, 0
         self.block, self.restarts, self.in_block, self.last = bytearray(), [], 0, b""
-        self.index, self.keys, self.n_ids = [], [], 0
+        self.index, self.keys, self.n_ids, self.before = [], [], 0, 0
 
     def add(self, key: bytes, ids: np.ndarray) -> None:
         value = ids.astype("<u2" if self.id_bytes == 2 else "<u4").tobytes()
@@ -91,13 +97,13 @@ class TableWriter:
         if self.in_block:
             data = bytes(self.block) + struct.pack(f"<{len(self.restarts)}I", *self.restarts) + struct.pack("<I", len(self.restarts))
             self.out.write(data)
-            self.index.append((self.last, self.at, len(data)))
+            self.index.append((self.last, self.at, len(data), self.before))
             self.at += len(data)
-            self.block, self.restarts, self.in_block = bytearray(), [], 0
+            self.block, self.restarts, self.in_block, self.before = bytearray(), [], 0, self.n_ids
 
     def close(self) -> int:
         self._flush()
-        index = b"".join(_varint(len(k)) + k + _varint(at) + _varint(n) for k, at, n in self.index)
+        index = b"".join(_varint(len(k)) + k + _varint(at) + _varint(n) + _varint(before) for k, at, n, before in self.index)
         bits = max(64, -(-BITS * len(self.keys) // 8) * 8)
         grid = np.zeros(bits, np.uint8)
         for lo in range(0, len(self.keys), 1 << 16):
@@ -109,7 +115,7 @@ class TableWriter:
 
 
 class TableReader:
-    """Reads one file: all of it in order, or the documents of a key."""
+    """Reads one file: blocks of it in order, or the documents of keys."""
 
     def __init__(self, source):
         self.source = source
@@ -124,7 +130,9 @@ class TableReader:
             key, i = raw[i : i + k], i + k
             where, i = _read_varint(raw, i)
             length, i = _read_varint(raw, i)
-            self.index.append((key, where, length))
+            before, i = _read_varint(raw, i)
+            self.index.append((key, where, length, before))
+        self._held: tuple = (-1, [], [])
 
     def _entries(self, data: bytes, at: int, end: int) -> Iterator[tuple[bytes, bytes]]:
         key = b""
@@ -146,19 +154,26 @@ class TableReader:
     def ids(self, value: bytes) -> np.ndarray:
         return np.frombuffer(value, "<u2" if self.id_bytes == 2 else "<u4").astype("<u4")
 
-    def scan(self) -> Iterator[tuple[int | None, np.ndarray]]:
-        for i in range(len(self.index)):
+    def scan(self, lo: int = 0, hi: int | None = None) -> Iterator[tuple[int | None, int, np.ndarray]]:
+        """(id, ids before it in the file, ids) of the documents in some blocks."""
+        for i in range(lo, len(self.index) if hi is None else min(hi, len(self.index))):
             data, _, end = self._block(i)
+            start = self.index[i][3]
             for key, value in self._entries(data, 0, end):
-                yield id_of(key), self.ids(value)
+                ids = self.ids(value)
+                yield id_of(key), start, ids
+                start += len(ids)
 
-    def may_have(self, key: bytes) -> bool:
-        probes = _probes([key], len(self.filter) * 8)[0]
-        return all(self.filter[int(p) >> 3] >> (7 - (int(p) & 7)) & 1 for p in probes)
+    def may_have(self, keys: list[bytes]) -> np.ndarray:
+        """Whether the filter lets each key pass."""
+        if not keys:
+            return np.zeros(0, bool)
+        probes = _probes(keys, len(self.filter) * 8).astype(np.int64)
+        return (self.filter[probes >> 3] >> (7 - (probes & 7)).astype(np.uint8) & 1).all(axis=1)
 
     def find(self, key: bytes) -> Iterator[np.ndarray]:
-        """The ids of every document of the key: filter, then binary search over blocks and restarts."""
-        if not self.may_have(key):
+        """The ids of every document of one key: filter, then binary search over blocks and restarts."""
+        if not self.may_have([key])[0]:
             return
         for i in range(bisect_left(self.index, key, key=lambda x: x[0]), len(self.index)):
             data, restarts, end = self._block(i)
@@ -170,6 +185,26 @@ class TableReader:
                 if k == key:
                     yield self.ids(value)
 
+    def find_sorted(self, keys: list[bytes]) -> Iterator[tuple[bytes, int, np.ndarray]]:
+        """(key, ids before it in the file, ids) of every document of ascending keys.
+
+        Filter, then binary search over the sparse index and in the block, which is read once for keys that share it.
+        """
+        for key in (k for k, may in zip(keys, self.may_have(keys).tolist(), strict=True) if may):
+            for i in range(bisect_left(self.index, key, key=lambda x: x[0]), len(self.index)):
+                if self._held[0] != i:
+                    data, _, end = self._block(i)
+                    entries = list(self._entries(data, 0, end))
+                    size = np.array([len(v) for _, v in entries], np.int64) // self.id_bytes
+                    self._held = (i, entries, (self.index[i][3] + np.cumsum(size) - size).tolist())
+                _, entries, starts = self._held
+                at = bisect_left(entries, key, key=lambda x: x[0])
+                while at < len(entries) and entries[at][0] == key:
+                    yield key, starts[at], self.ids(entries[at][1])
+                    at += 1
+                if at < len(entries):
+                    break
+
 
 def _write(folder: str, tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +225,7 @@ def _write(folder: str, tokenizer: str, end_id: int):
             size = writer.close()
             out.close()
             commit(at, f"{root}/_{name}", f"{root}/{name}")
-            row = {"file": [name], "first_key": [first], "last_key": [last], "n_docs": [len(writer.keys)], "n_ids": [writer.n_ids], "n_bytes": [size]}
+            row = {"file": [name], "part": [TaskContext.get().partitionId()], "first_key": [first], "last_key": [last], "n_docs": [len(writer.keys)], "n_ids": [writer.n_ids], "n_bytes": [size], "n_blocks": [len(writer.index)]}
             yield pa.RecordBatch.from_pydict(row)
 
     return run
@@ -199,8 +234,11 @@ def _write(folder: str, tokenizer: str, end_id: int):
 def write_tables(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the token ids of every document under ``path`` and returns the manifest.
 
-    Files hold ascending ranges of ids (null first); repeated ids are all kept, equal texts next to each other. A task
-    that runs again writes a file of its own, and only the files of tasks that counted are in the manifest.
+    Files hold ascending ranges of ids (null first); an id's rows are in one file, all kept, equal texts next to each
+    other. Null and empty texts have the end id only; a long text is an entry of its own length, in a block of its own
+    if it is longer than one; an empty table gives an empty manifest. Other columns of ``docs`` are ignored, whatever
+    their names. A task that runs again writes a file of its own, and only the files of tasks that counted are in the
+    manifest.
     """
     spark = docs.sparkSession
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -214,53 +252,74 @@ def write_tables(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """The files in key order, ``base`` being the ids of all files before one."""
     files = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
-    order = Window.orderBy("first_key", "last_key", "file")  # one row for each file
+    order = Window.orderBy("part")  # one row for each file
     return files.withColumn("base", F.coalesce(F.sum("n_ids").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
 
+class _Documents:
+    """Batches of (doc_id, start, ids), given out when they hold enough."""
+
+    def __init__(self):
+        self.rows: tuple[list, list, list] = ([], [], [])
+        self.size = 0
+
+    def add(self, doc_id: int | None, start: int, ids: np.ndarray) -> bool:
+        for held, x in zip(self.rows, (doc_id, start, ids.tobytes()), strict=True):
+            held.append(x)
+        self.size += len(self.rows[2][-1])
+        return self.size > 4 << 20
+
+    def take(self) -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(self.rows[0], pa.int64()), pa.array(self.rows[1], pa.int64()), pa.array(self.rows[2], pa.binary())], ["doc_id", "start", "ids"])
+        self.rows, self.size = ([], [], []), 0
+        return out
+
+
 def _scan(folder: str):
+    """The documents of (file, base, first block) rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, root = store(folder)
+        out = _Documents()
         for batch in batches:
-            for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for name, base, lo in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with at.open_input_file(f"{root}/{name}") as source:
-                    docs, starts, ids, size = [], [], [], 0
-                    for doc_id, x in TableReader(source).scan():
-                        docs.append(doc_id)
-                        starts.append(base)
-                        ids.append(x.tobytes())
-                        base += len(x)
-                        size += len(ids[-1])
-                        if size > 4 << 20:
-                            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "start", "ids"])
-                            docs, starts, ids, size = [], [], [], 0
-                    yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "start", "ids"])
+                    for doc_id, start, ids in TableReader(source).scan(lo, lo + CHUNK_BLOCKS):
+                        if out.add(doc_id, base + start, ids):
+                            yield out.take()
+        yield out.take()
 
     return run
 
 
 def read_tables(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), ids (little-endian 32-bit) of every document, read from the files."""
-    files = read_manifest(spark, path).select("file", "base")
-    return files.repartition("file").mapInArrow(_scan(path), "doc_id long, start long, ids binary")
+    """doc_id, start (ids of all documents before it), ids (little-endian 32-bit) of every document, by ranges of blocks."""
+    files = read_manifest(spark, path)
+    chunks = files.select("file", "base", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1, F.lit(CHUNK_BLOCKS).cast("long"))).alias("lo"))
+    return chunks.repartitionByRange(max(1, chunks.count()), "base", "lo").mapInArrow(_scan(path), DOCUMENTS)
 
 
 def _find(folder: str):
+    """The documents of (file, base, key) rows in ascending order of keys."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, root = store(folder)
-        name, source, reader = None, None, None
+        name, source, reader, out = None, None, None, _Documents()
         for batch in batches:
-            docs, ids = [], []
-            for file, doc_id in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if file != name:
+            names, bases, keys = (c.to_pylist() for c in batch.columns)
+            cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if lo == hi:
+                    continue
+                if names[lo] != name:
                     if source is not None:
                         source.close()
-                    name, source = file, at.open_input_file(f"{root}/{file}")
+                    name, source = names[lo], at.open_input_file(f"{root}/{names[lo]}")
                     reader = TableReader(source)
-                for x in reader.find(key_of(doc_id)):
-                    docs.append(doc_id)
-                    ids.append(x.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+                for key, start, ids in reader.find_sorted(keys[lo:hi]):
+                    if out.add(id_of(key), bases[lo] + start, ids):
+                        yield out.take()
+        yield out.take()
         if source is not None:
             source.close()
 
@@ -268,12 +327,18 @@ def _find(folder: str):
 
 
 def lookup(path: str, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """doc_id, ids of the documents whose ids are in ``wanted`` (null finds null ids), by binary search in the files."""
+    """doc_id, start, ids of the documents whose ids are in ``wanted`` (null finds null ids), by binary search in the files.
+
+    An id that is asked for repeatedly is looked up once; each stored document of an id is returned; an id that no
+    file has gives nothing. Keys are dealt to tasks by ranges, so each task reads a run of blocks onwards.
+    """
     spark = wanted.sparkSession
-    files = read_manifest(spark, path).select("file", "first_key", "last_key")
+    scratch = Scratch(spark, "lookup")
+    files = scratch.keep(read_manifest(spark, path))
     key = F.when(F.col("doc_id").isNull(), F.unhex(F.lit("00"))).otherwise(
         F.unhex(F.concat(F.lit("01"), F.lpad(F.hex(F.col("doc_id").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")))
     )
-    asked = wanted.select(F.col(id_col).cast("long").alias("doc_id")).distinct().withColumn("key", key)
-    hit = asked.join(files, (F.col("key") >= F.col("first_key")) & (F.col("key") <= F.col("last_key")))
-    return hit.select("file", "doc_id").repartition("file").sortWithinPartitions("file", "doc_id").mapInArrow(_find(path), "doc_id long, ids binary")
+    asked = wanted.select(F.col(id_col).cast("long").alias("doc_id")).distinct().select(key.alias("key"))
+    hit = covering(asked, files).join(files.select("file", "base"), "file").select("file", "base", "key")
+    tasks = max(1, -(-(files.agg(F.sum("n_bytes")).first()[0] or 0) // TASK_BYTES))
+    return hit.repartitionByRange(tasks, "key").sortWithinPartitions("key").mapInArrow(_find(path), DOCUMENTS)

@@ -526,10 +526,38 @@ def test_token_tables(spark, docs, none, tmp_path):
     assert [r.doc_id for r in got if r.doc_id is not None] == sorted(r[0] for r in rows() if r[0] is not None) and got[0].doc_id is None
     text = {r[0]: r[1] for r in rows()}
     assert all(bytes(r.ids) == ids(text[r.doc_id]).tobytes() for r in got if r.doc_id is not None)
-    wanted = spark.createDataFrame([(3,), (rows()[30][0],), (10**9,), (-1,), (None,)], "doc_id long")
+    everything = lookup(path, docs).collect()
+    assert sorted((r.start, bytes(r.ids), str(r.doc_id)) for r in everything) == [(r.start, bytes(r.ids), str(r.doc_id)) for r in got]
+    wanted = spark.createDataFrame([(3,), (rows()[30][0],), (10**9,), (-1,), (None,), (3,)], "doc_id long")
     found = lookup(path, wanted).collect()
     assert sorted(str(r.doc_id) for r in found) == sorted(["3", str(rows()[30][0]), str(rows()[30][0]), "None", "None"])
     assert all(bytes(r.ids) == ids(text[r.doc_id]).tobytes() for r in found if r.doc_id is not None)
     assert read_manifest(spark, path).agg(F.sum("n_docs")).first()[0] == len(rows())
     write_tables(none, f"file://{tmp_path}/e", tokenizer_file("word_bpe_49k.json"))
-    assert read_tables(spark, f"file://{tmp_path}/e").count() == 0
+    assert read_tables(spark, f"file://{tmp_path}/e").count() == 0 and lookup(f"file://{tmp_path}/e", wanted).count() == 0
+
+
+def test_table_files(tmp_path):
+    """Many blocks, restarts, repeated keys across blocks, and keys that aren't there."""
+    import pyarrow.fs as fs
+
+    from shardloom.llm.token_tables import TableReader, TableWriter, key_of
+
+    rng, at = np.random.default_rng(2), fs.LocalFileSystem()
+    ids = sorted([*rng.integers(-500, 5000, 900).tolist(), *[77] * 400])
+    values = [rng.integers(0, 60_000, rng.integers(1, 400)).astype(np.uint32) for _ in ids]
+    with at.open_output_stream(f"{tmp_path}/f") as out:
+        w = TableWriter(out, 2)
+        for i, v in zip(ids, values, strict=True):
+            w.add(key_of(i), v)
+        w.close()
+    with at.open_input_file(f"{tmp_path}/f") as source:
+        r = TableReader(source)
+        starts = np.cumsum([0, *map(len, values)]).tolist()
+        assert len(r.index) > 5 and [(i, s, v.tolist()) for i, s, v in r.scan()] == [(i, s, v.tolist()) for i, s, v in zip(ids, starts, values)]
+        assert sum(1 for _ in r.scan(1, 3)) < len(ids)
+        asked = [key_of(i) for i in range(-600, 5100)]
+        assert [(s, v.tolist()) for _, s, v in r.find_sorted(asked)] == [(s, v.tolist()) for s, v in zip(starts, values)]
+        assert [v.tolist() for v in r.find(key_of(77))] == [v.tolist() for i, v in zip(ids, values) if i == 77]
+        absent = [key_of(i) for i in range(10_000, 30_000)]
+        assert r.may_have(absent).mean() < 0.03 and r.may_have([key_of(i) for i in ids]).all()
