@@ -16,7 +16,7 @@ from shardloom.llm.quality import quality_scores
 from shardloom.llm.sharding import assign_shards
 from shardloom.llm.suffix_dedup import repeated_strings
 from shardloom.llm.token_tables import lookup, write_tables
-from shardloom.llm.warc import read_captures, read_records, write_archive
+from shardloom.llm.warc import find_captures, read_records, write_archive
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,8 +33,9 @@ def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{Scratch(spark, 'warc').root}/archive"
-    write_archive(_table(spark, sf_dir, "pages"), path, least_bytes=0)
-    records = read_records(path, read_captures(spark, path))
+    pages = _table(spark, sf_dir, "pages")
+    write_archive(pages, path, least_bytes=0)
+    records = read_records(path, find_captures(path, pages))
     return records.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
 
 

@@ -18,18 +18,24 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardloom.llm.common import Scratch
-from shardloom.llm.files import commit, store
+from shardloom.llm.files import commit, covering, store
 
 DATE = "2024-01-01T00:00:00Z"
 #: Captures in one compressed block of the index.
 BLOCK_LINES = 1000
+#: Captures in one index file, blocks and captures for one task, and bytes of records for one task, about.
+FILE_LINES = 200_000
+CHUNK_BLOCKS = 50
+TASK_LINES = 50_000
+TASK_BYTES = 32 << 20
 LEVEL = 3
 CAPTURES = "key string, page_id long, url string, file string, at long, length long, digest string, kind string, refers_to long, payload_bytes long"
-INDEX_FILES = "file string, first_key string, last_key string, blocks long, lines long"
+INDEX_FILES = "file string, part long, first_key string, last_key string, blocks long, lines long"
 
 
 def surt(url: str | None) -> str:
@@ -46,10 +52,12 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, sha: str, kind: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record as a gzip member: a response with its payload, or a revisit that names the response."""
-    body = b"" if kind == "revisit" else payload
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+def record(page_id: int | None, url: str | None, body: bytes, size: int, sha: str, kind: str, refers_to: int | None) -> bytes:
+    """One WARC/1.1 record as a gzip member: a response with its payload, or a revisit that names the response.
+
+    ``size`` and ``sha`` are the whole payload's; a revisit has no ``body``.
+    """
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
     target = (url or "").replace("\r", "%0D").replace("\n", "%0A")
     head = [
         "WARC/1.1",
@@ -59,7 +67,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, sha: str, kind:
         f"WARC-Target-URI: {target}",
         f"WARC-Payload-Digest: sha1:{sha}",
         f"X-Page-ID: {'' if page_id is None else page_id}",
-        f"X-Payload-Length: {len(payload)}",
+        f"X-Payload-Length: {size}",
     ]
     if kind == "revisit":
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}')}>", f"X-Refers-To-Page: {refers_to}"]
@@ -93,14 +101,13 @@ def _write(folder: str):
         name, out, place = f"pages-{uuid.uuid4().hex}.warc.gz", None, 0
         for batch in batches:
             lines = []
-            for page_id, url, html, refers_to in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for page_id, url, payload, sha, size, refers_to in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if out is None:
                     out = at.open_output_stream(f"{root}/_{name}", compression=None)
-                payload = html or b""
-                sha, kind = digest(payload), "response" if refers_to is None else "revisit"
-                member = record(page_id, url, payload, sha, kind, refers_to)
+                sha, kind = base64.b32encode(bytes.fromhex(sha)).decode(), "response" if refers_to is None else "revisit"
+                member = record(page_id, url, payload or b"", size, sha, kind, refers_to)
                 out.write(member)
-                lines.append((surt(url), page_id, url, name, place, len(member), sha, kind, refers_to, len(payload)))
+                lines.append((surt(url), page_id, url, name, place, len(member), sha, kind, refers_to, size))
                 place += len(member)
             if lines:
                 yield pa.RecordBatch.from_arrays([pa.array(x) if i not in (1, 8) else pa.array(x, pa.int64()) for i, x in enumerate(map(list, zip(*lines, strict=True)))], names=[c.split()[0] for c in CAPTURES.split(", ")])
@@ -141,7 +148,7 @@ def _index(folder: str):
                 d.write(gzip.compress(json.dumps(directory).encode(), LEVEL))
             commit(at, f"{root}/_{name}.dir", f"{root}/{name}.dir")
             commit(at, f"{root}/_{name}", f"{root}/{name}")
-            yield pa.RecordBatch.from_pydict({"file": [name], "first_key": [directory[0][0]], "last_key": [last], "blocks": [len(directory)], "lines": [n]})
+            yield pa.RecordBatch.from_pydict({"file": [name], "part": [TaskContext.get().partitionId()], "first_key": [directory[0][0]], "last_key": [last], "blocks": [len(directory)], "lines": [n]})
 
     return run
 
@@ -153,18 +160,23 @@ class CaptureFile:
         self.source = at.open_input_file(path)
         with at.open_input_file(f"{path}.dir") as d:
             self.directory = json.loads(gzip.decompress(d.read()))
+        self._held: tuple[int, list] = (-1, [])
 
     def block(self, i: int) -> list[list]:
-        _, place, n = self.directory[i]
-        return [json.loads(x) for x in zlib.decompress(self.source.read_at(n, place)).decode().split("\n")[:-1]]
+        if self._held[0] != i:
+            _, place, n = self.directory[i]
+            self._held = (i, [json.loads(x) for x in zlib.decompress(self.source.read_at(n, place)).decode().split("\n")[:-1]])
+        return self._held[1]
 
-    def scan(self) -> Iterator[list]:
-        for i in range(len(self.directory)):
+    def scan(self, lo: int = 0, hi: int | None = None) -> Iterator[list]:
+        for i in range(lo, len(self.directory) if hi is None else min(hi, len(self.directory))):
             yield from self.block(i)
 
     def find(self, key: str) -> Iterator[list]:
         """The captures of a key: binary search over the blocks' first keys, then within blocks."""
         for i in range(max(0, bisect_left(self.directory, key, key=lambda x: x[0]) - 1), len(self.directory)):
+            if self.directory[i][0] > key:
+                return
             rows = self.block(i)
             for row in rows[bisect_left(rows, key, key=lambda x: x[0]) :]:
                 if row[0] != key:
@@ -172,30 +184,36 @@ class CaptureFile:
                 yield row
 
 
+_NAMES = [c.split()[0] for c in CAPTURES.split(", ")]
+_KINDS = [pa.int64() if c.endswith(" long") else pa.string() for c in CAPTURES.split(", ")]
+
+
 def _captures(folder: str, by_key: bool):
-    """Captures of whole index files, or of (file, key) rows."""
+    """Captures of (file, first block) rows, or of (file, key) rows in ascending order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, root = store(folder)
-        names = [c.split()[0] for c in CAPTURES.split(", ")]
-        kinds = [pa.int64() if c.endswith(" long") else pa.string() for c in CAPTURES.split(", ")]
-        name, file = None, None
+        name, file, rows = None, None, []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[0] != name:
                     name, file = row[0], CaptureFile(at, f"{root}/{row[0]}")
-                rows = []
-                for x in file.find(row[1]) if by_key else file.scan():
+                for x in file.find(row[1]) if by_key else file.scan(row[1], row[1] + CHUNK_BLOCKS):
                     rows.append(x)
                     if len(rows) == 20_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=_NAMES)
                         rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=_NAMES)
 
     return run
 
 
+def _surts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([surt(u) for u in batch.column(0).to_pylist()], pa.string())], ["key"])
+
+
 def _read(folder: str):
     """Range reads of the records of (file, at, length) rows, sorted by file; the payload of a revisit is null."""
 
@@ -234,9 +252,10 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = 0, id_col: str
     """Writes the pages as WARC files with their capture index under ``path``.
 
     Of pages with equal payloads of at least ``least_bytes`` bytes the one with the largest id is written as response
-    and the others as revisits of it. Null payloads are empty, null URLs too; pages with a null id are responses
-    unless an id has their payload; repeated rows of the largest id are all responses. An id's rows with other payloads
-    are judged by their own. An empty table gives an archive without files.
+    and the others as revisits of it; of several rows with that id and payload the one with the least URL is the
+    response. A row is judged by its own payload: an id's rows with other payloads are judged apart. Null payloads are
+    empty, null URLs too; pages with a null id are responses unless an id has their payload. Other columns are ignored,
+    whatever their names; a record holds one payload whole, however long; an empty table gives an archive without files.
     """
     spark = pages.sparkSession
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -244,38 +263,58 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = 0, id_col: str
     scratch = Scratch(spark, "warc")
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
-    marked = rows.select("page_id", F.sha1("payload").alias("sha"), F.octet_length("payload").alias("n"))
-    groups = marked.where(F.col("n") >= least_bytes).groupBy("sha", "n").agg(F.max("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    # each page's digest is computed where the page is; a revisit is known by its id and its payload
-    repeats = marked.join(groups, ["sha", "n"]).where("page_id <> first or page_id is null").where("first is not null")
-    repeats = scratch.keep(repeats.groupBy("page_id", "sha", "n").agg(F.max("first").alias("refers_to")))
-    rows = rows.withColumn("sha", F.sha1("payload")).withColumn("n", F.octet_length("payload"))
-    same = rows.page_id.eqNullSafe(repeats.page_id) & (rows.sha == repeats.sha) & (rows.n == repeats.n)
-    rows = rows.join(repeats, same, "left").select(rows.page_id, "url", "payload", "refers_to")
-    captures = scratch.keep(rows.mapInArrow(_write(path), CAPTURES))
-    ordered = captures.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    rows = rows.withColumn("sha", F.sha1("payload")).withColumn("n", F.octet_length("payload").cast("long"))
+    key = ["page_id", "sha", "n"]
+    # digests travel, payloads don't: a payload's rows are counted by id
+    counted = rows.select(*key).where(F.col("n") >= least_bytes).groupBy(*key).agg(F.count("*").alias("m"))
+    groups = counted.groupBy("sha", "n").agg(F.max("page_id").alias("first"), F.sum("m").alias("copies")).where("copies > 1 and first is not null").drop("copies")
+    marked = scratch.keep(counted.join(groups, ["sha", "n"]).where("page_id is null or page_id <> first or m > 1"))
+    repeats = marked.where("page_id is null or page_id <> first").select(*key, F.col("first").alias("refers_to"))
+    ties = marked.where("page_id = first").select(*key)
+    joined = rows.join(repeats, rows.page_id.eqNullSafe(repeats.page_id) & (rows.sha == repeats.sha) & (rows.n == repeats.n), "left")
+    body = F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload")
+    records = joined.select(rows.page_id, "url", body, rows.sha, rows.n, "refers_to")
+    if ties.limit(1).count():
+        tied = rows.join(ties, key, "left_semi")
+        first = tied.groupBy(*key).agg(F.min(F.struct(F.coalesce("url", F.lit("")).alias("u"), "url")).alias("x"), F.first("payload").alias("payload"))
+        response = first.select("page_id", F.col("x.url").alias("url"), "payload", "sha", "n", F.lit(None).cast("long").alias("refers_to"))
+        again = tied.groupBy(*key, "url").agg(F.count("*").alias("m")).join(first.select(*key, "x"), key)
+        again = again.withColumn("m", F.col("m") - F.col("url").eqNullSafe(F.col("x.url")).cast("int")).where("m > 0")
+        again = again.select("page_id", "url", F.lit(None).cast("binary").alias("payload"), "sha", "n", F.col("page_id").alias("refers_to"), F.explode(F.sequence(F.lit(1).cast("long"), "m")).alias("_i")).drop("_i")
+        records = records.join(ties, key, "left_anti").select(*records.columns).unionByName(response).unionByName(again)
+    captures = scratch.keep(records.mapInArrow(_write(path), CAPTURES))
+    files = max(1, -(-captures.count() // FILE_LINES))
+    ordered = captures.repartitionByRange(files, "key", "page_id").sortWithinPartitions("key", "page_id")
     ordered.mapInArrow(_index(path), INDEX_FILES).write.parquet(f"{path}/index")
-    scratch.drop(repeats, captures)
+    scratch.drop(marked, captures)
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(INDEX_FILES).parquet(f"{path}/index")
 
 
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
     """All captures, read from the blocks of the index."""
-    files = spark.read.schema(INDEX_FILES).parquet(f"{path}/index")
-    return files.select("file").repartition("file").mapInArrow(_captures(path, False), CAPTURES)
+    chunks = _files(spark, path).select("file", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1, F.lit(CHUNK_BLOCKS).cast("long"))).alias("lo"))
+    return chunks.repartitionByRange(max(1, chunks.count()), "file", "lo").mapInArrow(_captures(path, False), CAPTURES)
 
 
 def find_captures(path: str, urls: DataFrame, url_col: str = "url") -> DataFrame:
-    """The captures of the URLs in ``urls``: the file by its keys, the block by the directory, the line by its key."""
-    spark = urls.sparkSession
-    files = spark.read.schema(INDEX_FILES).parquet(f"{path}/index")
-    keys = urls.select(F.udf(surt, "string")(F.col(url_col)).alias("key")).distinct()
-    asked = keys.join(files, (F.col("key") >= F.col("first_key")) & (F.col("key") <= F.col("last_key"))).select("file", "key")
-    return asked.repartition("file").sortWithinPartitions("file", "key").mapInArrow(_captures(path, True), CAPTURES)
+    """The captures of the URLs in ``urls``: the file by its keys, the block by the directory, the line by its key.
+
+    A key that is asked for repeatedly is looked up once, and all captures of it are returned; a null URL finds those
+    of null URLs. Keys are dealt to tasks by ranges, so each task reads a run of blocks onwards.
+    """
+    files = _files(urls.sparkSession, path)
+    keys = urls.select(F.col(url_col).cast("string").alias("url")).distinct().mapInArrow(_surts, "key string").distinct()
+    asked = covering(keys, files)
+    tasks = max(1, -(-(files.agg(F.sum("lines")).first()[0] or 0) // TASK_LINES))
+    return asked.repartitionByRange(tasks, "key", "file").sortWithinPartitions("key", "file").mapInArrow(_captures(path, True), CAPTURES)
 
 
 def read_records(path: str, captures: DataFrame) -> DataFrame:
     """The records of some captures, each by a range read of its archive file, checked against its digest."""
-    places = captures.select("file", "at", "length")
+    places = Scratch(captures.sparkSession, "records").keep(captures.select("file", "at", "length"))
+    tasks = max(1, -(-(places.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES))
     # a file's records are spread over tasks by ranges of its bytes, each task reading onwards
-    places = places.repartitionByRange("file", "at").sortWithinPartitions("file", "at")
-    return places.mapInArrow(_read(path), RECORD)
+    return places.repartitionByRange(tasks, "file", "at").sortWithinPartitions("file", "at").mapInArrow(_read(path), RECORD)

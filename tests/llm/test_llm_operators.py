@@ -232,10 +232,30 @@ def test_archive(spark, tmp_path):
     assert one[None].kind == "revisit" and one[None].refers_to == 5
     found = find_captures(path, spark.createDataFrame([("http://ex.com/b?q=1",), ("http://none.com/",)], "url string")).collect()
     assert {r.page_id for r in found} == {0, 5}
+    everything = sorted(str(r) for r in find_captures(path, pages).collect())
+    assert everything == sorted(str(r) for r in read_captures(spark, path).collect()) and len(everything) == len(rows)
     assert surt("http://www.Ex.com/b?q=1#f") == "com,ex)/b?q=1" and surt("http://ex.com:8080/a") == "com,ex:8080)/a" and surt(None) == ")/"
     empty = f"file://{tmp_path}/b"
     write_archive(pages.limit(0), empty)
-    assert read_captures(spark, empty).count() == 0
+    assert read_captures(spark, empty).count() == 0 and find_captures(empty, pages).count() == 0
+
+
+def test_captures_over_many_files(spark, tmp_path, monkeypatch):
+    """Keys that run over blocks and files are found whole."""
+    from shardloom.llm import files, warc
+
+    monkeypatch.setattr(warc, "FILE_LINES", 60)
+    monkeypatch.setattr(files, "FILES_PER_FENCE", 2)
+    urls = [f"http://h{i % 40}.org/{i % 3}" for i in range(500)] + ["http://hot.org/"] * 400
+    pages = spark.createDataFrame([(i, u, f"<p>{i % 600}</p>") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    path = f"file://{tmp_path}/m"
+    write_archive(pages, path)
+    assert spark.read.parquet(f"{path}/index").count() > 8
+    found = find_captures(path, spark.createDataFrame([("http://hot.org/",), ("http://h7.org/1",), ("http://zz.org/",)], "url string")).collect()
+    assert sorted(r.page_id for r in found) == [i for i, u in enumerate(urls) if u in ("http://hot.org/", "http://h7.org/1")]
+    got = read_records(path, find_captures(path, pages)).collect()
+    assert sorted(r.page_id for r in got) == list(range(900))
+    assert all((r.kind == "response") == (r.page_id + 600 >= 900) for r in got)
 
 
 # shards and mixture
@@ -246,7 +266,8 @@ def test_archive_of_repeated_ids(spark, tmp_path):
     path = f"file://{tmp_path}/r"
     write_archive(spark.createDataFrame([(i, "u.org", h) for i, h in rows], "page_id long, url string, html string").repartition(2), path)
     got = [(r.page_id, r.kind, r.refers_to, bytes(r.payload).decode() if r.payload is not None else None) for r in read_records(path, read_captures(spark, path)).collect()]
-    want = [(1, "revisit", 9, None)] * 2 + [(9, "response", None, "<p>a</p>")] * 2 + [(9, "response", None, "own"), (None, "revisit", 9, None)]
+    # the two equal rows of the largest id are one response and a revisit of it
+    want = [(1, "revisit", 9, None)] * 2 + [(9, "response", None, "<p>a</p>"), (9, "revisit", 9, None), (9, "response", None, "own"), (None, "revisit", 9, None)]
     want += [(None, "response", None, "other"), (None, "response", None, "third")]
     assert sorted(map(str, got)) == sorted(map(str, want))
 
