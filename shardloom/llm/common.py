@@ -41,22 +41,28 @@ class Scratch:
         for t in tables:
             self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self._at.pop(id(t))), True)
 
+    def clear(self, *but: DataFrame) -> None:
+        """Deletes all tables but those given."""
+        for key, path in list(self._at.items()):
+            if key not in {id(t) for t in but}:
+                self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
+                del self._at[key]
+
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b: long), component being the smallest node reachable.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014) as joins and grouped minima, so that no node's
-    neighbours are gathered in one place; each step is a table in the shared folder. Ends when a step changes nothing.
+    neighbours are gathered in one place; each step is a table in the shared folder. Ends when all components are stars around their smallest nodes.
     """
     now = scratch.keep(
         edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
-    mark = None
     while True:
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == seen or not seen[0]:
+        # settled: each node has one neighbour, which has none itself
+        heads = now.select(F.col("b").alias("a"), F.lit(True).alias("head")).distinct()
+        if not now.groupBy("a").agg(F.count("*").alias("n")).join(heads, "a", "left").where("n > 1 or head").limit(1).count():
             break
-        mark = seen
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()

@@ -5,8 +5,8 @@ values that any sufficiently similar partner must share propose pairs, the sketc
 Jaccard similarity, and the whole shingle sets decide.
 
 A group of many copies never becomes all its pairs: equal sets are one node, each list is compared with one hub (its
-most typical member), and only lists that still join several components are looked at again, in blocks, against the
-members outside the largest component.
+most typical member), lists that still join several components with hubs outside their largest one, and what is then
+left of a list is compared in blocks, the members outside its largest component against all.
 """
 
 from __future__ import annotations
@@ -26,6 +26,10 @@ from shardloom.llm.textbytes import mix, shingle_sets
 #: The chance that a pair right at the threshold shares too few retained values to be proposed, or is misjudged.
 MISS = 1e-7
 BLOCK = 512
+#: A list's members that meet its hub in one task, about; longer lists are dealt to more tasks.
+SALT_ROWS = 4096
+#: Rounds of further hubs for lists that join several components, before their rest is compared in blocks.
+ROUNDS = 2
 
 
 def least_shared(k: int, threshold: float, miss: float = MISS) -> int:
@@ -52,12 +56,13 @@ def _sketches(width: int, k: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(2),
                     pa.array(n, pa.int64()),
                     pa.array(np.array(one, np.uint64).view(np.int64)),
                     pa.array(np.array(two, np.uint64).view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                 ],
-                names=["doc_id", "n_shingles", "fp1", "fp2", "sketch"],
+                names=["doc_id", "text_hash", "n_shingles", "fp1", "fp2", "sketch"],
             )
 
     return run
@@ -69,7 +74,7 @@ def _full_sets(width: int):
             sets = [s.view(np.int64) for s in shingle_sets(batch.column(1), width)]
             ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
             flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["rep", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["node", "shingles"])
 
     return run
 
@@ -82,7 +87,7 @@ def _block_links(num: int, den: int):
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.drop_duplicates(["rep", "side"])
+        rows = pdf.drop_duplicates(["node", "side"])
         left, right = rows[rows.side == 0].reset_index(drop=True), rows[rows.side == 1].reset_index(drop=True)
         if not len(left) or not len(right):
             return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
@@ -102,7 +107,7 @@ def _block_links(num: int, den: int):
         inter = inter.astype(np.int64)
         linked = den * inter >= num * (sizes[0][:, None] + sizes[1][None, :] - inter)
         i, j = np.nonzero(linked)
-        ids, n = np.concatenate([left.rep.to_numpy(), right.rep.to_numpy()]), len(left)
+        ids, n = np.concatenate([left.node.to_numpy(), right.node.to_numpy()]), len(left)
         root = np.arange(len(ids))
         for a, b in zip(i, n + j, strict=True):
             while root[a] != a:
@@ -121,97 +126,138 @@ def _block_links(num: int, den: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, k: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs``.
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The (v, node, c) rows of those lists that several components share, one list for each set of members."""
+    marks = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"x{i}") for i in range(2)]
+    lists = rows.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n"), *marks).where("lo <> hi")
+    lists = lists.groupBy("x0", "x1", "n").agg(F.min("v").alias("v")).select("v")
+    return rows.join(lists, "v", "left_semi")
+
+
+def _able(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The nodes among ``members`` that have enough shingles in common with all others to be linked with any."""
+    held = sets.join(members.select("node").distinct(), "node", "left_semi")
+    flat = held.select("node", F.explode("shingles").alias("h"))
+    twice = flat.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("h")
+    common = flat.join(twice, "h", "left_semi").groupBy("node").agg(F.count("*").alias("common"))
+    return held.select("node", F.size("shingles").alias("n")).join(common, "node").where(F.col("common") * 100 >= F.col("n") * percent).select("node")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, k: int = 64, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, text_hash, chosen for every row of ``docs``.
 
     Two rows are linked when 100 * |A & B| >= percent * |A | B| for their sets of distinct ``width``-word shingles
     (A-Z lower-cased, words parted by blanks; a shorter text is one shingle). ``component_id`` is the smallest id
-    reachable and ``kept`` marks the row that has it. Null and wordless texts have no shingles and stay alone.
-    Repeated rows share a component; a row with a null id stays alone (component null) and is kept. Other columns of
-    ``docs`` are ignored, whatever their names; an empty table gives an empty result.
+    reachable and ``kept`` marks the rows that have it. Each row is judged by its own text: rows with one id and other
+    texts are linked only if their sets are. ``chosen`` marks one (doc_id, text) of each component, told by
+    ``text_hash`` (xxhash64 of the text): repeated rows share it. Null and wordless texts have no shingles and stay
+    alone; a row with a null id stays alone too (component null) and is kept and chosen. A very long text is one set,
+    whole. Other columns of ``docs`` are ignored, whatever their names; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     t = percent / 100
     scratch = Scratch(spark, "near-dedup")
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = "doc_id long, n_shingles long, fp1 long, fp2 long, sketch array<long>"
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    schema = "doc_id long, text_hash long, n_shingles long, fp1 long, fp2 long, sketch array<long>"
     sketches = scratch.keep(source.mapInArrow(_sketches(width, k), schema))
 
-    # one node for each set of shingles
-    some = sketches.where("n_shingles > 0 and doc_id is not null")
+    # one node for each set of shingles, numbered once and for all in a kept table
+    live = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    some = sketches.where(live)
     fingerprint = ["fp1", "fp2", "n_shingles"]
-    nodes = some.groupBy(*fingerprint).agg(F.min("doc_id").alias("rep"), F.min_by("sketch", "doc_id").alias("sketch"))
+    nodes = some.groupBy(*fingerprint).agg(F.min(F.struct("doc_id", "text_hash")).alias("x"), F.min_by("sketch", F.struct("doc_id", "text_hash")).alias("sketch"))
+    nodes = nodes.select(*fingerprint, F.col("x.doc_id").alias("rep"), F.col("x.text_hash").alias("text_hash"), "sketch", F.monotonically_increasing_id().alias("node"))
     nodes = scratch.keep(nodes)
 
     # inverted lists of those retained values that any partner must share: the rarest of each sketch
-    values = nodes.select("rep", F.explode("sketch").alias("v"))
+    values = nodes.select("node", F.explode("sketch").alias("v"))
     often = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     c = least_shared(k, t)
     # a whole sketch meets whole ones only if its largest partner, of n / t shingles, is whole too; else values are cut off
     whole = F.size("sketch") * 100 <= k * percent
     need = F.when(whole, F.ceil(F.size("sketch") * t)).otherwise(F.least(F.lit(c), F.ceil(F.size("sketch") * t))).cast("int")
-    held = values.join(often, "v").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"), F.sum(F.log2("df")).alias("typical"))
-    held = held.join(nodes.select("rep", F.size("sketch").alias("s"), (F.size("sketch") - need + 1).alias("p")), "rep")
+    held = values.join(often, "v").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"), F.sum(F.log2("df")).alias("typical"))
+    held = held.join(nodes.select("node", F.size("sketch").alias("s"), (F.size("sketch") - need + 1).alias("p")), "node")
     room = F.greatest(F.lit(0), F.col("p") - (F.col("s") - F.size("vs")))
-    lists = held.select("rep", (F.col("typical") / F.col("s")).alias("typical"), F.explode(F.slice("vs", F.lit(1), room)).alias("x"))
-    lists = scratch.keep(lists.select("rep", "typical", F.col("x.v").alias("v")))
-
-    # each member against its list's most typical one
-    hubs = lists.groupBy("v").agg(F.max_by("rep", F.struct("typical", "rep")).alias("hub"))
-    pairs = lists.join(hubs, "v").where("rep <> hub").select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
-    low = nodes.select("rep", "sketch", "n_shingles")
-    left, right = (low.select(*(F.col(x).alias(f"{x}_{s}") for x in low.columns)) for s in "ab")
-    pairs = pairs.join(left, F.col("a") == F.col("rep_a")).join(right, F.col("b") == F.col("rep_b"))
-    union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, k)
-    shared = F.size(F.array_intersect(F.array_intersect(union, "sketch_a"), "sketch_b"))
-    short = F.least("n_shingles_a", "n_shingles_b") * 100 >= F.greatest("n_shingles_a", "n_shingles_b") * percent
+    lists = held.select("node", (F.col("typical") / F.col("s")).alias("typical"), F.explode(F.slice("vs", F.lit(1), room)).alias("x"))
+    lists = scratch.keep(lists.select("node", "typical", F.col("x.v").alias("v"), F.ceil(F.col("x.df") / SALT_ROWS).cast("int").alias("m")))
+
+    salts = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+    salt = lambda m: F.pmod(F.xxhash64("node"), F.col(m)).cast("int")
+
+    def with_hubs(members: DataFrame, candidates: DataFrame) -> DataFrame:
+        """(node, hub, m, salt): each member with its list's hub, the most typical candidate; long lists are salted."""
+        hubs = candidates.groupBy("v").agg(F.max_by("node", F.struct("typical", "node")).alias("hub"), F.max("m").alias("lm"))
+        most = hubs.groupBy("hub").agg(F.max("lm").alias("hm"))
+        hubs = hubs.join(most, "hub").select("v", "hub", "hm", salts("lm").alias("ls"))
+        pairs = members.withColumn("ls", salt("m")).join(hubs, ["v", "ls"]).where("node <> hub")
+        return pairs.select("node", "hub", "hm", salt("hm").alias("hs")).distinct()
+
+    def beside_hub(pairs: DataFrame, table: DataFrame) -> DataFrame:
+        """The pairs with the columns of ``table`` (node, ...) for both: those of the hub, as _h, once for each salt."""
+        of_hub = table.join(pairs.select(F.col("hub").alias("node"), "hm").distinct(), "node").withColumn("hs", salts("hm")).drop("hm")
+        of_hub = of_hub.select(F.col("node").alias("hub"), "hs", *(F.col(x).alias(f"{x}_h") for x in table.columns if x != "node"))
+        return pairs.join(table, "node").join(of_hub, ["hub", "hs"])
+
+    # each member against its list's most typical one: the sketch of the union first
+    pairs = scratch.keep(with_hubs(lists, lists))
+    both = beside_hub(pairs, nodes.select("node", "sketch", "n_shingles"))
+    union = F.slice(F.array_sort(F.array_union("sketch", "sketch_h")), 1, k)
+    shared = F.size(F.array_intersect(F.array_intersect(union, "sketch"), "sketch_h"))
+    short = F.least("n_shingles", "n_shingles_h") * 100 >= F.greatest("n_shingles", "n_shingles_h") * percent
     enough = F.when(F.size(union) < k, F.ceil(F.size(union) * t)).otherwise(F.lit(c))
-    pairs = scratch.keep(pairs.where(short & (shared >= enough)).select("a", "b"))
-
-    wanted = lists.select("rep").distinct()
-    texts = source.withColumnRenamed("doc_id", "rep").join(wanted, "rep")
-    sets = scratch.keep(texts.mapInArrow(_full_sets(width), "rep long, shingles array<long>"))
-    left, right = (sets.select(F.col("rep").alias(s), F.col("shingles").alias(f"set_{s}")) for s in "ab")
-    checked = pairs.join(left, "a").join(right, "b")
-    checked = checked.withColumn("i", F.size(F.array_intersect("set_a", "set_b")))
-    links = scratch.keep(checked.where(F.col("i") * 100 >= percent * (F.size("set_a") + F.size("set_b") - F.col("i"))).select("a", "b"))
-    first = scratch.keep(components(scratch, links))
-
-    # lists that join several components: without members that have too few shingles in common with all others
-    def mixed(rows: DataFrame) -> DataFrame:
-        several = rows.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("v")
-        return rows.join(several, "v")
-
-    known = lists.join(first, lists.rep == first.node, "left").select("v", "rep", F.coalesce("component", "rep").alias("c"))
-    open_lists = scratch.keep(mixed(known))
-    members = sets.join(open_lists.select("rep").distinct(), "rep")
-    flat = members.select("rep", F.explode("shingles").alias("h"))
-    twice = flat.groupBy("h").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("h")
-    able = flat.join(twice, "h").groupBy("rep").agg(F.count("*").alias("common"))
-    able = members.select("rep", F.size("shingles").alias("n")).join(able, "rep").where(F.col("common") * 100 >= F.col("n") * percent).select("rep")
-    open_lists2 = scratch.keep(mixed(open_lists.join(able, "rep")))
-    heads = open_lists2.groupBy("v").agg(F.min("rep").alias("b"))
-    group = scratch.keep(components(scratch, open_lists2.join(heads, "v").select(F.col("rep").alias("a"), "b")))
-
-    # the members outside a group's largest component against all its members, in blocks
-    of = scratch.keep(open_lists2.select("rep", "c").distinct().join(group, F.col("rep") == F.col("node")).select("rep", "c", F.col("component").alias("g")))
-    sizes = of.groupBy("g", "c").agg(F.count("*").alias("n")).groupBy("g").agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by("c", "n").alias("main"))
-    sizes = sizes.select("g", "main", F.ceil(F.col("all") / BLOCK).cast("int").alias("right"), F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("left"))
-    placed = of.join(sizes, "g")
-    many = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    spot = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    one = placed.where("c <> main").select("g", "rep", F.lit(0).alias("side"), spot("left").alias("i"), many("right").alias("j"))
-    two = placed.where("left > 0").select("g", "rep", F.lit(1).alias("side"), many("left").alias("i"), spot("right").alias("j"))
-    blocks = one.union(two).join(sets, "rep")
-    late = blocks.groupBy("g", "i", "j").applyInPandas(_block_links(percent, 100), "a long, b long")
-    late = scratch.keep(late)
-
-    final = scratch.keep(components(scratch, links.union(late)))
-    ids = nodes.join(final, nodes.rep == final.node, "left").select(*fingerprint, F.coalesce("component", "rep").alias("component"))
-    out = sketches.drop("sketch").withColumn("_live", F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    out = out.join(ids.withColumn("_live", F.lit(True)), [*fingerprint, "_live"], "left")
-    component = F.coalesce("component", "doc_id")
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
-    result = scratch.keep(out)
-    scratch.drop(sketches, nodes, lists, pairs, sets, links, first, open_lists, open_lists2, group, of, late, final)
+    likely = scratch.keep(both.where(short & (shared >= enough)).select("node", "hub", "hm", "hs"))
+
+    # the whole set of each listed node, from one of its rows
+    wanted = nodes.join(lists.select("node").distinct(), "node", "left_semi").select("node", F.col("rep").alias("doc_id"), "text_hash")
+    again = scratch.keep(some.groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows")).where("rows > 1").drop("rows"))
+    texts = source.join(wanted, ["doc_id", "text_hash"]).select("node", "text")
+    if again.limit(1).count():
+        once = wanted.join(again, ["doc_id", "text_hash"], "left_anti")
+        repeated = source.join(wanted.join(again, ["doc_id", "text_hash"]), ["doc_id", "text_hash"])
+        texts = source.join(once, ["doc_id", "text_hash"]).select("node", "text").union(repeated.groupBy("node").agg(F.first("text").alias("text")))
+    sets = scratch.keep(texts.mapInArrow(_full_sets(width), "node long, shingles array<long>"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        i = F.size(F.array_intersect("shingles", "shingles_h"))
+        checked = beside_hub(pairs, sets).withColumn("i", i)
+        return checked.where(F.col("i") * 100 >= percent * (F.size("shingles") + F.size("shingles_h") - F.col("i"))).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+
+    links = scratch.keep(linked(likely))
+    joined = scratch.keep(components(scratch, links))
+
+    # lists that still join several components, without members that have too few shingles in common with all others
+    opened = lists
+    for i in range(rounds + 1):
+        now = opened.join(joined.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+        opened = scratch.keep(_mixed(now))
+        if not opened.limit(1).count():
+            break
+        opened = scratch.keep(_mixed(opened.join(_able(opened, sets, percent), "node", "left_semi")))
+        if not opened.limit(1).count():
+            break
+        counts = opened.groupBy("v", "c").agg(F.count("*").alias("n"))
+        main = counts.groupBy("v").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+        placed = opened.join(main, "v")
+        if i < rounds:
+            more = linked(with_hubs(opened, placed.where("c <> main")))
+        else:  # the members outside a list's largest component against all its members, in blocks
+            placed = placed.withColumn("left", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int")).withColumn("right", F.ceil(F.col("all") / BLOCK).cast("int"))
+            one = placed.where("c <> main").select("v", "node", F.lit(0).alias("side"), salt("left").alias("i"), salts("right").alias("j"))
+            two = placed.select("v", "node", F.lit(1).alias("side"), F.col("left"), salt("right").alias("j")).select("v", "node", "side", salts("left").alias("i"), "j")
+            more = one.union(two).join(sets, "node").groupBy("v", "i", "j").applyInPandas(_block_links(percent, 100), "a long, b long")
+        links = scratch.keep(links.union(more))
+        joined = scratch.keep(components(scratch, links))
+        opened = opened.drop("c")
+
+    # the component's least row stands for it
+    grouped = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = grouped.groupBy("component").agg(F.min(F.struct("rep", "text_hash")).alias("least"))
+    ids = grouped.join(least, "component").select(*fingerprint, "least")
+    rows = some.drop("sketch").join(ids, fingerprint)
+    chosen = (F.col("doc_id") == F.col("least.rep")) & (F.col("text_hash") == F.col("least.text_hash"))
+    rows = rows.select("doc_id", "n_shingles", F.col("least.rep").alias("component_id"), (F.col("doc_id") == F.col("least.rep")).alias("kept"), "text_hash", chosen.alias("chosen"))
+    alone = sketches.where(~live).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), "text_hash", F.lit(True).alias("chosen"))
+    result = scratch.keep(rows.union(alone))
+    scratch.clear(result)
     return result

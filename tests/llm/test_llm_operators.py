@@ -98,6 +98,37 @@ def test_near_duplicates(docs, none):
     assert near_duplicates(none).count() == 0
 
 
+def test_repeated_rows_and_ids(spark):
+    """Thousands of equal rows, and one id with several texts: each row goes by its own text."""
+    word = [f"w{i}" for i in range(40)]
+    one, two, other = " ".join(word), " ".join(word[:39] + ["z"]), "quite another text of more than five words"
+    data = [(1, one)] * 3000 + [(2, two)] * 3000 + [(3, other), (3, one), (3, two), (3, two), (4, other), (5, None), (5, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    began = time.time()
+    got = near_duplicates(df).groupBy("doc_id", "n_shingles", "component_id", "kept", "chosen").count().collect()
+    assert {tuple(r) for r in got} == {
+        (1, 36, 1, True, True, 3000), (2, 36, 1, False, False, 3000), (3, 36, 1, False, False, 3), (3, 4, 3, True, True, 1), (4, 4, 3, False, False, 1), (5, 0, 5, True, True, 2),
+    }
+    assert time.time() - began < 120
+
+
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_families_on_one_template(spark, rounds):
+    """Families share half of their texts, so that their lists join many components."""
+    rng = random.Random(6)
+    page = [f"t{j}" for j in range(60)]
+    out = []
+    for i in range(240):
+        own = [f"f{i % 12}x{j}" for j in range(60)]
+        for j in rng.sample(range(60), rng.choice([0, 1, 2, 3])):
+            own[j] = f"{i}y{j}"
+        out.append((i, " ".join(page + own)))
+    sets = {i: shingles(t) for i, t in out}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    got = by_id(near_duplicates(spark.createDataFrame(out, "doc_id long, text string"), rounds=rounds))
+    assert {i: r.component_id for i, r in got.items()} == closure(sets, links) and len({r.component_id for r in got.values()}) >= 12
+
+
 def test_large_group_of_near_copies(spark):
     """Members far from the hub are linked with their own partners, without all pairs."""
     rng = random.Random(2)
