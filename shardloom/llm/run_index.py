@@ -10,7 +10,13 @@ from __future__ import annotations
 
 import numpy as np
 
-_FIRST = 7  # bytes in the first sort key, 9 bits each
+
+def _ranked(key: np.ndarray, last: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The order of some keys, equal ones in their own order if it is the ``last`` one, and their dense ranks."""
+    order = np.argsort(key, kind="stable" if last else "quicksort")
+    ranks = np.zeros(len(key), np.int64)
+    ranks[order[1:]] = np.cumsum(key[order[1:]] != key[order[:-1]])
+    return order, ranks
 
 
 class RunLengthIndex:
@@ -27,24 +33,37 @@ class RunLengthIndex:
         self.text, self.n = chars, n
         self.owner = np.repeat(np.arange(len(texts)), lengths + 1)
         left = np.repeat(ends, lengths + 1) - np.arange(n)  # bytes before the separator
-        # suffix ranks by doubling, cut at separators
-        key = np.zeros(n, np.int64)
-        for k in range(_FIRST):
-            key = key << 9 | np.where(left > k, chars[k : k + n], 0)
-        ranks, width, kept = np.unique(key, return_inverse=True)[1], _FIRST, {}
-        while True:
+        # suffix ranks, cut at separators: of some first bytes, then of three times as many
+        alphabet = np.flatnonzero(np.bincount(chars[:n], minlength=257)) if n else np.zeros(0, np.int64)
+        code = np.zeros(257, np.int64)
+        code[alphabet] = np.arange(len(alphabet)) + (0 if len(alphabet) and alphabet[0] == 0 else 1)
+        bits = max(1, int(len(alphabet) + 1).bit_length())
+        width, coded, key = min(reach, 63 // bits), np.r_[code[chars[:n]], np.zeros(64, np.int64)], np.zeros(n, np.int64)
+        for k in range(width):
+            key = key << bits | np.where(left > k, coded[k : k + n], 0)
+        longest = lengths.max(initial=0)
+        order, ranks = _ranked(key, width > longest)
+        kept = {width: ranks}
+        times = 3 if n < 2_000_000 else 2  # (n + 2) ** 3 fits in 63 bits
+        while width <= longest:
+            key = ranks.copy()
+            for k in range(1, times):
+                after = np.zeros(n, np.int64)
+                after[: max(0, n - k * width)] = ranks[k * width :] + 1
+                after[left <= k * width] = 0
+                key = key * np.int64(n + 2) + after
+            width *= times
+            order, ranks = _ranked(key, width > longest)
             kept[width] = ranks
-            if width > lengths.max(initial=0) and width >= 4 * _FIRST:
-                break
-            after = np.zeros(n, np.int64)
-            after[: max(0, n - width)] = ranks[width:] + 1
-            after[left <= width] = 0
-            ranks = np.unique(ranks * np.int64(n + 2) + after, return_inverse=True)[1]
-            width *= 2
-        order = np.argsort(ranks, kind="stable")
-        # rows whose suffixes share ``reach`` bytes lie together
-        a, b = kept[4 * _FIRST][order], kept[4 * _FIRST][np.minimum(order + reach - 4 * _FIRST, n - 1)]
-        self.block_start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if n else np.zeros(0, np.int64)
+        # rows whose suffixes share ``reach`` bytes lie together: their pieces of a known width have equal ranks
+        known = max((w for w in kept if w <= reach), default=0)
+        differ = np.ones(n, bool)
+        if n:
+            differ[1:] = False
+            for k in [*range(0, reach - known, known), reach - known]:
+                piece = kept[known][np.minimum(order + k, n - 1)]
+                differ[1:] |= piece[1:] != piece[:-1]
+        self.block_start = np.flatnonzero(differ)
         self.block_owner = np.minimum.reduceat(self.owner[order], self.block_start) if n else np.zeros(0, np.int64)
         before = chars[order - 1].copy()
         if n:
