@@ -20,9 +20,7 @@ BROADCAST_SOURCES = 50_000
 
 def word_count(text: Column) -> Column:
     """The number of runs of characters other than U+0020 and U+0009 to U+000D; 0 for null."""
-    blanks = F.translate(text, "\t\n\u000b\u000c\r", "     ")
-    flat = F.regexp_replace(F.trim(blanks), " {2,}", " ")
-    return F.when(F.length(flat) > 0, F.length(flat) - F.length(F.translate(flat, " ", "")) + 1).otherwise(0).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]++")), F.lit(0)).cast("long")
 
 
 def uniform(*columns: Column) -> Column:

@@ -1,6 +1,6 @@
 """Document quality by attention-based multiple-instance learning.
 
-A document is a bag of passages, each encoded by the make-up of its bytes and words. Gated attention, learnt from
+A document is a bag of passages, each encoded by the make-up of its bytes and by its words. Gated attention, learnt from
 document labels alone, weighs the passages, and the weighted passage representation is scored. The model is fitted on
 a bounded sample of labelled documents; every passage of every document is encoded and scored.
 """
@@ -21,7 +21,9 @@ from shardloom.llm.textbytes import prefix_hashes, slices, span_hashes, words
 PASSAGE_WORDS = 64
 #: Labelled documents that the model is fitted on, about, at most.
 TRAIN_DOCS = 4000
-HIDDEN, GATE, STEPS, RATE, DECAY = 24, 12, 400, 0.02, 1e-4
+#: Passages of one document that it is fitted on, at most, evenly spread; scoring takes all.
+TRAIN_PASSAGES = 32
+HIDDEN, GATE, STEPS, BATCH, RATE, DECAY = 24, 12, 600, 256, 0.01, 1e-4
 
 # classes of bytes: each ASCII sign for itself, then letters by case, digits, blanks, other control, beyond ASCII
 _CLASS = np.zeros(256, np.int64)
@@ -32,7 +34,9 @@ _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[:33], _CLASS[127] = _N, _N
 _CLASS[128:192], _CLASS[192:] = _N + 4, _N + 5
 _CLASS[10] = _N + 6
 CLASSES = _N + 7
-FEATURES = CLASSES + 6
+#: Words are hashed to so many shares of a passage's words.
+HASHED = 64
+FEATURES = CLASSES + 6 + HASHED
 
 
 def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,6 +79,8 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         out[:, CLASSES + 2] = np.log1p(mean)
         out[:, CLASSES + 3] = np.log1p(np.maximum(np.bincount(word_passage, length**2, total) / some - mean**2, 0))
         out[:, CLASSES + 4] = np.log1p(n)
+        hashed = np.bincount(word_passage * HASHED + (codes % np.uint64(HASHED)).astype(np.int64), minlength=total * HASHED)
+        out[:, CLASSES + 6 :] = np.sqrt(hashed.reshape(total, HASHED) / some[:, None])
     out[:, CLASSES + 5] = np.log1p(size)
     return out, first
 
@@ -101,26 +107,37 @@ class Model:
         model = cls(mean, scale, p)
         if not len(y):
             return model
-        z = np.clip((x - mean) / scale, -8, 8)
-        bag, m, v = np.repeat(np.arange(len(y)), np.diff(first)), {k: 0.0 for k in p}, {k: 0.0 for k in p}
+        z, sizes = np.clip((x - mean) / scale, -8, 8), np.diff(first)
+        m, v, order = {k: 0.0 for k in p}, {k: 0.0 for k in p}, np.zeros(0, np.int64)
         for step in range(1, STEPS + 1):
-            h = np.maximum(z @ p["W"] + p["b"], 0)
-            t, g = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-(h @ p["G"])))
-            a = model._softmax((t * g) @ p["u"], first, bag)
-            rep = np.add.reduceat(h * a[:, None], first[:-1])
-            err = (1 / (1 + np.exp(-(rep @ p["c"] + p["d"]))) - y) / len(y)
-            back = err[bag, None] * p["c"]
-            slope = (h * back).sum(axis=1)
-            ds = a * (slope - np.bincount(bag, a * slope, len(y))[bag])
-            dt, dg = ds[:, None] * p["u"] * g * (1 - t * t), ds[:, None] * p["u"] * t * g * (1 - g)
-            dh = (a[:, None] * back + dt @ p["V"].T + dg @ p["G"].T) * (h > 0)
-            grad = {"W": z.T @ dh, "b": dh.sum(0), "V": h.T @ dt, "G": h.T @ dg, "u": (t * g).T @ ds, "c": rep.T @ err, "d": err.sum()}
+            if not len(order):
+                order = rng.permutation(len(y))
+            bags, order = order[:BATCH], order[BATCH:]
+            n = sizes[bags]
+            at = np.r_[0, np.cumsum(n)]
+            grad = cls.gradient(p, z[np.repeat(first[bags] - at[:-1], n) + np.arange(at[-1])], at, y[bags])
             for k in p:
-                grad[k] = grad[k] + DECAY * p[k] * (k not in "bd")
                 m[k], v[k] = 0.9 * m[k] + 0.1 * grad[k], 0.999 * v[k] + 0.001 * grad[k] ** 2
-                p[k] = p[k] - RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+                p[k] = p[k] - RATE * (1 - step / (STEPS + 1)) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
         return model
 
+    @classmethod
+    def gradient(cls, p: dict[str, np.ndarray], z: np.ndarray, first: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """The slopes of the mean log loss over some bags plus DECAY / 2 of the squared weights."""
+        bag = np.repeat(np.arange(len(y)), np.diff(first))
+        h = np.maximum(z @ p["W"] + p["b"], 0)
+        t, g = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-(h @ p["G"])))
+        a = cls._softmax((t * g) @ p["u"], first, bag)
+        rep = np.add.reduceat(h * a[:, None], first[:-1])
+        err = (1 / (1 + np.exp(-(rep @ p["c"] + p["d"]))) - y) / len(y)
+        back = err[bag, None] * p["c"]
+        slope = (h * back).sum(axis=1)
+        ds = a * (slope - np.bincount(bag, a * slope, len(y))[bag])
+        dt, dg = ds[:, None] * p["u"] * g * (1 - t * t), ds[:, None] * p["u"] * t * g * (1 - g)
+        dh = (a[:, None] * back + dt @ p["V"].T + dg @ p["G"].T) * (h > 0)
+        grad = {"W": z.T @ dh, "b": dh.sum(0), "V": h.T @ dt, "G": h.T @ dg, "u": (t * g).T @ ds, "c": rep.T @ err, "d": err.sum()}
+        return {k: grad[k] + DECAY * p[k] * (k not in "bd") for k in p}
+
     @staticmethod
     def _softmax(s: np.ndarray, first: np.ndarray, bag: np.ndarray) -> np.ndarray:
         e = np.exp(s - np.maximum.reduceat(s, first[:-1])[bag])
@@ -136,20 +153,21 @@ class Model:
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Labels with the encodings of TRAIN_PASSAGES passages at most of each text."""
     for batch in batches:
         for row, data, offsets in slices(batch.column(1)):
             x, first = passages(data, offsets)
-            rows = [x[a:b].astype("<f4").tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(rows)), pa.array(rows, pa.binary())], ["quality", "x"])
+            spread = [np.linspace(a, b - 1, min(b - a, TRAIN_PASSAGES)).astype(np.int64) for a, b in zip(first[:-1], first[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(spread)), pa.array([x[at].astype("<f4").tobytes() for at in spread], pa.binary())], ["quality", "x"])
 
 
-def _score(model: Model):
+def _score(model: Model, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, data, offsets in slices(batch.column(0)):
                 x, first = passages(data, offsets)
                 score = model.score(x.astype(np.float64), first)[0]
-                yield pa.RecordBatch.from_arrays([*(c.slice(row, len(score)) for c in batch.columns), pa.array(score)], [*batch.schema.names, "_score"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(row, len(score)) for c in batch.columns), pa.array(score)], [*batch.schema.names, name])
 
     return run
 
@@ -162,31 +180,44 @@ def held_out(doc_id: Column) -> Column:
 def fit_quality(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """A model learnt from labelled documents that aren't held out, ``train_docs`` of them or fewer (chosen by a hash).
 
-    A document with several labels has their mean, rounded; null labels and ids don't count. Without labels every
-    score is one half or near it.
+    A document with several labels has their mean, rounded; null labels and ids don't count; an id's repeated rows
+    count once, with the least text. Of a very long text TRAIN_PASSAGES passages are learnt from. So the driver gets
+    about ``train_docs`` times TRAIN_PASSAGES encodings at most. Without labels or documents every score is one half
+    or near it. Other columns of both tables don't matter, whatever their names.
     """
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    known = known.groupBy(F.col(id_col).cast("long").alias("_id")).agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("int").alias("quality"))
+    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("label"))
+    known = known.where(F.col("label").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
+    known = known.groupBy("id").agg((F.avg("label") >= 0.5).cast("int").alias("quality"))
     n = known.count()
-    chosen = known.where(F.pmod(F.xxhash64(F.lit(7), "_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, train_docs / max(1, n))))
+    chosen = known.where(F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, train_docs / max(1, n))))
     # about train_docs rows, whatever the tables' sizes
-    rows = docs.join(F.broadcast(chosen), docs[id_col] == F.col("_id")).select("quality", F.col(text_col).cast("string").alias("text"))
-    bags = rows.mapInArrow(_encode, "quality int, x binary").orderBy("quality", F.xxhash64("x")).collect()
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = texts.join(F.broadcast(chosen), "id").groupBy("id", "quality").agg(F.min("text").alias("text"))
+    bags = rows.select("quality", "text").mapInArrow(_encode, "quality int, x binary").orderBy("quality", F.xxhash64("x")).collect()
     x = [np.frombuffer(b.x, "<f4").reshape(-1, FEATURES).astype(np.float64) for b in bags]
     first = np.cumsum([0, *map(len, x)])
     return Model.fit(np.concatenate(x) if x else np.zeros((0, FEATURES)), first, np.array([b.quality for b in bags], np.float64))
 
 
-def score_quality(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with the column ``_score`` (0 to 1): every passage of each text counts; a null or empty text is one empty passage."""
+def score_quality(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "_score") -> DataFrame:
+    """``docs`` with a new column of scores (0 to 1): every passage of each text counts; a null or empty text is one empty passage.
+
+    Rows are scored one by one, so repeated ones get equal scores; an empty table stays empty.
+    """
+    if score_col in docs.columns:
+        raise ValueError(f"there is a column {score_col} already")
     columns = [text_col, *(c for c in docs.columns if c != text_col)]
     ordered = docs.select(*(F.col(f"`{c}`") for c in columns))
-    schema = StructType([*ordered.schema.fields, StructField("_score", DoubleType())])
-    return ordered.mapInArrow(_score(model), schema).select(*(f"`{c}`" for c in docs.columns), "_score")
+    schema = StructType([*ordered.schema.fields, StructField(score_col, DoubleType())])
+    return ordered.mapInArrow(_score(model, score_col), schema).select(*(f"`{c}`" for c in docs.columns), score_col)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted of every row of ``docs`` by a model learnt from ``labels``; only texts are inputs."""
+    """doc_id, held_out, score, predicted of every row of ``docs`` by a model learnt from ``labels``; only texts are inputs.
+
+    Null and empty texts are scored as one empty passage, very long ones by all their passages; repeated rows are
+    scored alike; a row with a null id isn't held out.
+    """
     model = fit_quality(docs, labels, id_col=id_col, text_col=text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = score_quality(rows, model)

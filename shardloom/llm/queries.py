@@ -114,12 +114,14 @@ WITH t AS MATERIALIZED (
   SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
 d AS (
   SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 1 AS size, hex(encode(coalesce(text, ''))) AS h,
-         (CAST('0x' || substr(md5('11:' || doc_id), 1, 12) AS BIGINT)::DOUBLE + 0.5) / 281474976710656.0 AS u FROM documents),
+         (CAST('0x' || substr(md5(concat_ws(':', '11', 'source', source)), 1, 12) AS BIGINT)::DOUBLE + 0.5) / 281474976710656.0 AS o FROM documents),
 c AS (
   SELECT *, CASE WHEN h = '' THEN 0 ELSE xor(list_reduce(
     list_prepend(4294967295, list_transform(range(0, len(h), 2), lambda i: CAST('0x' || substr(h, i + 1, 2) AS BIGINT))),
     lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) END AS crc FROM d, t),
-f AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY u, doc_id) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY source) AS frac FROM c),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, size, crc) AS copy FROM c),
+s AS (SELECT *, (CAST('0x' || substr(md5(concat_ws(':', '11', doc_id, size, crc, copy)), 1, 12) AS BIGINT)::DOUBLE + 0.5) / 281474976710656.0 AS u FROM n),
+f AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY u, doc_id) - o) / count(*) OVER (PARTITION BY source) AS frac FROM s),
 p AS (SELECT *, row_number() OVER (ORDER BY frac, source NULLS LAST, u, doc_id) - 1 AS place, count(*) OVER () AS n FROM f)
 SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'rows' AS law, (place * 8 // n)::INTEGER AS shard,
        (place - ((place * 8 // n) * n + 7) // 8)::BIGINT AS slot, NULL::INTEGER AS grown_shard

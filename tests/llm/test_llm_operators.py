@@ -319,9 +319,31 @@ def test_shards(docs, none, spark, tmp_path):
     again = assign_shards(docs.repartition(7), 5).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
     assert assign_shards(none).count() == 0
-    unique = docs.dropDuplicates(["doc_id"]).drop("shard")
-    write_shards(unique, f"file://{tmp_path}/s", 4)
-    assert spark.read.parquet(f"file://{tmp_path}/s").count() == unique.count()
+    # docs has a column shard, so the partitions are named shard_
+    write_shards(docs, f"file://{tmp_path}/s", 4)
+    back = spark.read.parquet(f"file://{tmp_path}/s")
+    assert back.count() == n and set(docs.columns) <= set(back.columns)
+    assert sorted((r.shard_, r.slot) for r in back.select("shard_", "slot").collect()) == sorted((r.shard, r.slot) for r in assign_shards(docs, 4).collect())
+
+
+def test_shards_of_many_small_sources_and_null_ids(spark):
+    """Single-row sources are spread over all shards; null and repeated ids don't share a place in the shuffle."""
+    small = spark.range(50_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.concat(F.lit("s"), "id").alias("source"))
+    null = spark.range(50_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 7).alias("text"), F.lit("big").alias("source"))
+    began = time.time()
+    got = assign_shards(small.union(null), 8).groupBy("shard").agg(F.count("*").alias("n"), F.count(F.when(F.col("source") == "big", 1)).alias("big"), F.count_distinct("slot").alias("slots")).collect()
+    assert len(got) == 8 and all(r.n == r.slots == 12_500 and 6000 < r.big < 6500 for r in got) and time.time() - began < 60
+
+
+def test_a_large_source_at_its_cap(spark):
+    """Where a cap binds, each document is taken three times, without one row for the source."""
+    capped = spark.range(100_000).select(F.col("id").alias("doc_id"), F.lit("word").alias("text"), F.lit("c").alias("source"))
+    rest = spark.range(100_000, 101_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), 2000).alias("text"), F.lit("a").alias("source"))
+    began = time.time()
+    got = mix_sources(capped.union(rest)).groupBy("source").agg(F.sum("taken").alias("taken"), F.min("copies").alias("lo"), F.max("copies").alias("hi"), F.max("target").alias("t")).collect()
+    by = {r.source: r for r in got}
+    assert (by["c"].taken, by["c"].lo, by["c"].hi) == (300_000, 3, 3) and abs(by["a"].taken - by["a"].t) <= 2000
+    assert time.time() - began < 60
 
 
 def test_mixture(docs, none):
@@ -357,6 +379,79 @@ def test_mixture(docs, none):
 # quality
 
 
+def plain_scores(model, x, first):
+    """The classifier's formula, passage by passage."""
+    p, out = model.p, []
+    for a, b in zip(first[:-1], first[1:]):
+        hs, logits = [], []
+        for row in x[a:b]:
+            z = [min(8, max(-8, (v - m) / s)) for v, m, s in zip(row, model.mean, model.scale)]
+            h = [max(0.0, sum(zi * w for zi, w in zip(z, p["W"][:, j])) + p["b"][j]) for j in range(p["W"].shape[1])]
+            gate = [np.tanh(np.dot(h, p["V"][:, j])) / (1 + np.exp(-np.dot(h, p["G"][:, j]))) for j in range(p["V"].shape[1])]
+            hs.append(h)
+            logits.append(np.dot(gate, p["u"]))
+        e = np.exp(np.array(logits) - max(logits))
+        rep = sum(w * np.array(h) for w, h in zip(e / e.sum(), hs))
+        out.append(1 / (1 + np.exp(-(np.dot(rep, p["c"]) + p["d"]))))
+    return np.array(out)
+
+
+def bags(n=12, seed=3):
+    rng = np.random.default_rng(seed)
+    first = np.cumsum([0, *rng.integers(1, 6, n)])
+    return rng.standard_normal((first[-1], 7)), first, rng.integers(0, 2, n).astype(float)
+
+
+def test_forward_pass():
+    from shardloom.llm.quality import Model
+
+    x, first, y = bags()
+    model = Model.fit(x, first, y)
+    model.p["u"] = np.random.default_rng(1).standard_normal(model.p["u"].shape)
+    assert np.allclose(model.score(x, first)[0], plain_scores(model, x, first))
+    assert np.allclose(np.add.reduceat(model.score(x, first)[1], first[:-1]), 1)
+
+
+def test_gradient_is_the_slope_of_the_loss():
+    from shardloom.llm.quality import DECAY, Model
+
+    x, first, y = bags()
+    model = Model.fit(x, first, y)
+    model.mean, model.scale = np.zeros(7), np.ones(7)
+    rng = np.random.default_rng(2)
+    for k in model.p:
+        model.p[k] = np.array(rng.standard_normal(np.shape(model.p[k])) * 0.5)
+
+    def loss():
+        s = model.score(x, first)[0]
+        return -np.mean(y * np.log(s) + (1 - y) * np.log(1 - s)) + DECAY / 2 * sum((v**2).sum() for k, v in model.p.items() if k not in "bd")
+
+    grad = Model.gradient(model.p, x, first, y)
+    for k, v in model.p.items():
+        for at in list(np.ndindex(v.shape))[:: max(1, v.size // 5)]:
+            was = float(v[at])
+            slopes = []
+            for step in (1e-5, -1e-5):
+                v[at] = was + step
+                slopes.append(loss())
+            v[at] = was
+            assert (slopes[0] - slopes[1]) / 2e-5 == pytest.approx(float(grad[k][at]), abs=1e-6)
+
+
+def test_held_out_accuracy_needs_words_and_many_passages():
+    """Bags whose label hangs on one of their passages are told apart."""
+    from shardloom.llm.quality import Model
+
+    rng = np.random.default_rng(7)
+    first = np.cumsum([0, *rng.integers(3, 9, 600)])
+    x, y = rng.standard_normal((first[-1], 7)), rng.integers(0, 2, 600).astype(float)
+    for i in np.flatnonzero(y):
+        x[rng.integers(first[i], first[i + 1]), 2] += 6
+    model = Model.fit(x[: first[400]], first[:401], y[:400])
+    got = model.score(x[first[400] :], first[400:] - first[400])[0]
+    assert ((got >= 0.5) == (y[400:] == 1)).mean() > 0.95
+
+
 def test_mixture_of_whole_copies(spark):
     # nothing is wanted beyond whole copies: no source's rows are gathered in one array
     many = spark.range(150_000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source"))
@@ -373,6 +468,12 @@ def test_quality(spark, docs, none):
     good, bad = got[got.quality == 1]._score, got[got.quality == 0]._score
     assert len(bad) and np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad]) > 0.97
     scored = score_quality(docs, model)
+    with pytest.raises(ValueError):
+        score_quality(docs.withColumn("_score", F.lit(1)), model)
+    clash = docs.withColumn("quality", F.lit("x")).withColumn("id", F.lit(0)).withColumn("label", F.lit(0)).withColumn("x", F.lit(0))
+    again = fit_quality(clash.unionByName(clash), labels.withColumn("text", F.lit("x")))  # repeated rows count once
+    once = fit_quality(docs, labels)
+    assert all(np.array_equal(again.p[k], once.p[k]) for k in once.p)
     assert scored.columns == [*docs.columns, "_score"] and scored.count() == len(rows())
     assert scored.where("_score is null or _score < 0 or _score > 1").count() == 0
     assert score_quality(none, model).count() == 0
