@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardloom.llm.common import Scratch, tokenizer_file
@@ -16,38 +16,70 @@ from shardloom.llm.suffix_dedup import repeated_strings
 LEAST_SCORE = 0.5
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have yet."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, learnt from the labels, doesn't reject."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return score_quality(docs, fit_quality(docs, labels)).where(F.col("_score") >= LEAST_SCORE).drop("_score")
+    """Documents that the quality classifier, learnt from the labels, doesn't reject.
+
+    Each row goes by its text alone: null and empty texts are one empty passage, repeated rows go or stay together.
+    """
+    labels, score = spark.read.parquet(f"{sf_dir}/labels.parquet"), _free(docs, "_score")
+    return score_quality(docs, fit_quality(docs, labels), score_col=score).where(F.col(score) >= LEAST_SCORE).drop(score)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id; documents without an id stay."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).union(docs.where("doc_id is null"))
+    """One document of each group of near-duplicates, with the smallest id, its repeated rows once.
+
+    Rows with one id and other texts are judged apart. Documents without words stay, repeated rows once; documents
+    without an id all stay.
+    """
+    code = _free(docs, "_code")
+    found = near_duplicates(docs).where("chosen and doc_id is not null").groupBy("doc_id", F.col("text_hash").alias(code)).agg(F.count("*").alias("rows"))
+    found = Scratch(spark, "kept").keep(found)
+    marked = docs.withColumn(code, F.xxhash64("text"))
+    once = marked.join(found.where("rows = 1"), ["doc_id", code], "left_semi")
+    again = marked.join(found.where("rows > 1"), ["doc_id", code], "left_semi").dropDuplicates(["doc_id", code])
+    return once.unionByName(again).unionByName(marked.where("doc_id is null")).select(*(f"`{c}`" for c in docs.columns))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the strings of 50 bytes that a document with a smaller id has too."""
+    """All documents, without the strings of 50 bytes that a document with a smaller id has too.
+
+    Null texts stay null, a document that loses all is empty; rows with one id are one document; those without an id
+    are left alone.
+    """
     rows = repeated_strings(docs, length=50, keep_text=True)
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return rows.select(*(new.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns))
+    return rows.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture of sources by target weights takes it."""
-    keyed = docs.withColumn("_key", F.coalesce("doc_id", F.xxhash64("text")))
-    plan = mix_sources(keyed, id_col="_key").groupBy(F.col("doc_id").alias("_key")).agg(F.sum("copies").alias("_all"), F.count("*").alias("_rows"))
-    joined = keyed.join(plan.where("_all > 0"), "_key")
-    # rows with one key, which is rare, share its copies
-    joined = joined.withColumn("_i", F.row_number().over(Window.partitionBy("_key").orderBy("source")))
-    copies = F.expr("_all div _rows + if(_i <= _all % _rows, 1, 0)").cast("int")
-    return joined.withColumn("_n", copies).where("_n > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), "_n"))).select(*docs.columns)
+    """Each document as often as the mixture of sources by target weights takes it; those taken no time go.
+
+    Equal rows are counted together, so that they get their copies whichever of them is which; a null source is a
+    source; documents without words come as often as their source is taken whole.
+    """
+    key = _free(docs, "_key")
+    keyed = docs.withColumn(key, F.xxhash64(*(f"`{c}`" for c in docs.columns)))
+    plan = mix_sources(keyed, id_col=key).groupBy(F.col("doc_id").alias(key)).agg(F.sum("copies").alias("_all"), F.count("*").alias("_rows"))
+    plan = Scratch(spark, "plan").keep(plan.where("_all > 0"))
+    taken = F.explode(F.expr("sequence(1L, p._all)"))
+    columns = [F.col(f"d.`{c}`") for c in docs.columns]
+
+    def copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
+        return rows.alias("d").join(plan.alias("p"), F.col(f"d.{key}") == F.col(f"p.{key}")).select(*columns, taken.alias("_copy")).drop("_copy")
+
+    repeated = keyed.join(plan.where("_rows > 1"), key, "left_semi").dropDuplicates([key])
+    return copies(keyed, plan.where("_rows = 1")).unionByName(copies(repeated, plan.where("_rows > 1")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences of 2048 ids, filled with lexical neighbours."""
+    """Pieces of token sequences of 2048 ids, filled with lexical neighbours; each row is a document, null texts are empty."""
     return pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), window=2048, end_id=1)
 
 
