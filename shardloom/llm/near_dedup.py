@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shardloom.llm.common import Scratch, components
@@ -126,20 +126,33 @@ def _block_links(num: int, den: int):
     return run
 
 
+def _salts(m: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+
+
+def _salt(m: str) -> Column:
+    return F.pmod(F.xxhash64("node"), F.col(m)).cast("int")
+
+
+def _by_list(rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows (v, m, ...) with what ``table`` (v, m, ...) has for their list; long lists are spread by m salts."""
+    return rows.withColumn("ls", _salt("m")).join(table.withColumn("ls", _salts("m")).drop("m"), ["v", "ls"], how).drop("ls")
+
+
 def _mixed(rows: DataFrame) -> DataFrame:
-    """The (v, node, c) rows of those lists that several components share, one list for each set of members."""
+    """The (v, node, c, m, ...) rows of those lists that several components share, one list for each set of members."""
     marks = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"x{i}") for i in range(2)]
-    lists = rows.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n"), *marks).where("lo <> hi")
-    lists = lists.groupBy("x0", "x1", "n").agg(F.min("v").alias("v")).select("v")
-    return rows.join(lists, "v", "left_semi")
+    lists = rows.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("m").alias("m"), F.count("*").alias("n"), *marks).where("lo <> hi")
+    lists = lists.groupBy("x0", "x1", "n").agg(F.min_by(F.struct("v", "m"), "v").alias("x")).select("x.v", "x.m")
+    return _by_list(rows, lists, "left_semi")
 
 
 def _able(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The nodes among ``members`` that have enough shingles in common with all others to be linked with any."""
-    held = sets.join(members.select("node").distinct(), "node", "left_semi")
-    flat = held.select("node", F.explode("shingles").alias("h"))
-    twice = flat.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("h")
-    common = flat.join(twice, "h", "left_semi").groupBy("node").agg(F.count("*").alias("common"))
+    """The nodes among ``members`` (node, c) that have enough shingles in common with other components to be linked with one."""
+    held = sets.join(members.select("node", "c").distinct(), "node")
+    flat = held.select("node", "c", F.explode("shingles").alias("h"))
+    several = flat.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h")
+    common = flat.select("node", "h").join(several, "h", "left_semi").groupBy("node").agg(F.count("*").alias("common"))
     return held.select("node", F.size("shingles").alias("n")).join(common, "node").where(F.col("common") * 100 >= F.col("n") * percent).select("node")
 
 
@@ -182,20 +195,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, k: int =
     lists = held.select("node", (F.col("typical") / F.col("s")).alias("typical"), F.explode(F.slice("vs", F.lit(1), room)).alias("x"))
     lists = scratch.keep(lists.select("node", "typical", F.col("x.v").alias("v"), F.ceil(F.col("x.df") / SALT_ROWS).cast("int").alias("m")))
 
-    salts = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
-    salt = lambda m: F.pmod(F.xxhash64("node"), F.col(m)).cast("int")
-
     def with_hubs(members: DataFrame, candidates: DataFrame) -> DataFrame:
         """(node, hub, m, salt): each member with its list's hub, the most typical candidate; long lists are salted."""
         hubs = candidates.groupBy("v").agg(F.max_by("node", F.struct("typical", "node")).alias("hub"), F.max("m").alias("lm"))
         most = hubs.groupBy("hub").agg(F.max("lm").alias("hm"))
-        hubs = hubs.join(most, "hub").select("v", "hub", "hm", salts("lm").alias("ls"))
-        pairs = members.withColumn("ls", salt("m")).join(hubs, ["v", "ls"]).where("node <> hub")
-        return pairs.select("node", "hub", "hm", salt("hm").alias("hs")).distinct()
+        pairs = _by_list(members, hubs.join(most, "hub").select("v", "hub", "hm", F.col("lm").alias("m"))).where("node <> hub")
+        return pairs.select("node", "hub", "hm", _salt("hm").alias("hs")).distinct()
 
     def beside_hub(pairs: DataFrame, table: DataFrame) -> DataFrame:
         """The pairs with the columns of ``table`` (node, ...) for both: those of the hub, as _h, once for each salt."""
-        of_hub = table.join(pairs.select(F.col("hub").alias("node"), "hm").distinct(), "node").withColumn("hs", salts("hm")).drop("hm")
+        of_hub = table.join(pairs.select(F.col("hub").alias("node"), "hm").distinct(), "node").withColumn("hs", _salts("hm")).drop("hm")
         of_hub = of_hub.select(F.col("node").alias("hub"), "hs", *(F.col(x).alias(f"{x}_h") for x in table.columns if x != "node"))
         return pairs.join(table, "node").join(of_hub, ["hub", "hs"])
 
@@ -236,15 +245,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, k: int =
         opened = scratch.keep(_mixed(opened.join(_able(opened, sets, percent), "node", "left_semi")))
         if not opened.limit(1).count():
             break
-        counts = opened.groupBy("v", "c").agg(F.count("*").alias("n"))
-        main = counts.groupBy("v").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
-        placed = opened.join(main, "v")
+        counts = opened.groupBy("v", "c").agg(F.count("*").alias("n"), F.max("m").alias("m"))
+        main = counts.groupBy("v").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.max("m").alias("m"))
+        placed = _by_list(opened, main)
         if i < rounds:
             more = linked(with_hubs(opened, placed.where("c <> main")))
         else:  # the members outside a list's largest component against all its members, in blocks
             placed = placed.withColumn("left", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int")).withColumn("right", F.ceil(F.col("all") / BLOCK).cast("int"))
-            one = placed.where("c <> main").select("v", "node", F.lit(0).alias("side"), salt("left").alias("i"), salts("right").alias("j"))
-            two = placed.select("v", "node", F.lit(1).alias("side"), F.col("left"), salt("right").alias("j")).select("v", "node", "side", salts("left").alias("i"), "j")
+            one = placed.where("c <> main").select("v", "node", F.lit(0).alias("side"), _salt("left").alias("i"), _salts("right").alias("j"))
+            two = placed.select("v", "node", F.lit(1).alias("side"), F.col("left"), _salt("right").alias("j")).select("v", "node", "side", _salts("left").alias("i"), "j")
             more = one.union(two).join(sets, "node").groupBy("v", "i", "j").applyInPandas(_block_links(percent, 100), "a long, b long")
         links = scratch.keep(links.union(more))
         joined = scratch.keep(components(scratch, links))

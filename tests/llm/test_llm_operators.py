@@ -335,6 +335,20 @@ def test_shards_of_many_small_sources_and_null_ids(spark):
     assert len(got) == 8 and all(r.n == r.slots == 12_500 and 6000 < r.big < 6500 for r in got) and time.time() - began < 60
 
 
+def targets(sums):
+    """Words wanted of each source: by weight 1, 2, 3 ..., at most three times what it has, the excess to the others."""
+    weights, target, free = [[1, 2, 3][i % 3] for i in range(len(sums))], {}, dict(enumerate(sums))
+    while True:
+        rest = sum(sums) - sum(3 * sums[i] for i in target)
+        level = rest / sum(weights[i] for i in free)
+        over = [i for i in free if level * weights[i] > 3 * sums[i]]
+        for i in over:
+            target[i] = 3 * sums[i]
+            del free[i]
+        if not over:
+            return target | {i: level * weights[i] for i in free}
+
+
 def test_a_large_source_at_its_cap(spark):
     """Where a cap binds, each document is taken three times, without one row for the source."""
     capped = spark.range(100_000).select(F.col("id").alias("doc_id"), F.lit("word").alias("text"), F.lit("c").alias("source"))
@@ -352,17 +366,7 @@ def test_mixture(docs, none):
     size = lambda t: len(WORD.findall(t or ""))
     sources = sorted({r[3] for r in rows()} - {None}) + [None]
     sums = [sum(size(r[1]) for r in rows() if r[3] == s) for s in sources]
-    weights, target, free = [[1, 2, 3][i % 3] for i in range(len(sources))], {}, dict(enumerate(sums))
-    while True:
-        rest = sum(sums) - sum(3 * sums[i] for i in target)
-        level = rest / sum(weights[i] for i in free)
-        over = [i for i in free if level * weights[i] > 3 * sums[i]]
-        for i in over:
-            target[i] = 3 * sums[i]
-            del free[i]
-        if not over:
-            break
-    target |= {i: level * weights[i] for i in free}
+    target = targets(sums)
     for i, s in enumerate(sources):
         mine = [r for r in got if r.source == s]
         assert {r.source_size for r in mine} == {sums[i]}
@@ -486,7 +490,8 @@ def test_quality(spark, docs, none):
 # repeated strings
 
 
-def brute_strings(items, n=50):
+def brute_strings(items, n=50, kept=None):
+    """(bytes, removed, runs, digest of the rest) by id; the rest itself goes to ``kept``."""
     first, out = {}, {}
     for i, t in items:
         b = (t or "").encode()
@@ -498,6 +503,8 @@ def brute_strings(items, n=50):
         for s in range(len(b) - n + 1):
             gone[s : s + n] |= first[b[s : s + n]] < i
         edges = np.diff(np.r_[0, gone.astype(int), 0])
+        if kept is not None:
+            kept[i] = np.frombuffer(b, np.uint8)[~gone].tobytes()
         out[i] = (len(b), int(gone.sum()), int((edges == 1).sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest())
     return out
 
