@@ -128,14 +128,14 @@ def route_multicol_hash(spark, sf_dir):
 
 @query("route_composed", f"SELECT (o_orderkey * 1024 + {slot_sql('o_custkey')})::BIGINT AS order_id, {slot_sql('o_custkey')} AS slot, {shard_sql('o_custkey')} AS shard FROM orders")
 def route_composed(spark, sf_dir):
-    df = S.table(spark, sf_dir, "orders").select(H.encode_composed(F.col("o_orderkey"), H.slot_short(F.col("o_custkey"))).alias("order_id"))
+    df = S.table(spark, sf_dir, "orders").select(H.encode_composed(F.col("o_orderkey"), H.slot_of_integer(F.col("o_custkey"))).alias("order_id"))
     return df.withColumn("slot", H.decode_composed(F.col("order_id"))).withColumn("shard", ORDERS.dimensions[0].shard_column(F.col("slot")))
 
 
 @query("route_two_dim", f"SELECT event_id, lower(left(event_id::VARCHAR, 27) || lpad(printf('%X', {slot_sql('user_id')} * 1024 + {slot_sql('event_id')}), 5, '0')) AS id, {slot_sql('user_id')} AS d1, {slot_sql('event_id')} AS d2 FROM events")
 def route_two_dim(spark, sf_dir):
     df = S.table(spark, sf_dir, "events")
-    df = df.select("event_id", H.encode_two_dim(F.col("event_id"), H.slot_short(F.col("user_id")), H.slot_short(F.col("event_id"))).alias("id"))
+    df = df.select("event_id", H.encode_two_dim(F.col("event_id"), H.slot_of_integer(F.col("user_id")), H.slot_of_integer(F.col("event_id"))).alias("id"))
     return df.withColumn("d1", H.decode_two_dim(F.col("id"), 0)).withColumn("d2", H.decode_two_dim(F.col("id"), 1))
 
 
@@ -311,7 +311,7 @@ def dml_insert_multirow_check(spark, sf_dir):
 
 @query("dml_insert_hash_check", f"SELECT o_orderkey, ({slot_sql('o_custkey')} + 1) % 1024 AS id_slot, {slot_sql('o_custkey')} AS key_slot FROM orders WHERE o_orderkey % 50 = 0")
 def dml_insert_hash_check(spark, sf_dir):
-    key = H.slot_short(F.col("o_custkey"))
+    key = H.slot_of_integer(F.col("o_custkey"))
     off = F.when(F.col("o_orderkey") % 50 == 0, (key + 1) % 1024).otherwise(key)
     df = S.table(spark, sf_dir, "orders").withColumn("order_id", H.encode_composed(F.col("o_orderkey"), off))
     return dml.hash_check(df, "order_id", key).select("o_orderkey", "id_slot", "key_slot")

@@ -61,7 +61,7 @@ def seq_zone(spark, sf_dir):
 
 @query("seq_composed", f"SELECT c_custkey, ((100 + c_custkey) * 1024 + {slot_sql('c_custkey')})::BIGINT AS id FROM customer")
 def seq_composed(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", Q.composed_ids(100 + F.col("c_custkey"), H.slot_short(F.col("c_custkey"))).alias("id"))
+    return table(spark, sf_dir, "customer").select("c_custkey", Q.composed_ids(100 + F.col("c_custkey"), H.slot_of_integer(F.col("c_custkey"))).alias("id"))
 
 
 @query("seq_common", "SELECT o_orderkey, 5000 + row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS id FROM orders")

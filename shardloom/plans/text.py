@@ -172,7 +172,7 @@ def stmt_multi(spark, sf_dir):
 
 @query("tx_single_shard", f"SELECT o_orderkey // 3 AS tx, count(DISTINCT {slot_sql('o_custkey')}) AS slots FROM orders GROUP BY 1 HAVING count(DISTINCT {slot_sql('o_custkey')}) > 1")
 def tx_single_shard(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.expr("o_orderkey div 3").alias("tx"), H.slot_short(F.col("o_custkey")).alias("slot"))
+    o = table(spark, sf_dir, "orders").select(F.expr("o_orderkey div 3").alias("tx"), H.slot_of_integer(F.col("o_custkey")).alias("slot"))
     return spanning_transactions(o)
 
 

@@ -7,7 +7,7 @@ from shardloom.functions import hashing as H
 from shardloom.functions import text as X
 from shardloom.operators import dml, merge, sequences, telemetry
 from shardloom.operators import routing as R
-from shardloom.operators.catalog import CATALOG, Dimension, ShardError, even, expand_slots, expand_tables, natural
+from shardloom.operators.catalog import CATALOG, Dimension, ShardError, Table, even, expand_slots, expand_tables, natural
 from shardloom.plans import QUERIES
 from shardloom.sources.tables import table
 
@@ -22,9 +22,43 @@ def test_slots(spark):
     assert all(got[k] == R.slot_of(k) for k in keys)
 
 
-def test_short_slots_are_slots(spark):
-    df = spark.range(0, 10**11, 10**9 + 7).select(H.slot(F.col("id")).alias("a"), H.slot_short(F.col("id")).alias("b"))
-    assert df.where("a <> b").count() == 0
+def test_slots_of_integers_are_slots(spark):
+    keys = [0, 7, -7, 10**11, 10**12 - 1, 10**12, -(10**11), 1234567890123456789, 2**63 - 1, -(2**63), -(2**63) + 1, None] + [int(str(k) * 3) for k in range(100000, 100400)]
+    df = spark.createDataFrame([(k,) for k in keys], "k long").select("k", H.slot(F.col("k")).alias("a"), H.slot_of_integer(F.col("k")).alias("b"))
+    assert all(r.a == r.b == R.slot_of(r.k) for r in df.collect())
+
+
+def test_products_of_keys_wrap(spark):
+    pairs = [(3, 4), (2**62, 3), (2**63 - 1, 2**63 - 1), (-(2**63), 1), (-(2**63), 3), (-5, 7), (10**18, 10**18)]
+    df = spark.createDataFrame(pairs, "a long, b long").select("a", "b", H.slot_of_keys(F.col("a"), F.col("b")).alias("s"))
+    assert all(r.s == R.slot_of_all((r.a, r.b)) for r in df.collect()) and R.slot_of_all(("x", 2)) == R.slot_of(R.slot_of("x") * 2)
+
+
+@pytest.mark.parametrize("kind", ["string", "long"])
+def test_what_is_written_is_found(spark, tmp_path, kind):
+    """Keys of 12, 13, 19 and more characters, other scripts, and none: routed reads find what was written."""
+    keys = ["Customer#001", "Customer#0001", "Customer#000000001", "1234567890123456789", "", "é", "中文\U0001f602", "x" * 300, None] if kind == "string" else [123456789012, 1234567890123, 1234567890123456789, -(2**63), 5, None]
+    table, path = Table("t", [even("k", "t")]), f"file://{tmp_path}/t"
+    R.write_sharded(spark.createDataFrame([(k, i) for i, k in enumerate(keys)], f"k {kind}, i int"), table, path)
+    for i, k in enumerate(keys):
+        if k is not None:
+            found = R.read_sharded(spark, path, R.shards_of(table, *R.choose_route(table, {"k": [k]}))).where(F.col("k") == F.lit(k))
+            assert [r.i for r in found.collect()] == [i]
+    assert R.read_sharded(spark, path).count() == len(keys)
+
+
+def test_two_dim_ids_route(spark, tmp_path):
+    table = Table("t", [even("a", "t_a"), even("b", "t_b")], ["id"], "two_dim")
+    df = spark.range(300).select(F.col("id").alias("a"), (F.col("id") * 7).alias("b"), H.encode_two_dim(F.col("id"), H.slot_of_integer(F.col("id")), H.slot_of_integer(F.col("id") * 7)).alias("id"))
+    for dim in (0, 1):
+        path = f"file://{tmp_path}/{dim}"
+        R.write_sharded(df, table, path, dim)
+        for r in df.where("a % 50 = 3").collect():
+            kind, values = R.choose_route(table, {"id": [r.id]})
+            shards = R.shards_of(table, kind, values, dim)
+            assert kind == "composed" and len(shards) == 1 and R.read_sharded(spark, path, shards).where(F.col("id") == r.id).count() == 1
+    with pytest.raises(ShardError):
+        R.shards_of(table, "composed", ["zzz"])
 
 
 def test_two_dim(spark):
