@@ -1,8 +1,10 @@
 """Forests of random-projection trees over vectors, for nearest-neighbour search and for near-duplicates.
 
-A forest is fitted on a bounded sample: each inner node has a random direction and, as its threshold, the median of
-the sample's projections that reach it. It has at most TREES * 2**MAX_DEPTH leaves, so its size is bounded too, and it
-goes to the tasks with their code. All vectors are dealt to leaves; a leaf that holds many is cut into blocks.
+Each inner node of a tree has a random direction and, as its threshold, the median of a sample's projections that
+reach it. The upper levels are fitted on a bounded sample and go to the tasks with their code. Where the table needs
+more than MAX_DEPTH levels for leaves of LEAF_ROWS rows, each leaf's own subtree is fitted on a sample of the leaf by
+Spark, its thresholds meet the leaf's rows as a row ahead of them, and so on, level by level: leaves keep their size
+however large the table is. A leaf that still holds many rows is cut into blocks.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardloom.llm.common import Scratch, components
@@ -37,11 +39,11 @@ class Forest:
     spill: float = 0.0
 
     @classmethod
-    def fit(cls, sample: np.ndarray, rows: int, trees: int, seed: int, leaf_rows: int = LEAF_ROWS, spill: float = 0.0) -> Forest:
-        depth = max(0, min(MAX_DEPTH, round(math.log2(max(1, rows) / leaf_rows)), int(math.log2(max(1, len(sample) / 8)))))
-        rng, nodes, dim = np.random.default_rng(seed), (1 << depth) - 1, sample.shape[1]
-        directions = rng.standard_normal((trees, nodes, dim))
-        directions /= np.linalg.norm(directions, axis=2, keepdims=True) if nodes else 1
+    def fit(cls, sample: np.ndarray, depth: int, trees: int, seed: int | list[int], spill: float = 0.0) -> Forest:
+        """Of ``depth`` levels, or fewer if the sample has less than 8 rows for a leaf."""
+        depth = max(0, min(depth, int(math.log2(max(1, len(sample) / 8)))))
+        nodes = (1 << depth) - 1
+        directions = cls.draw(trees, nodes, sample.shape[1], seed)
         thresholds = np.zeros((trees, nodes))
         for t in range(trees):
             node = np.zeros(len(sample), np.int64)
@@ -53,6 +55,11 @@ class Forest:
                     node[here] = 2 * i + 1 + (p > thresholds[t, i])
         return cls(depth, directions, thresholds, spill)
 
+    @staticmethod
+    def draw(trees: int, nodes: int, dim: int, seed: int | list[int]) -> np.ndarray:
+        directions = np.random.default_rng(seed).standard_normal((trees, nodes, dim))
+        return directions / (np.linalg.norm(directions, axis=2, keepdims=True) if nodes else 1)
+
     @property
     def leaves(self) -> int:
         return self.directions.shape[0] << self.depth
@@ -75,8 +82,8 @@ class Forest:
             leaves.append((t << self.depth) + node - inner)
         return np.concatenate(rows), np.concatenate(leaves)
 
-    def search(self, unit: np.ndarray, budget: int) -> Iterator[list[int]]:
-        """For each row the first ``budget`` leaves of all trees by one shared queue.
+    def search(self, unit: np.ndarray, budget: int) -> Iterator[list[tuple[int, float]]]:
+        """For each row the first ``budget`` leaves of all trees by one shared queue, with their keys.
 
         A node's key is the squared distance that the planes on its path prove; the other side of a node is queued
         with its own plane's distance added.
@@ -84,7 +91,7 @@ class Forest:
         inner = (1 << self.depth) - 1
         for m in self.margins(unit):
             queue = [(0.0, t, 0) for t in range(len(m))]
-            found: list[int] = []
+            found: list[tuple[int, float]] = []
             while queue and len(found) < budget:
                 cost, t, node = heapq.heappop(queue)
                 while node < inner:
@@ -92,7 +99,7 @@ class Forest:
                     near = 2 * node + 1 + (x > 0)
                     heapq.heappush(queue, (cost + x * x, t, 4 * node + 3 - near))
                     node = near
-                found.append((t << self.depth) + node - inner)
+                found.append(((t << self.depth) + node - inner, cost))
             yield found
 
 
@@ -119,112 +126,217 @@ def unit(x: np.ndarray) -> np.ndarray:
     return y / np.sqrt((y * y).sum(axis=1, keepdims=True))
 
 
-def fit(vectors: DataFrame, rows: int, dim: int, trees: int, seed: int, spill: float = 0.0, leaf_rows: int = LEAF_ROWS) -> Forest:
+def fit(vectors: DataFrame, rows: int, dim: int, depth: int, trees: int, seed: int, spill: float = 0.0) -> Forest:
     """A forest fitted on SAMPLE rows at most of ``vectors`` (embedding), which has ``rows`` rows."""
     part = vectors.select("embedding")
     if rows > SAMPLE:
         part = part.sample(fraction=min(1.0, 1.1 * SAMPLE / rows), seed=seed).limit(SAMPLE)
     sample = np.array([r[0] for r in part.collect()], np.float64).reshape(-1, dim)
-    return Forest.fit(unit(sample) if len(sample) else sample, rows, trees, seed, leaf_rows, spill)
+    return Forest.fit(unit(sample) if len(sample) else sample, depth, trees, seed, spill)
 
 
-# nearest neighbours
+def levels(rows: int, leaf_rows: int = LEAF_ROWS, most: int = MAX_DEPTH) -> list[int]:
+    """Depths of the parts of trees, from the top, that give leaves of ``leaf_rows`` rows."""
+    depth, out = max(0, round(math.log2(max(1, rows) / leaf_rows))), []
+    while depth > 0 or not out:
+        out.append(min(depth, most))
+        depth -= out[-1]
+    return out
+
+
+_DEALT = "leaf long, vec_id long, embedding array<double>, asks boolean, cost double"
+_AHEAD = f"{_DEALT}, ahead binary"
+
+
+def _leaves_of(forest: Forest, x: np.ndarray, asks: np.ndarray, cost: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, leaf, cost): all rows by the leaves that they are in, queries by those that they search."""
+    row, leaf = forest.deal(x[~asks])
+    rows, leaves, costs = [np.flatnonzero(~asks)[row]], [leaf], [np.zeros(len(row))]
+    at = np.flatnonzero(asks)
+    for i, found in zip(at.tolist(), forest.search(x[at], budget) if len(at) else (), strict=True):
+        rows.append(np.full(len(found), i))
+        leaves.append(np.array([f for f, _ in found], np.int64))
+        costs.append(cost[i] + np.array([c for _, c in found]))
+    return np.concatenate(rows), np.concatenate(leaves), np.concatenate(costs)
+
+
+def _emit(part: pa.RecordBatch, row: np.ndarray, leaf: np.ndarray, cost: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (vec_id, embedding, asks in the columns 1 to 3 of ``part``) with their leaves."""
+    for a in range(0, len(row), 10_000):
+        at = pa.array(row[a : a + 10_000])
+        yield pa.RecordBatch.from_arrays([pa.array(leaf[a : a + 10_000], pa.int64()), *(part.column(i).take(at) for i in (1, 2, 3)), pa.array(cost[a : a + 10_000])], ["leaf", "vec_id", "embedding", "asks", "cost"])
 
 
 def _place(forest: Forest, dim: int, budget: int):
-    """(leaf, id, vector) of rows by their leaves, or of queries by the leaves that they search."""
+    """The rows of (leaf, vec_id, embedding, asks, cost) by their leaves of a whole forest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, len(batch), 2000):
                 part = batch.slice(lo, 2000)
-                x = unit(matrix(part.column(1), dim))
-                if budget:
-                    found = list(forest.search(x, budget))
-                    row, leaf = np.repeat(np.arange(len(x)), [len(f) for f in found]), np.concatenate([np.array(f, np.int64) for f in found]) if found else np.zeros(0, np.int64)
-                else:
-                    row, leaf = forest.deal(x)
-                for a in range(0, len(row), 10_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(leaf[a : a + 10_000], pa.int64()), part.column(0).take(pa.array(row[a : a + 10_000])), part.column(1).take(pa.array(row[a : a + 10_000]))], ["leaf", "vec_id", "embedding"])
+                asks = part.column(3).to_numpy(zero_copy_only=False).astype(bool)
+                yield from _emit(part, *_leaves_of(forest, unit(matrix(part.column(2), dim)), asks, part.column(4).to_numpy(zero_copy_only=False), budget))
+
+    return run
+
+
+def _subtree(dim: int, depth: int, seed: int):
+    """The thresholds of one leaf's subtree, from a sample of the leaf, as the row that goes ahead of its rows."""
+
+    def run(table: pa.Table) -> pa.Table:
+        leaf = table.column("leaf")[0].as_py()
+        forest = Forest.fit(unit(matrix(table.column("embedding").combine_chunks(), dim)), depth, 1, [seed, leaf])
+        row = {"leaf": leaf, "vec_id": None, "embedding": None, "asks": False, "cost": None, "ahead": forest.thresholds.astype("<f8").tobytes()}
+        return pa.Table.from_pylist([row], schema=table.schema.append(pa.field("ahead", pa.binary())))
+
+    return run
+
+
+def _deepen(dim: int, depth: int, seed: int, spill: float, budget: int):
+    """Rows sorted by leaf, each leaf's thresholds ahead, to the leaves of its subtree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, of = None, None
+        for batch in batches:
+            leaves, ahead = batch.column(0).to_numpy(), batch.column(5)
+            for lo in [0, *(np.flatnonzero(leaves[1:] != leaves[:-1]) + 1).tolist()] if len(batch) else []:
+                hi = lo + int(np.searchsorted(leaves[lo:], leaves[lo], side="right"))
+                while lo < hi:
+                    if ahead[lo].is_valid:
+                        thresholds = np.frombuffer(ahead[lo].as_py(), "<f8")[None]
+                        of, nodes = int(leaves[lo]), thresholds.shape[1]
+                        forest = Forest((nodes + 1).bit_length() - 1, Forest.draw(1, nodes, dim, [seed, of]), thresholds, spill)
+                        lo += 1
+                        continue
+                    part = batch.slice(lo, min(hi - lo, 2000))
+                    lo += len(part)
+                    asks = part.column(3).to_numpy(zero_copy_only=False).astype(bool)
+                    sub = forest if of == leaves[lo - 1] else Forest(0, np.zeros((1, 0, dim)), np.zeros((1, 0)), spill)
+                    row, leaf, cost = _leaves_of(sub, unit(matrix(part.column(2), dim)), asks, part.column(4).to_numpy(zero_copy_only=False), budget)
+                    yield from _emit(part, row, (int(leaves[lo - 1]) << depth) + leaf, cost)
 
     return run
 
 
+def deal_to_leaves(scratch: Scratch, vectors: DataFrame, rows: int, dim: int, trees: int, seed: int, spill: float = 0.0, leaf_rows: int = LEAF_ROWS, most: int = MAX_DEPTH, budget: int = 0) -> tuple[DataFrame, int]:
+    """(leaf, vec_id, embedding, asks, cost of all rows of ``vectors``, how many leaves there are).
+
+    Rows that ask are given the ``budget`` leaves with the least keys of one queue over all trees: a part of a tree
+    gives the least of each leaf above, and the least of all parts are those that one queue would have reached.
+    """
+    depths = levels(rows, leaf_rows, most)
+    forest = fit(vectors.where("not asks"), rows, dim, depths[0], trees, seed, spill)
+    leaves = forest.leaves << sum(depths[1:])
+    dealt = vectors.select(F.lit(0).cast("long").alias("leaf"), "vec_id", "embedding", "asks", F.lit(0.0).alias("cost")).mapInArrow(_place(forest, dim, budget or leaves), _DEALT)
+    held = forest.leaves
+    for i, depth in enumerate(depths[1:], 1):
+        dealt = scratch.keep(dealt)
+        share = min(1.0, 16.0 * (1 << depth) * held / max(1, rows * trees))
+        some = dealt.where(~F.col("asks") & (F.pmod(F.xxhash64(F.lit(i), "vec_id", "leaf"), F.lit(1_000_000)) < int(share * 1_000_000)))
+        ahead = some.groupBy("leaf").applyInArrow(_subtree(dim, depth, seed + i), _AHEAD)
+        both = dealt.withColumn("ahead", F.lit(None).cast("binary")).union(ahead)
+        both = both.repartition("leaf").sortWithinPartitions("leaf", F.col("ahead").isNull())
+        dealt = both.mapInArrow(_deepen(dim, depth, seed + i, spill, budget or leaves), _DEALT)
+        held <<= depth
+        if budget:
+            place = F.row_number().over(Window.partitionBy("vec_id").orderBy("cost", "leaf"))
+            kept = dealt.where("asks").withColumn("_i", place).where(F.col("_i") <= budget).drop("_i")
+            dealt = dealt.where("not asks").union(kept)
+    return dealt, leaves
+
+
+# nearest neighbours
+
+
 def _nearest(k: int):
+    """The ``k`` nearest nodes of a block for each node that asks, itself included, ties to the smaller id."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, asks = pdf[~pdf["asks"]].drop_duplicates("vec_id").sort_values("vec_id"), pdf[pdf["asks"]].drop_duplicates("vec_id")
-        out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
+        rows, asks = pdf[~pdf["asks"]].sort_values("vec_id"), pdf[pdf["asks"]]
+        out: dict[str, list] = {"query": [], "node": [], "score": []}
         if len(rows) and len(asks):
             ids, x = rows.vec_id.to_numpy(), unit(np.stack(rows.embedding.to_numpy()).astype(np.float64))
             for lo in range(0, len(asks), 256):
                 part = asks.iloc[lo : lo + 256]
                 q = unit(np.stack(part.embedding.to_numpy()).astype(np.float64))
                 near = q @ x.T
-                near[part.vec_id.to_numpy()[:, None] == ids[None, :]] = -np.inf
                 kth = -np.partition(-near, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
                 for i, query in enumerate(part.vec_id):
-                    at = np.flatnonzero((near[i] >= kth[i] - 1e-12) & np.isfinite(near[i]))
+                    at = np.flatnonzero(near[i] >= kth[i] - 1e-12)
                     score = (x[at] * q[i]).sum(axis=1)  # the same sum for equal vectors, wherever they are
                     best = np.lexsort((ids[at], -score))[:k]
-                    out["query_id"] += [query] * len(best)
-                    out["vec_id"] += ids[at][best].tolist()
+                    out["query"] += [query] * len(best)
+                    out["node"] += ids[at][best].tolist()
                     out["score"] += score[best].tolist()
-        return pd.DataFrame(out).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+        return pd.DataFrame(out).astype({"query": "int64", "node": "int64", "score": "float64"})
 
     return run
 
 
-def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 5, trees: int = 8, share: float = 0.15, seed: int = 3, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest_neighbours(
+    vectors: DataFrame, queries: Column, k: int = 5, trees: int = 8, share: float = 0.15, leaves: int | None = None, seed: int = 3, most: int = MAX_DEPTH, leaf_rows: int = LEAF_ROWS, id_col: str = "vec_id", vector_col: str = "embedding"
+) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest rows found for each row where ``queries`` holds.
 
     Nearness is the cosine in double precision; ties go to the smaller id, and a query's own id is no candidate. Each
-    query visits ``share`` of all leaves, in the order of one queue over all trees; every row of a visited leaf is
-    scored exactly. Vectors that are null, zero, of another dimension than most, or have null or non-finite components
-    take no part, nor do rows with a null id; an id's repeated rows count once. Fewer rows than ``k`` give what there is.
+    query visits ``share`` of all leaves, or ``leaves`` of them, in the order of one queue over all trees; every row of
+    a visited leaf is scored exactly. Equal vectors are one node with its k + 1 smallest ids, more can't be among the
+    nearest, and are searched for once. Vectors that are null, zero, of another dimension than most, or have null or
+    non-finite components take no part, nor do rows with a null id; an id's rows count once, with the least of their vectors. Fewer rows than
+    ``k`` give what there is. Other columns don't matter, whatever their names.
     """
     scratch = Scratch(vectors.sparkSession, "neighbours")
     named = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"), F.coalesce(queries, F.lit(False)).alias("asks"))
-    dim = dimension(named)
+    dim = max(1, dimension(named))
     rows = named.where(usable(F.col("embedding"), dim) & F.col("vec_id").isNotNull())
-    n = rows.count()
-    forest = fit(rows, n, max(1, dim), trees, seed)
-    budget = max(1, math.ceil(share * forest.leaves))
-    schema = "leaf long, vec_id long, embedding array<double>"
-    dealt = rows.select("vec_id", "embedding").mapInArrow(_place(forest, max(1, dim), 0), schema)
-    asked = rows.where("asks").select("vec_id", "embedding").mapInArrow(_place(forest, max(1, dim), budget), schema)
-    both = scratch.keep(dealt.withColumn("asks", F.lit(False)).union(asked.withColumn("asks", F.lit(True))))
+    rows = scratch.keep(rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"), F.max("asks").alias("asks")))
+    # limited before the shuffle: no more than k + 1 rows of a vector leave a task
+    first = rows.withColumn("i", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("i") <= k + 1)
+    first = first.groupBy("embedding").agg(F.min("vec_id").alias("node"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    nodes = scratch.keep(first)
+    wanted = rows.where("asks").join(nodes.select("embedding", "node"), "embedding").select(F.col("vec_id").alias("query_id"), "node")
+    wanted = scratch.keep(wanted)
+    n = nodes.count()
+    both = nodes.select(F.col("node").alias("vec_id"), "embedding", F.lit(False).alias("asks"))
+    asking = nodes.join(wanted.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("vec_id"), "embedding", F.lit(True).alias("asks"))
+    total = trees << sum(levels(n, leaf_rows, most))
+    budget = max(1, leaves if leaves else math.ceil(share * total))
+    dealt, _ = deal_to_leaves(scratch, scratch.keep(both.union(asking)), n, dim, trees, seed, 0.0, leaf_rows, most, budget)
+    both = scratch.keep(dealt.select("leaf", "vec_id", "embedding", "asks"))
     blocks = both.groupBy("leaf").agg(F.ceil(F.count(F.when(~F.col("asks"), 1)) / BLOCK).cast("int").alias("nr"), F.ceil(F.count(F.when(F.col("asks"), 1)) / BLOCK).cast("int").alias("nq"))
-    blocks = blocks.where("nr > 0 and nq > 0")  # at most one row for each leaf of the forest
+    blocks = blocks.where("nr > 0 and nq > 0")
     spot = lambda m: F.array(F.pmod(F.xxhash64("vec_id"), F.col(m)).cast("int"))
     every = lambda m: F.sequence(F.lit(0), F.col(m) - 1)
-    placed = both.join(F.broadcast(blocks), "leaf")
+    placed = both.join(blocks, "leaf")
     placed = placed.withColumn("i", F.explode(F.when(F.col("asks"), every("nr")).otherwise(spot("nr"))))
     placed = placed.withColumn("j", F.explode(F.when(F.col("asks"), spot("nq")).otherwise(every("nq")))).drop("nr", "nq")
-    found = placed.groupBy("leaf", "i", "j").applyInPandas(_nearest(k), "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).groupBy("query_id")
-    # a query has at most k rows from each leaf that it visits
-    best = best.agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))), 1, k).alias("top"))
-    out = best.select("query_id", F.posexplode("top").alias("p", "x"))
+    found = placed.groupBy("leaf", "i", "j").applyInPandas(_nearest(k + 1), "query long, node long, score double")
+    found = found.groupBy("query", "node").agg(F.max("score").alias("score"))
+    # of each node the k + 1 nearest ids: its own may be among them
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "node"))
+    found = found.withColumn("_i", place).where(F.col("_i") <= k + 1).join(nodes.select("node", "ids"), "node")
+    found = found.select("query", (-F.col("score")).alias("minus"), F.explode("ids").alias("vec_id"))
+    found = found.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("minus", "vec_id"))).alias("top"))
+    best = wanted.join(found, wanted.node == found.query)
+    out = best.select("query_id", F.posexplode(F.slice(F.filter("top", lambda x: x["vec_id"] != F.col("query_id")), 1, k)).alias("p", "x"))
     return out.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.minus")).alias("score"))
 
 
 # near-duplicates
 
 
-def _spilled(forest: Forest, dim: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, len(batch), 1000):
-                part = batch.slice(lo, 1000)
-                row, leaf = forest.deal(unit(matrix(part.column(1), dim)))
-                held = np.zeros((len(part), -(-forest.leaves // 8) * 8), np.uint8)
-                held[row, leaf] = 1
-                bits = pa.array([b.tobytes() for b in np.packbits(held, axis=1)], pa.binary())
-                for a in range(0, len(row), 10_000):
-                    at = pa.array(row[a : a + 10_000])
-                    yield pa.RecordBatch.from_arrays([pa.array(leaf[a : a + 10_000], pa.int64()), *(c.take(at) for c in (*part.columns, bits))], ["leaf", "vec_id", "embedding", "copies", "bits"])
-
-    return run
+def _earlier(leaf: int, *sides: list) -> list[np.ndarray]:
+    """For each row of some sides the leaves before ``leaf`` that several rows are in, as bits."""
+    n = [len(x) for side in sides for x in side]
+    row, flat = np.repeat(np.arange(len(n)), n), np.concatenate([np.asarray(x, np.int64) for side in sides for x in side])
+    row, flat = row[flat < leaf], flat[flat < leaf]
+    names, code, count = np.unique(flat, return_inverse=True, return_counts=True)
+    slot = np.cumsum(count > 1) - 1
+    held = np.zeros((len(n), max(1, int((count > 1).sum()))), np.uint8)
+    use = (count > 1)[code]
+    held[row[use], slot[code[use]]] = 1
+    packed = np.packbits(held, axis=1)
+    return np.split(packed, np.cumsum([len(side) for side in sides])[:-1])
 
 
 def _linked(threshold: float):
@@ -236,10 +348,7 @@ def _linked(threshold: float):
         out = []
         if len(left) and len(right):
             a, b = (unit(np.stack(p.embedding.to_numpy()).astype(np.float64)) for p in (left, right))
-            first = np.zeros(len(pdf.bits.iloc[0]) * 8, np.uint8)
-            first[:leaf] = 1
-            earlier = np.packbits(first)
-            bits = [np.frombuffer(b"".join(p.bits), np.uint8).reshape(len(p), -1) & earlier for p in (left, right)]
+            bits = _earlier(leaf, left.leaves.tolist(), right.leaves.tolist())
             ids, copies = [p.vec_id.to_numpy() for p in (left, right)], [p.copies.to_numpy() for p in (left, right)]
             sums, least = [np.zeros(len(p), np.int64) for p in (left, right)], [x.copy() for x in ids]
             for lo in range(0, len(a), 256):
@@ -263,7 +372,7 @@ def _linked(threshold: float):
     return run
 
 
-def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.95, trees: int = 4, seed: int = 9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.95, trees: int = 4, seed: int = 9, most: int = MAX_DEPTH, leaf_rows: int = LEAF_ROWS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors``.
 
     Rows are linked when their cosine in double precision is at least ``threshold``. A forest whose splits overlap
@@ -271,7 +380,9 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.95, trees: i
     with a chance of about 0.7 % a level. ``n_links`` counts the other rows linked directly, ``component_id`` is the
     smallest id reachable. Equal vectors are one node with a count, and links are counted where they are found, in
     the first leaf that has both, never listed. Vectors that are null, zero, of another dimension than most, or have
-    null or non-finite components stay alone, as do rows with a null id (component null, kept).
+    null or non-finite components stay alone, as do rows with a null id (component null, kept); repeated rows share their
+    component, and an id's other vectors are linked with it as other rows would be, but not counted. Other columns
+    don't matter, whatever their names.
     """
     scratch = Scratch(vectors.sparkSession, "vector-dedup")
     named = scratch.keep(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding")))
@@ -280,10 +391,11 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.95, trees: i
     nodes = scratch.keep(named.where(live).groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")).select("vec_id", "embedding", "copies"))
     n = nodes.count()
     spill = 0.76 * math.sqrt(max(0.0, 2 - 2 * threshold)) / math.sqrt(dim)
-    forest = fit(nodes, n, dim, trees, seed, spill)
-    dealt = scratch.keep(nodes.mapInArrow(_spilled(forest, dim), "leaf long, vec_id long, embedding array<double>, copies long, bits binary"))
-    blocks = dealt.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))  # at most one row for each leaf
-    placed = dealt.join(F.broadcast(blocks), "leaf").withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("nb")).cast("int"))
+    dealt, _ = deal_to_leaves(scratch, nodes.select("vec_id", "embedding", F.lit(False).alias("asks")), n, dim, trees, seed, spill, leaf_rows, most)
+    leaves = scratch.keep(dealt.select("vec_id", "leaf").groupBy("vec_id").agg(F.sort_array(F.collect_set("leaf")).alias("leaves")))
+    blocks = leaves.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+    placed = nodes.join(leaves, "vec_id").select("*", F.explode("leaves").alias("leaf")).join(blocks, "leaf")
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("nb")).cast("int"))
     placed = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     placed = placed.withColumn("i", F.least("own", "o")).withColumn("j", F.greatest("own", "o")).drop("o", "nb")
     found = scratch.keep(placed.groupBy("leaf", "i", "j").applyInPandas(_linked(threshold), "vec_id long, links long, least long"))

@@ -5,8 +5,9 @@ values that any sufficiently similar partner must share propose pairs, the sketc
 Jaccard similarity, and the whole shingle sets decide.
 
 A group of many copies never becomes all its pairs: equal sets are one node, each list is compared with one hub (its
-most typical member), lists that still join several components with hubs outside their largest one, and what is then
-left of a list is compared in blocks, the members outside its largest component against all.
+most typical member), long lists that still join several components with hubs outside their largest one, and what is
+then left is compared in blocks, the members outside a list's largest component against all: sketches first, then the
+whole sets of those that have a likely partner.
 """
 
 from __future__ import annotations
@@ -26,10 +27,12 @@ from shardloom.llm.textbytes import mix, shingle_sets
 #: The chance that a pair right at the threshold shares too few retained values to be proposed, or is misjudged.
 MISS = 1e-7
 BLOCK = 512
+#: Members of lists that hang together and are compared at once, at most; larger groups go list by list.
+GROUP = 4 * BLOCK
 #: A list's members that meet its hub in one task, about; longer lists are dealt to more tasks.
 SALT_ROWS = 4096
-#: Rounds of further hubs for lists that join several components, before their rest is compared in blocks.
-ROUNDS = 2
+#: Rounds of further hubs for lists of more than BLOCK members, before what is left is compared in blocks.
+ROUNDS = 3
 
 
 def least_shared(k: int, threshold: float, miss: float = MISS) -> int:
@@ -79,8 +82,43 @@ def _full_sets(width: int):
     return run
 
 
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sizes of the sets on both sides, sizes of all their intersections); memory is bounded, whatever the sets' sizes."""
+    sizes = [np.array([len(x) for x in side], np.int64) for side in (left, right)]
+    flat, codes = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    common = np.bincount(codes, minlength=len(flat)) > 1
+    order = np.cumsum(common) - 1
+    at = np.repeat(np.arange(len(left) + len(right)), np.concatenate(sizes))
+    use = common[codes]
+    at, codes = at[use], order[codes[use]]
+    inter = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, int(common.sum()), 4096):
+        part = (codes >= lo) & (codes < lo + 4096)
+        grid = np.zeros((len(left) + len(right), 4096), np.float32)
+        grid[at[part], codes[part] - lo] = 1
+        inter += grid[: len(left)] @ grid[len(left) :].T
+    return *sizes, inter.astype(np.int64)
+
+
+def _partners(k: int, percent: int, least: int):
+    """The members of one block pair whose sketches allow for a link with a member of another component."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
+        if not len(left) or not len(right):
+            return pdf.iloc[:0][["whole", "u", "i", "j", "side", "node"]]
+        a, b, inter = _overlaps(list(left["sketch"]), list(right["sketch"]))
+        union = a[:, None] + b[None, :] - inter
+        enough = inter >= np.where(union < k, -(-union * percent // 100), least)
+        n, m = left.n_shingles.to_numpy()[:, None], right.n_shingles.to_numpy()[None, :]
+        enough &= (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent) & (left.c.to_numpy()[:, None] != right.c.to_numpy()[None, :])
+        return pd.concat([left[enough.any(axis=1)], right[enough.any(axis=0)]])[["whole", "u", "i", "j", "side", "node"]]
+
+    return run
+
+
 def _block_links(num: int, den: int):
-    """Links between the members outside the main component (side 0) and all members (side 1) of one block pair.
+    """Links between the members on side 0 and those on side 1 of one block pair.
 
     Gives for each member the smallest member that it is linked with through this block: as good as all its links for
     components, and no more rows than members.
@@ -91,21 +129,8 @@ def _block_links(num: int, den: int):
         left, right = rows[rows.side == 0].reset_index(drop=True), rows[rows.side == 1].reset_index(drop=True)
         if not len(left) or not len(right):
             return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        sizes = [np.array([len(x) for x in side.shingles], np.int64) for side in (left, right)]
-        flat, codes = np.unique(np.concatenate([*left.shingles, *right.shingles]), return_inverse=True)
-        common = np.bincount(codes, minlength=len(flat)) > 1
-        order = np.cumsum(common) - 1
-        at = np.repeat(np.arange(len(left) + len(right)), np.concatenate(sizes))
-        use = common[codes]
-        at, codes = at[use], order[codes[use]]
-        inter = np.zeros((len(left), len(right)), np.float32)
-        for lo in range(0, int(common.sum()), 4096):  # bounded memory, whatever the texts' lengths
-            part = (codes >= lo) & (codes < lo + 4096)
-            grid = np.zeros((len(left) + len(right), 4096), np.float32)
-            grid[at[part], codes[part] - lo] = 1
-            inter += grid[: len(left)] @ grid[len(left) :].T
-        inter = inter.astype(np.int64)
-        linked = den * inter >= num * (sizes[0][:, None] + sizes[1][None, :] - inter)
+        a, b, inter = _overlaps(list(left.shingles), list(right.shingles))
+        linked = den * inter >= num * (a[:, None] + b[None, :] - inter)
         i, j = np.nonzero(linked)
         ids, n = np.concatenate([left.node.to_numpy(), right.node.to_numpy()]), len(left)
         root = np.arange(len(ids))
@@ -147,15 +172,6 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return _by_list(rows, lists, "left_semi")
 
 
-def _able(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The nodes among ``members`` (node, c) that have enough shingles in common with other components to be linked with one."""
-    held = sets.join(members.select("node", "c").distinct(), "node")
-    flat = held.select("node", "c", F.explode("shingles").alias("h"))
-    several = flat.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h")
-    common = flat.select("node", "h").join(several, "h", "left_semi").groupBy("node").agg(F.count("*").alias("common"))
-    return held.select("node", F.size("shingles").alias("n")).join(common, "node").where(F.col("common") * 100 >= F.col("n") * percent).select("node")
-
-
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, k: int = 64, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept, text_hash, chosen for every row of ``docs``.
 
@@ -208,14 +224,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, k: int =
         of_hub = of_hub.select(F.col("node").alias("hub"), "hs", *(F.col(x).alias(f"{x}_h") for x in table.columns if x != "node"))
         return pairs.join(table, "node").join(of_hub, ["hub", "hs"])
 
-    # each member against its list's most typical one: the sketch of the union first
-    pairs = scratch.keep(with_hubs(lists, lists))
-    both = beside_hub(pairs, nodes.select("node", "sketch", "n_shingles"))
-    union = F.slice(F.array_sort(F.array_union("sketch", "sketch_h")), 1, k)
-    shared = F.size(F.array_intersect(F.array_intersect(union, "sketch"), "sketch_h"))
-    short = F.least("n_shingles", "n_shingles_h") * 100 >= F.greatest("n_shingles", "n_shingles_h") * percent
-    enough = F.when(F.size(union) < k, F.ceil(F.size(union) * t)).otherwise(F.lit(c))
-    likely = scratch.keep(both.where(short & (shared >= enough)).select("node", "hub", "hm", "hs"))
+    def likely(pairs: DataFrame) -> DataFrame:
+        """The pairs that the sketch of their union makes likely."""
+        both = beside_hub(pairs, nodes.select("node", "sketch", "n_shingles"))
+        union = F.slice(F.array_sort(F.array_union("sketch", "sketch_h")), 1, k)
+        shared = F.size(F.array_intersect(F.array_intersect(union, "sketch"), "sketch_h"))
+        short = F.least("n_shingles", "n_shingles_h") * 100 >= F.greatest("n_shingles", "n_shingles_h") * percent
+        enough = F.when(F.size(union) < k, F.ceil(F.size(union) * t)).otherwise(F.lit(c))
+        return both.where(short & (shared >= enough)).select("node", "hub", "hm", "hs")
+
+    # each member against its list's most typical one
+    close = scratch.keep(likely(scratch.keep(with_hubs(lists, lists))))
 
     # the whole set of each listed node, from one of its rows
     wanted = nodes.join(lists.select("node").distinct(), "node", "left_semi").select("node", F.col("rep").alias("doc_id"), "text_hash")
@@ -232,32 +251,46 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, k: int =
         checked = beside_hub(pairs, sets).withColumn("i", i)
         return checked.where(F.col("i") * 100 >= percent * (F.size("shingles") + F.size("shingles_h") - F.col("i"))).select(F.col("node").alias("a"), F.col("hub").alias("b"))
 
-    links = scratch.keep(linked(likely))
+    links = scratch.keep(linked(close))
     joined = scratch.keep(components(scratch, links))
 
-    # lists that still join several components, without members that have too few shingles in common with all others
+    # lists that still join several components
     opened = lists
     for i in range(rounds + 1):
         now = opened.join(joined.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
         opened = scratch.keep(_mixed(now))
-        if not opened.limit(1).count():
-            break
-        opened = scratch.keep(_mixed(opened.join(_able(opened, sets, percent), "node", "left_semi")))
-        if not opened.limit(1).count():
-            break
         counts = opened.groupBy("v", "c").agg(F.count("*").alias("n"), F.max("m").alias("m"))
         main = counts.groupBy("v").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.max("m").alias("m"))
-        placed = _by_list(opened, main)
-        if i < rounds:
-            more = linked(with_hubs(opened, placed.where("c <> main")))
-        else:  # the members outside a list's largest component against all its members, in blocks
-            placed = placed.withColumn("left", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int")).withColumn("right", F.ceil(F.col("all") / BLOCK).cast("int"))
-            one = placed.where("c <> main").select("v", "node", F.lit(0).alias("side"), _salt("left").alias("i"), _salts("right").alias("j"))
-            two = placed.select("v", "node", F.lit(1).alias("side"), F.col("left"), _salt("right").alias("j")).select("v", "node", "side", _salts("left").alias("i"), "j")
-            more = one.union(two).join(sets, "node").groupBy("v", "i", "j").applyInPandas(_block_links(percent, 100), "a long, b long")
+        placed = scratch.keep(_by_list(opened, main))
+        long = placed.where(F.col("all") > BLOCK)
+        if i == rounds or not long.limit(1).count():
+            break
+        more = linked(scratch.keep(likely(with_hubs(long.select(*opened.columns), long.where("c <> main").select(*opened.columns)))))
         links = scratch.keep(links.union(more))
         joined = scratch.keep(components(scratch, links))
         opened = opened.drop("c")
+    if opened.limit(1).count():
+        # lists that hang together are compared at once if they have few members, so that no pair comes up for each list
+        heads = opened.groupBy("v").agg(F.min("node").alias("b"), F.max("m").alias("m"))
+        group = components(scratch, _by_list(opened, heads).select(F.col("node").alias("a"), "b"))
+        group = scratch.keep(group.withColumnRenamed("component", "g"))
+        size = group.groupBy("g").agg(F.count("*").alias("size"))
+        small = opened.join(group.join(size.where(F.col("size") <= GROUP), "g"), "node").select("g", "node", "c").distinct()
+        large = opened.join(group.join(size.where(F.col("size") > GROUP), "g"), "node").select("v", "node", "c")
+        units = small.select(F.lit(True).alias("whole"), F.col("g").alias("u"), "node", "c").union(large.select(F.lit(False), "v", "node", "c"))
+        unit = ["whole", "u"]
+        counts = units.groupBy(*unit, "c").agg(F.count("*").alias("n")).groupBy(*unit).agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+        blocks = counts.select(*unit, "main", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("left"), F.ceil(F.col("all") / BLOCK).cast("int").alias("right"))
+        # the members outside the largest component against all members
+        placed = scratch.keep(units.join(blocks.where("left > 0"), unit))
+        one = placed.where("c <> main").select(*unit, "node", "c", F.lit(0).alias("side"), _salt("left").alias("i"), _salts("right").alias("j"))
+        two = placed.select(*unit, "node", "c", F.lit(1).alias("side"), _salt("right").alias("j"), _salts("left").alias("i")).select(*one.columns)
+        held = one.union(two).join(nodes.select("node", "sketch", "n_shingles"), "node")
+        hopeful = scratch.keep(held.groupBy(*unit, "i", "j").applyInPandas(_partners(k, percent, c), "whole boolean, u long, i int, j int, side int, node long"))
+        late = hopeful.join(sets, "node").groupBy(*unit, "i", "j").applyInPandas(_block_links(percent, 100), "a long, b long")
+        late = scratch.keep(late)
+        if late.limit(1).count():
+            joined = scratch.keep(components(scratch, links.union(late)))
 
     # the component's least row stands for it
     grouped = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))

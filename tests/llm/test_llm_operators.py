@@ -193,11 +193,13 @@ def cosines(rows):
     return ids, x @ x.T
 
 
-def test_neighbours(spark):
+@pytest.mark.parametrize("most", [10, 1])
+def test_neighbours(spark, most):
+    """Also by trees of several parts, of one level each."""
     rows = vectors()
     df = spark.createDataFrame(rows, VECTORS).repartition(4)
     ids, s = cosines(rows[:-5] + rows[-4:])
-    got = nearest_neighbours(df, F.col("vec_id") % 10 == 0, k=5).collect()
+    got = nearest_neighbours(df, F.col("vec_id") % 10 == 0, k=5, most=most, leaf_rows=60, share=0.5).collect()
     found = total = 0
     for q in ids[ids % 10 == 0]:
         i = np.flatnonzero(ids == q)[0]
@@ -223,12 +225,42 @@ def test_recall_on_the_table(spark):
     assert np.mean([len(got[q] & set(ids[np.argsort(-s[i])[:5]])) / 5 for i, q in enumerate(ids[ids % 50 == 0])]) >= 0.9
 
 
-def test_vector_dedup(spark):
+def test_a_vector_with_thousands_of_copies(spark):
+    """A third of all rows are one vector: it is one node, and each of its rows finds the others by id."""
+    rng = np.random.default_rng(1)
+    data = [(i, rng.standard_normal(8).tolist()) for i in range(400)] + [(1000 + i, [1.0] * 8) for i in range(6000)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = nearest_neighbours(df, F.col("vec_id") % 50 == 0, share=1.0).where("query_id >= 1000").collect()
+    assert len(got) == 120 * 5
+    for r in got:
+        assert r.vec_id == [i for i in range(1000, 1007) if i != r.query_id][r["rank"] - 1] and abs(r.score - 1) < 1e-12
+
+
+def test_parts_of_a_tree_search_like_one_queue(spark):
+    """With all levels' leaves wanted, parts of one level each give every leaf once, the nearest first."""
+    from shardloom.llm.forest import deal_to_leaves, levels
+
+    assert levels(1 << 20, 512, 4) == [4, 4, 3] and levels(10) == [0]
+    rng = np.random.default_rng(1)
+    data = [(i, rng.standard_normal(8).tolist(), a) for i in range(1000) for a in (False, True) if not a or i % 100 == 0]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, asks boolean")
+    for budget in (5, 32):
+        dealt, leaves = deal_to_leaves(Scratch(spark, "t"), df, 1000, 8, 2, 3, 0.0, 60, 2, budget)
+        got = dealt.toPandas()
+        assert leaves == 32 and (got[~got.asks].groupby("vec_id").size() == 2).all() and (got[got.asks].groupby("vec_id").size() == budget).all()
+        own = got[~got.asks].groupby("vec_id").leaf.apply(set)
+        first = got[got.asks & (got.cost == 0)].groupby("vec_id").leaf.apply(set)
+        assert all(own[q] == leaf for q, leaf in first.items()) and len(first) == 10
+        assert 15 < got[~got.asks].groupby("leaf").size().median() < 140
+
+
+@pytest.mark.parametrize("most", [10, 1])
+def test_vector_dedup(spark, most):
     rows = vectors()
     df = spark.createDataFrame(rows, VECTORS).repartition(4)
     ids, s = cosines(rows)
     links = [(int(ids[i]), int(ids[j])) for i in range(len(ids)) for j in range(i) if s[i, j] >= 0.95]
-    got = near_duplicate_vectors(df).collect()
+    got = near_duplicate_vectors(df, most=most, leaf_rows=512 if most == 10 else 120).collect()
     assert len(got) == len(rows)
     want = closure([r[0] for r in rows if r[0] is not None], links)
     for r in got:
