@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of a statement's pattern that are kept.
@@ -42,23 +42,60 @@ def meta_comment(sql: Column) -> Column:
     return F.struct(part(1).alias("comment"), part(2).alias("content"), F.when(has, F.regexp_extract(sql, _META, 3)).otherwise(sql).alias("body"))
 
 
-def fingerprint(sql: Column) -> Column:
-    """A statement's pattern: literals become ?, value lists one ?, blanks one space, keywords upper case; cut at MAX_PATTERN."""
+_TEXTS = r"'(?:[^'\\]|\\.|'')*'"
+_QUOTED = r'"(?:[^"\\]|\\.|"")*"'
+_NUMBER = r"(?<![\w.?])[+-]?(?:0x[0-9a-fA-F]+|\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)(?!\w)"
+_TUPLE = r"\((?:[^()]|\([^()]*\))*\)"
+KEYWORDS = (
+    "select from where and or insert into update set delete order group by limit offset having join left right inner outer cross on using as like between is not null "
+    "distinct desc asc in values union all exists case when then else end replace truncate table"
+).split()
+
+
+def without_literals(sql: Column, quoted_names: bool = False) -> Column:
+    """A statement with ? for its literals and value lists, and one space for blanks and comments.
+
+    ``quoted_names``: double quotes hold names, as in standard SQL, not texts.
+    """
+    literal = "|".join([_TEXTS, *([] if quoted_names else [_QUOTED]), _NUMBER])
     steps = [
-        (r"(?s)/\*.*?\*/", " "),
-        (r"'(?:[^'\\]|\\.|'')*'", "?"),
-        (r'"(?:[^"\\]|\\.)*"', "?"),
-        (r"(?<![\w.])[+-]?\d+(?:\.\d+)?(?![\w])", "?"),
+        (r"(?s)/\*.*?\*/|--[ \t][^\n]*", " "),
+        (literal, "?"),
         (r"\s+", " "),
-        (r"(?i)\bIN \(\s*\?(?:\s*,\s*\?)*\s*\)", "IN (?)"),
-        (r"(?i)\bVALUES \((?:[^()]|\([^()]*\))*\)(?:\s*,\s*\((?:[^()]|\([^()]*\))*\))*", "VALUES (?)"),
-        (r"\s*;\s*$", ""),
+        (r"(?i)\bIN ?\( ?\?(?: ?, ?\?)* ?\)", "IN (?)"),
+        (rf"(?i)\bVALUES ?{_TUPLE}(?: ?, ?{_TUPLE})*", "VALUES (?)"),
+        (r"^ | ?;? ?$", ""),
     ]
     for pattern, to in steps:
         sql = F.regexp_replace(sql, pattern, to)
-    for word in ("select", "from", "where", "and", "or", "insert", "into", "update", "set", "delete", "order", "group", "by", "limit", "offset", "having", "join", "on", "as", "like", "between", "is", "not", "null", "distinct", "desc", "asc"):
-        sql = F.regexp_replace(sql, rf"(?i)\b{word}\b", word.upper())
-    return F.substring(F.trim(sql), 1, MAX_PATTERN)
+    return sql
+
+
+def upper_keywords(sql: Column) -> Column:
+    """A statement without literals with its keywords in upper case; one pass cuts it at the edges of words."""
+    words = F.transform(F.split(sql, r"\b"), lambda w: F.when(F.lower(w).isin(*KEYWORDS), F.upper(w)).otherwise(w))
+    return F.substring(F.array_join(words, ""), 1, MAX_PATTERN)
+
+
+def fingerprint(sql: Column, quoted_names: bool = False) -> Column:
+    """A statement's pattern: literals become ?, value lists one ?, blanks one space, keywords upper case; cut at MAX_PATTERN."""
+    return upper_keywords(without_literals(sql, quoted_names))
+
+
+def pattern_counts(statements: DataFrame, sql: str = "sql") -> DataFrame:
+    """pattern, n: how often each pattern occurs; keywords are looked for once in each distinct form."""
+    forms = statements.groupBy(without_literals(F.col(sql)).alias("form")).agg(F.count("*").alias("n"))
+    return forms.groupBy(upper_keywords(F.col("form")).alias("pattern")).agg(F.sum("n").alias("n"))
+
+
+PARSE_FAIL = "[dal_parse_fail] "
+
+
+def pattern_or_start(sql: Column) -> Column:
+    """A statement's pattern; for one that isn't a statement PARSE_FAIL and its first 32 characters."""
+    plain = F.upper(F.regexp_replace(sql, r"(?s)/\*.*?\*/", " "))
+    bad = plain.rlike(r"\b(SELECT|FROM|WHERE|SET|INTO|BY)\s+(FROM|WHERE|GROUP|ORDER|HAVING|LIMIT)\b") | plain.rlike(r"\b(WHERE|AND|OR|SELECT|FROM)\s*;?\s*$") | (classify(sql) == "OTHER")
+    return F.when(bad, F.concat(F.lit(PARSE_FAIL), F.substring(sql, 1, 32))).otherwise(fingerprint(sql))
 
 
 def sql_id(pattern: Column) -> Column:
@@ -107,9 +144,87 @@ def danger(sql: Column) -> Column:
 
 
 def natural_key(text: Column) -> Column:
-    """A key that sorts digit runs by value; sort by the text itself after it."""
-    parts = F.regexp_extract_all(text, F.lit(r"(\d+|\D+)"), 1)
-    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\d"), F.lpad(F.regexp_replace(x, "^0+(?=.)", ""), 20, "0")).otherwise(x)), "")
+    """A key that sorts digit runs by value, however long they are; sort by the text itself after it.
+
+    A run is written without leading zeros behind its length, which itself stands behind its own number of digits.
+    """
+    parts = F.regexp_extract_all(text, F.lit(r"([0-9]+|[^0-9]+)"), 1)
+
+    def key(x: Column) -> Column:
+        digits = F.regexp_replace(x, "^0+(?=.)", "")
+        n = F.length(digits).cast("string")
+        return F.when(x.rlike(r"^[0-9]"), F.concat(F.lit("0"), F.length(n).cast("string"), n, digits)).otherwise(x)
+
+    return F.array_join(F.transform(parts, key), "")
+
+
+def with_meta(sql: Column, **pairs: Column) -> Column:
+    """A statement behind a comment /*E:a=1&b=2:E*/ with some values."""
+    text = F.concat_ws("&", *(F.concat(F.lit(f"{k}="), v) for k, v in pairs.items()))
+    return F.concat(F.lit("/*E:"), text, F.lit(":E*/"), sql)
+
+
+def blank_free(sql: Column) -> Column:
+    return F.regexp_replace(sql, r"\s+", "")
+
+
+def rejected_by_pattern(statements: DataFrame, patterns: list[str], ids: DataFrame, sql: str = "sql") -> DataFrame:
+    """Statements that hold one of some texts, blanks aside, or whose MD5 is in a table of rules (id)."""
+    rules = ids.select("id").distinct().withColumn("_listed", F.lit(True))
+    held = F.lit(False)
+    for p in patterns:
+        held = held | blank_free(F.col(sql)).contains(p.replace(" ", ""))
+    marked = statements.withColumn("id", F.md5(F.col(sql))).join(rules, "id", "left")
+    return marked.where(held | F.coalesce("_listed", F.lit(False))).drop("id", "_listed")
+
+
+def rejected_by_regex(sql: Column, patterns: list[str], blanks: bool = False) -> Column:
+    """Whether one of some regular expressions is found in a statement, without its blanks unless ``blanks``."""
+    text, out = sql if blanks else blank_free(sql), F.lit(False)
+    for p in patterns:
+        out = out | text.rlike(p)
+    return out
+
+
+SCAN_LENGTH = 512_000
+
+
+def scans_all_shards(sql: Column, keys: list[str]) -> Column:
+    """Whether a statement asks for no value of a key, or is too long to tell."""
+    asked = F.lit(False)
+    for k in keys:
+        asked = asked | sql.rlike(rf"(?i)\b{k}\s*(=|in\b)")
+    return ~asked | (F.length(sql) > SCAN_LENGTH)
+
+
+def named_table(sql: Column) -> Column:
+    """(db, tab) that a statement's first FROM, INTO, UPDATE or JOIN names; db is empty where none is given."""
+    pattern = r"(?i)\b(?:from|into|update|join)\s+(?:`?(\w+)`?\s*\.\s*)?`?(\w+)`?"
+    return F.struct(F.regexp_extract(sql, pattern, 1).alias("db"), F.regexp_extract(sql, pattern, 2).alias("tab"))
+
+
+def with_index_hint(sql: Column, pattern_id: Column, index: str) -> Column:
+    """A statement with USE INDEX behind its table if its pattern has the id of a rule."""
+    hinted = F.regexp_replace(sql, r"(?i)\bFROM (\w+)", f"FROM $1 USE INDEX ({index})")
+    return F.when(sql_id(fingerprint(sql)) == pattern_id, hinted).otherwise(sql)
+
+
+def statements_of(sql: Column) -> Column:
+    """The statements of a text that holds several, parted by ; outside of texts."""
+    marked = F.regexp_replace(sql, rf"({_TEXTS}|{_QUOTED})|;", "$1\u0001")
+    whole = F.regexp_replace(marked, "(['\"])\u0001", "$1")
+    return F.filter(F.transform(F.split(whole, "\u0001"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def multi_statements(texts: DataFrame, key: str, sql: str = "sql") -> DataFrame:
+    """key, parts, multi_trans: how many statements each text holds and whether one of several writes."""
+    held = texts.select(key, F.size(statements_of(F.col(sql))).alias("parts"), F.explode_outer(statements_of(F.col(sql))).alias("one"))
+    return held.groupBy(key, "parts").agg(F.coalesce(F.bool_or(F.coalesce(writes(classify(F.col("one"))), F.lit(False))), F.lit(False)).alias("w")).select(key, "parts", ((F.col("parts") > 1) & F.col("w")).alias("multi_trans"))
+
+
+def transaction_id(number: Column, in_transaction: Column, autocommit: Column) -> Column:
+    """The id of a unit of work: t for a transaction, a for a single write, q for a query."""
+    return F.concat(F.when(in_transaction, "t").when(autocommit, "a").otherwise("q"), number.cast("string"))
 
 
 def sampling_rate(millis: Column) -> Column:
@@ -128,11 +243,22 @@ def smart_kill_millis(queue: Column, upper: int, slow_millis: int) -> Column:
 
 
 def features(sql: Column, key: str) -> Column:
-    """(tab, one_key, group_by, lim) of a simple statement: its first table, whether one key value is asked for, and so on."""
+    """What a statement asks for: kind, tab, table (db.tab as written), one_key (one value of the key), many_keys (several
+    by IN), ored, group_by, order_by, distinct, lim and off_set (null without), aggregates (its functions, in order)."""
     one = sql.rlike(rf"(?i)\b{key}\s*=\s*('[^']*'|\d+)") & ~sql.rlike(r"(?i)\bor\b")
+    named = named_table(sql)
+    number = lambda p: F.coalesce(*(F.regexp_extract(sql, x, 1).try_cast("bigint") for x in p))
     return F.struct(
-        F.regexp_extract(sql, r"(?i)\b(?:from|into|update)\s+`?(\w+)", 1).alias("tab"),
+        classify(sql).alias("kind"),
+        named["tab"].alias("tab"),
+        F.when(named["db"] == "", named["tab"]).otherwise(F.concat_ws(".", named["db"], named["tab"])).alias("table"),
         one.alias("one_key"),
+        sql.rlike(rf"(?i)\b{key}\s+in\s*\(").alias("many_keys"),
+        sql.rlike(r"(?i)\bor\b").alias("ored"),
         sql.rlike(r"(?i)\bgroup\s+by\b").alias("group_by"),
-        F.regexp_extract(sql, r"(?i)\blimit\s+(\d+)", 1).try_cast("bigint").alias("lim"),
+        sql.rlike(r"(?i)\border\s+by\b").alias("order_by"),
+        sql.rlike(r"(?i)\bselect\s+distinct\b").alias("distinct"),
+        number([r"(?i)\blimit\s+\d+\s*,\s*(\d+)", r"(?i)\blimit\s+(\d+)"]).alias("lim"),
+        number([r"(?i)\boffset\s+(\d+)", r"(?i)\blimit\s+(\d+)\s*,"]).alias("off_set"),
+        F.array_join(F.transform(F.regexp_extract_all(sql, F.lit(r"(?i)\b(count|sum|min|max|avg)\s*\("), 1), F.upper), ",").alias("aggregates"),
     )

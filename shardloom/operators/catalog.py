@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
 from os.path import commonprefix
@@ -97,6 +98,66 @@ class Table:
     mapping: list[str] = field(default_factory=list)
 
 
+def catalog_of(config: dict) -> dict[str, Table]:
+    """The tables of a configuration: {"tables": [{"name", "composed", "decoder", "mapping", "dimensions": [...]}]}.
+
+    A dimension has "columns" ("a" or "a,b"), "slots" (table: ranges), "databases" (table template: database) and,
+    if it isn't 1024, "hash_range"; texts with commas may be lists.
+    """
+    listed = lambda x: [p.strip() for p in x.split(",") if p.strip()] if isinstance(x, str) else list(x or [])
+    out = {}
+    for t in config.get("tables", []):
+        dims = [Dimension.of(",".join(listed(d["columns"])), d["slots"], d["databases"], d.get("hash_range", SLOTS)) for d in t["dimensions"]]
+        decoder = t.get("decoder", "composed")
+        if decoder not in ("composed", "hash", "two_dim"):
+            raise ShardError("ERR_KEY_CANNOT_FOUND_IN_CFG", f"unknown decoder {decoder}")
+        if t["name"] in out:
+            raise ShardError("ERR_KEY_CANNOT_FOUND_IN_CFG", f"table {t['name']} twice")
+        out[t["name"]] = Table(t["name"], dims, listed(t.get("composed")), decoder, listed(t.get("mapping")))
+    return out
+
+
+def load_catalog(spark: SparkSession, path: str) -> dict[str, Table]:
+    """The catalog of JSON configuration files, or of YAML ones (several documents) where a YAML reader is installed."""
+    tables: dict[str, Table] = {}
+    for name, text in sorted(map(tuple, spark.read.text(path, wholetext=True).select("_metadata.file_path", "value").collect())):  # configuration files
+        if name.endswith((".yml", ".yaml")):
+            import yaml
+
+            parts = list(yaml.safe_load_all(text))
+        else:
+            parts = [json.loads(text)]
+        for part in parts:
+            found = catalog_of(part or {})
+            if twice := sorted(set(found) & set(tables)):
+                raise ShardError("ERR_KEY_CANNOT_FOUND_IN_CFG", f"tables in several files: {twice[:5]}")
+            tables |= found
+    return tables
+
+
+def config_of(tables: dict[str, Table]) -> dict:
+    """The configuration that ``catalog_of`` reads back to these tables."""
+
+    def dimension(d: Dimension) -> dict:
+        slots: dict[str, list[int]] = {}
+        for s, (t, _) in sorted(d.slots.items()):
+            slots.setdefault(t, []).append(s)
+        ranges = {t: ",".join(f"{a}-{b}" for a, b in _runs(x)) for t, x in slots.items()}
+        return {"columns": ",".join(d.columns), "slots": ranges, "databases": {t: db for t, db in d.slots.values()}, "hash_range": d.hash_range}
+
+    return {"tables": [{"name": t.name, "composed": t.composed, "decoder": t.decoder, "mapping": t.mapping, "dimensions": [dimension(d) for d in t.dimensions]} for t in tables.values()]}
+
+
+def _runs(numbers: list[int]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for n in numbers:
+        if out and n == out[-1][1] + 1:
+            out[-1] = (out[-1][0], n)
+        else:
+            out.append((n, n))
+    return out
+
+
 def even(columns: str, name: str, shards: int = 8, databases: int = 2) -> Dimension:
     """Equal slot ranges over ``shards`` tables on ``databases`` databases."""
     step, per = SLOTS // shards, shards // databases

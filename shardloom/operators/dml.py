@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from shardloom.functions.hashing import decode_composed
 from shardloom.operators.catalog import ShardError, Table
 from shardloom.operators.routing import read_sharded, with_shard, write_sharded
+from shardloom.sources.tables import work_folder
 
 
 def insert(df: DataFrame, table: Table, path: str, dim: int = 0, single: bool = False) -> None:
@@ -29,7 +31,7 @@ def upsert_mapping(mapping: DataFrame, changes: DataFrame, key: str, order: str)
 
 
 def update(spark: SparkSession, path: str, shards: list[int], where: Column | None, changes: dict[str, Column]) -> DataFrame:
-    """The rows of the touched shards with the changes; write them back with overwriting of these partitions."""
+    """The rows of the touched shards with the changes; ``update_rows`` writes them back."""
     if where is None:
         raise ShardError("ERR_SQL_SYNTAX_ERROR", "UPDATE without WHERE")
     df = read_sharded(spark, path, shards)
@@ -37,15 +39,68 @@ def update(spark: SparkSession, path: str, shards: list[int], where: Column | No
 
 
 def delete(spark: SparkSession, path: str, shards: list[int], where: Column | None) -> DataFrame:
-    """The rows of the touched shards that stay."""
+    """The rows of the touched shards that stay; ``delete_rows`` writes them back."""
     if where is None:
         raise ShardError("ERR_SQL_SYNTAX_ERROR", "DELETE without WHERE")
     return read_sharded(spark, path, shards).where(~F.coalesce(where, F.lit(False)))
 
 
-def replace_shards(df: DataFrame, path: str) -> None:
-    """Overwrites the partitions that ``df`` has rows of; ``df`` must not read the same folder lazily."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+def replace_shards(df: DataFrame, path: str, shards: list[int]) -> None:
+    """Puts ``df`` in the place of the rows of some shards; those that it has no rows of are emptied.
+
+    ``df`` may read the same folder: it is written as a draft first.
+    """
+    spark, draft = df.sparkSession, work_folder(df.sparkSession, "draft")
+    df.write.parquet(draft)
+    rows = spark.read.schema(df.schema).parquet(draft)
+    held = {r.shard for r in rows.select("shard").distinct().collect()}  # one row for each shard at most
+    if extra := held - set(shards):
+        raise ShardError("ERR_SQL_SYNTAX_ERROR", f"rows of other shards: {sorted(extra)[:5]}")
+    if held:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    empty_shards(spark, path, sorted(set(shards) - held), rows.drop("shard").schema)
+
+
+def empty_shards(spark: SparkSession, path: str, shards: list[int], schema: StructType | None = None) -> None:
+    """Leaves no rows in some shards; a file without rows keeps the schema, even where all shards are emptied."""
+    schema = schema or spark.read.parquet(path).drop("shard").schema
+    for s in shards:
+        spark.createDataFrame([], schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/shard={s}")
+
+
+def update_rows(spark: SparkSession, path: str, shards: list[int], where: Column | None, changes: dict[str, Column]) -> None:
+    """UPDATE: changes the rows of the touched shards in place."""
+    replace_shards(update(spark, path, shards, where, changes), path, shards)
+
+
+def delete_rows(spark: SparkSession, path: str, shards: list[int], where: Column | None) -> None:
+    """DELETE: removes rows of the touched shards."""
+    replace_shards(delete(spark, path, shards, where), path, shards)
+
+
+def delete_keys(spark: SparkSession, path: str, table: Table, keys: DataFrame, dim: int = 0) -> None:
+    """Batch DELETE: removes the rows with the keys of a table of keys, in the shards that these belong to."""
+    column = table.dimensions[dim].columns[0]
+    placed = with_shard(keys.select(column).where(F.col(column).isNotNull()).distinct(), table, dim)
+    shards = [r.shard for r in placed.select("shard").distinct().collect()]  # as many as shards at most
+    if shards:
+        replace_shards(read_sharded(spark, path, shards).join(placed.select(column), column, "left_anti").select(*spark.read.parquet(path).columns), path, shards)
+
+
+def truncate(spark: SparkSession, path: str, table: Table, shards: list[int] | None = None, dim: int = 0) -> list[int]:
+    """TRUNCATE of all shards or of those listed, one after the other; returns what was emptied."""
+    count = len(table.dimensions[dim].tables)
+    wanted = list(range(count)) if shards is None else sorted(set(shards))
+    if bad := [s for s in wanted if not 0 <= s < count]:
+        raise ShardError("ERR_SQL_SYNTAX_ERROR", f"no such shards: {bad[:5]}")
+    empty_shards(spark, path, wanted)
+    return wanted
+
+
+def watched_columns(table: Table, changes: list[str]) -> list[str]:
+    """The changed columns of an UPDATE that its rows' shards or ids hang on: such a change doesn't move the rows."""
+    keys = {c for d in table.dimensions for c in d.columns} | set(table.composed)
+    return sorted(keys & set(changes))
 
 
 def rebalance_filter(where: Column, created: str, since: str) -> Column:

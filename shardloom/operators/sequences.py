@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardloom.functions.hashing import encode_composed
@@ -51,9 +51,10 @@ def expand(ranges: DataFrame) -> DataFrame:
     return ranges.where("begin_id is not null").withColumn("id", F.explode(F.sequence("begin_id", "end_id")))
 
 
-def recycle(last: Column, pool: int, least: int, most: int) -> Column:
+def recycle(last: Column, pool: int | Column, least: int | Column, most: int | Column) -> Column:
     """The next block's base: back to the least seed when the block would pass the greatest."""
-    return F.when(last + pool > most, F.lit(least)).otherwise(last + pool)
+    least = least if isinstance(least, Column) else F.lit(least)
+    return F.when(last + pool > most, least).otherwise(last + pool)
 
 
 def active_zones(zones: DataFrame, idc: str) -> DataFrame:
@@ -62,3 +63,35 @@ def active_zones(zones: DataFrame, idc: str) -> DataFrame:
 
 def composed_ids(seeds: Column, key_slot: Column) -> Column:
     return encode_composed(seeds, key_slot)
+
+
+ALLOCATOR = "seq string, last long, pool long, least long, most long"
+
+
+def start_allocator(rows: DataFrame, path: str) -> None:
+    """Writes the first version of the table of sequences (ALLOCATOR)."""
+    rows.select(*(c.split()[0] for c in ALLOCATOR.split(", "))).write.parquet(f"{path}/0")
+
+
+def allocator(spark: SparkSession, path: str) -> tuple[int, DataFrame]:
+    """(version, rows) of the table of sequences as the last refill left it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    done = [x.getPath() for x in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)]
+    marked = [p for p in done if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    version = max(int(p.getName()) for p in marked)
+    return version, spark.read.schema(ALLOCATOR).parquet(f"{path}/{version}")
+
+
+def refill(spark: SparkSession, path: str, seq: str) -> int:
+    """The base of the next block of a sequence, from 1 above which ``pool`` ids are the caller's.
+
+    The table's next version is written before the block is used, and only if nobody wrote it meanwhile: a run that
+    fails loses ids at most, and two callers never get the same block.
+    """
+    version, rows = allocator(spark, path)
+    following = recycle(F.col("last"), F.col("pool"), F.col("least"), F.col("most"))
+    rows.withColumn("last", F.when(F.col("seq") == seq, following).otherwise(F.col("last"))).write.mode("errorifexists").parquet(f"{path}/{version + 1}")
+    found = spark.read.schema(ALLOCATOR).parquet(f"{path}/{version + 1}").where(F.col("seq") == seq).select("last").first()
+    if found is None:
+        raise ValueError(f"no sequence {seq}")
+    return found[0]

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shardloom.operators import merge as M
 from shardloom.operators import routing as R
 from shardloom.operators.catalog import CATALOG
 from shardloom.plans.registry import query, shard_sql
-from shardloom.sources.tables import table
+from shardloom.sources.tables import table, work_folder
 
 _D = "CAST(SUM(CAST({} AS DECIMAL(18,2))) AS DOUBLE)"
 _SH = shard_sql("o_custkey")
@@ -58,12 +57,27 @@ def agg_min_merge(spark, sf_dir):
     return M.scatter_gather(_orders(spark, sf_dir), {"first": ("min", F.col("o_orderdate")), "least": ("min", F.when(F.col("o_orderkey") > 10, F.col("o_totalprice")))})
 
 
-@query("agg_merge_rows", "SELECT 6.0::DOUBLE AS c_count, 3.01::DOUBLE AS c_sum, 12345678901234567890.0::DOUBLE AS c_max, -2.0::DOUBLE AS c_min, NULL::DOUBLE AS c_min2")
+@query("agg_merge_rows", "SELECT '6' AS c_count, '3.01' AS c_sum, '12345678901234567890' AS c_max, '-2' AS c_min, NULL::VARCHAR AS c_min2")
 def agg_merge_rows(spark, sf_dir):
     rows = [("1", "1", "1", "1", None), ("2", "2.01", "12345678901234567890", "-2", None), ("3", None, None, None, "abc")]
     df = spark.createDataFrame(rows, "c_count string, c_sum string, c_max string, c_min string, c_min2 string")
-    out = M.merge_partials(df, {"c_count": "count", "c_sum": "sum", "c_max": "max", "c_min": "min", "c_min2": "min"})
-    return out.select(*(F.col(c).cast("double").alias(c) for c in out.columns))
+    return M.merge_partials(df, {"c_count": "count", "c_sum": "sum", "c_max": "max", "c_min": "min", "c_min2": "min"})
+
+
+@query("agg_merge_times", "SELECT '2017-08-11' AS d, '11:11:01' AS t, '2018' AS y, '2017-08-12 11:11:00' AS s, '2017-08-12 11:11:00.10000' AS f")
+def agg_merge_times(spark, sf_dir):
+    rows = [("2017-08-12", "11:11:00", "2017", "2017-08-12 11:11:00", "2017-08-12 11:11:00.10000")] * 2 + [("2017-08-11", "11:11:01", "2018", "2017-08-12 11:11:01", "2017-08-12 11:11:00.10001")]
+    df = spark.createDataFrame(rows, "d string, t string, y string, s string, f string")
+    types = {"d": "date", "t": "time", "y": "year", "s": "datetime", "f": "datetime"}
+    return M.merge_partials(df, {"d": "min", "t": "max", "y": "max", "s": "min", "f": "min"}, types)
+
+
+@query("agg_merge_orders", "SELECT count(*)::VARCHAR AS n, strftime(max(o_orderdate), '%Y-%m-%d') AS latest, strftime(min(o_orderdate), '%Y-%m-%d') AS first FROM orders")
+def agg_merge_orders(spark, sf_dir):
+    """Each shard's results as texts, merged by value."""
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    per = _orders(spark, sf_dir).groupBy("shard").agg(F.count("*").cast("string").alias("n"), F.max(day).alias("latest"), F.min(day).alias("first"))
+    return M.merge_partials(per, {"n": "count", "latest": "max", "first": "min"}, {"latest": "date", "first": "date"})
 
 
 @query("agg_validate", "SELECT * FROM (VALUES ('avg', 'refused'), ('sum', 'merged')) t(func, outcome)")
@@ -111,11 +125,11 @@ for _compat in (False, True):
     def offset(spark, sf_dir, compat=_compat):
         return M.top(_orders(spark, sf_dir), [F.desc("o_totalprice"), F.col("o_orderkey")], 20, 10, compat=compat).select("o_orderkey", "o_totalprice")
 
-    @query(f"sort_order_by{_n}", f"SELECT o_orderkey, row_number() OVER (ORDER BY {_k}o_totalprice, o_orderkey) AS place FROM {_ORDERS} WHERE o_custkey < 20")
+    @query(f"sort_order_by{_n}", f"SELECT o_orderkey, row_number() OVER (ORDER BY {_k}o_totalprice, o_orderkey) AS place FROM {_ORDERS}")
     def sort_order_by(spark, sf_dir, compat=_compat):
-        df = _orders(spark, sf_dir).where("o_custkey < 20")
-        w = Window.orderBy(*(["shard"] if compat else []), "o_totalprice", "o_orderkey")
-        return df.select("o_orderkey", F.row_number().over(w).alias("place"))
+        df = _orders(spark, sf_dir).select("shard", "o_totalprice", "o_orderkey")
+        order = [F.col(c) for c in ([*(["shard"] if compat else []), "o_totalprice", "o_orderkey"])]
+        return M.number_rows(df, order).select("o_orderkey", "place")
 
 
 @query("agg_expr_over_agg", "SELECT count(*) * 2 + 1 AS x, max(o_custkey) - min(o_custkey) AS spread FROM orders")
@@ -124,18 +138,35 @@ def agg_expr_over_agg(spark, sf_dir):
     return out.select((F.col("n") * 2 + 1).alias("x"), (F.col("hi") - F.col("lo")).alias("spread"))
 
 
-@query("limit_merge", "SELECT count(*) AS n FROM (SELECT * FROM orders LIMIT 100)")
+@query("agg_expr_over_agg_compat", f"SELECT arg_min(x, shard) AS x, sum(n)::BIGINT AS n FROM (SELECT shard, count(*) * 2 + 1 AS x, count(*) AS n FROM {_ORDERS} GROUP BY shard)")
+def agg_expr_over_agg_compat(spark, sf_dir):
+    """An expression over an aggregate isn't merged: the first shard's value stands beside merged ones."""
+    per = _orders(spark, sf_dir).groupBy("shard").agg((F.count("*") * 2 + 1).alias("x"), F.count("*").alias("n"))
+    return per.agg(F.min_by("x", "shard").alias("x"), F.sum("n").alias("n"))
+
+
+@query("limit_merge", "SELECT 100::BIGINT AS n, 100::BIGINT AS keys, 100::BIGINT AS found")
 def limit_merge(spark, sf_dir):
-    return _orders(spark, sf_dir).limit(100).agg(F.count("*").alias("n"))
+    """Any hundred rows of all shards: so many, none twice, each of them a row of the table."""
+    some = _orders(spark, sf_dir).select("o_orderkey", "o_custkey", "o_totalprice").limit(100)
+    there = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", F.lit(1).alias("there"))
+    out = some.join(there, ["o_orderkey", "o_custkey", "o_totalprice"], "left")
+    return out.agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("keys"), F.count("there").alias("found"))
 
 
 @query("set_concat_shards", "SELECT count(*) AS n, count(DISTINCT o_orderkey) AS keys FROM orders")
 def set_concat_shards(spark, sf_dir):
-    df = _orders(spark, sf_dir)
-    parts = M.concat_shards([df.where(F.col("shard") == s) for s in range(8)])
+    path = work_folder(spark, "shards")
+    R.write_sharded(table(spark, sf_dir, "orders"), CATALOG["orders"], path)
+    # each part lists and reads its own shard's files only
+    parts = M.concat_shards([R.read_sharded(spark, path, [s]) for s in range(8)])
     return parts.agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("keys"))
 
 
-@query("agg_approx_distinct")
+@query("agg_approx_distinct", "SELECT count(DISTINCT l_partkey) AS parts, true AS near FROM lineitem")
 def agg_approx_distinct(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").agg(F.approx_count_distinct("l_partkey", 0.02).alias("parts"))
+    """The sketch is within four of its standard errors of the exact count."""
+    df = table(spark, sf_dir, "lineitem")
+    sketch = df.agg(F.approx_count_distinct("l_partkey", 0.02).alias("about"))
+    exact = df.agg(F.count_distinct("l_partkey").alias("parts"))
+    return sketch.join(exact).select("parts", (F.abs(F.col("about") - F.col("parts")) <= 0.08 * F.col("parts")).alias("near"))  # one row each

@@ -9,7 +9,7 @@ from shardloom.plans.registry import query, same_sql
 from shardloom.sources.tables import table
 
 _D = "CAST(SUM(CAST({} AS DECIMAL(18,2))) AS DOUBLE)"
-_REV = "CAST(SUM(CAST(ROUND(l_extendedprice * (1 - l_discount), 2) AS DECIMAL(18,2))) AS DOUBLE)"
+_REV = "CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))) AS DOUBLE)"
 
 for _name, _text in {
     "proj_columns": "SELECT o_orderkey AS k, o_custkey + 1 AS next_cust, CONCAT(o_orderstatus, '-', o_orderpriority) AS tag FROM {orders}",

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardloom.functions import hashing as H
 from shardloom.functions.text import natural_key
 from shardloom.operators import dml, routing as R
-from shardloom.operators.catalog import CATALOG, expand_slots, expand_tables, shard_map
-from shardloom.operators.merge import concat_shards
+from shardloom.operators.catalog import CATALOG, Table, config_of, even, expand_slots, expand_tables, load_catalog, shard_map
+from shardloom.operators.merge import concat_shards, number_rows
 from shardloom.plans.registry import query, shard_sql, slot_sql
 from shardloom.sources import tables as S
 
@@ -50,9 +52,23 @@ def src_mapping(spark, sf_dir):
     return S.table(spark, sf_dir, "orders").where(F.col("o_orderkey").isin(1, 7, 42, 99)).select("o_orderkey", "o_custkey")
 
 
+@query("src_mapping_table", f"SELECT {shard_sql('o_custkey')} AS shard, count(*) AS n FROM orders WHERE o_orderkey % 7 = 0 GROUP BY 1")
+def src_mapping_table(spark, sf_dir):
+    """A mapping table, itself sharded by its key, is read to find the shards of the rows wanted."""
+    mapping = Table("mapping", [even("o_orderkey", "mapping")])
+    path = S.work_folder(spark, "mapping")
+    R.write_sharded(S.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), mapping, path)
+    wanted = R.read_sharded(spark, path).where("o_orderkey % 7 = 0").select("o_custkey")
+    return R.with_shard(wanted, ORDERS).groupBy("shard").agg(F.count("*").alias("n"))
+
+
 @query("src_config", "SELECT 'orders' AS name, range AS slot, (range // 128)::INTEGER AS shard, 'orders_' || (range // 128) AS physical_table, CASE WHEN range < 512 THEN 'shard1db' ELSE 'shard2db' END AS db FROM range(1024)")
 def src_config(spark, sf_dir):
-    rows = shard_map(spark).where("table = 'orders'")
+    """The catalog is written as configuration files, a table each, and loaded from them."""
+    path = S.work_folder(spark, "catalog")
+    for n, t in CATALOG.items():
+        spark.createDataFrame([(json.dumps(config_of({n: t})),)], "value string").coalesce(1).write.mode("append").text(path)
+    rows = shard_map(spark, load_catalog(spark, path)).where("table = 'orders'")
     return rows.select(F.col("table").alias("name"), F.col("slot").cast("long").alias("slot"), "shard", "physical_table", F.col("database").alias("db"))
 
 
@@ -114,15 +130,26 @@ def route_hash_text(spark, sf_dir):
     return S.table(spark, sf_dir, "customer").select("c_custkey", H.slot(F.col("c_name")).alias("slot"))
 
 
+@query("route_long_keys", f"SELECT c_name, {shard_sql('c_name')} AS shard, 1::BIGINT AS found FROM customer WHERE c_custkey % 20 = 0")
+def route_long_keys(spark, sf_dir):
+    """Names of 18 characters: each is found in the shard that its literal routes to."""
+    named, path = Table("customer", [even("c_name", "customer_name")]), S.work_folder(spark, "names")
+    R.write_sharded(S.table(spark, sf_dir, "customer"), named, path)
+    keys = R.with_shard(S.table(spark, sf_dir, "customer").where("c_custkey % 20 = 0").select("c_name"), named).drop("slot")
+    rows = spark.read.parquet(path).select("c_name", "shard")
+    found = keys.join(rows.withColumn("one", F.lit(1)), ["c_name", "shard"], "left")
+    return found.groupBy("c_name", "shard").agg(F.count("one").alias("found"))
+
+
 @query("route_hash_golden", "SELECT * FROM (VALUES ('12345', 51), ('346', 501), ('123456789', 53), ('987654321', 821), ('9999', 576), ('abc''''dfhj', 198), ('', 0), (NULL, -1)) t(key_text, slot)")
 def route_hash_golden(spark, sf_dir):
     keys = ["12345", "346", "123456789", "987654321", "9999", "abc''dfhj", "", None]
     return spark.createDataFrame([(k,) for k in keys], "key_text string").select("key_text", H.slot(F.col("key_text")).alias("slot"))
 
 
-@query("route_multicol_hash", f"SELECT l_orderkey, l_linenumber, {slot_sql('l_partkey * l_suppkey')} AS slot FROM lineitem WHERE l_orderkey < 500")
+@query("route_multicol_hash", f"SELECT l_orderkey, l_linenumber, {slot_sql('l_partkey * l_suppkey')} AS slot FROM lineitem")
 def route_multicol_hash(spark, sf_dir):
-    df = S.table(spark, sf_dir, "lineitem").where("l_orderkey < 500")
+    df = S.table(spark, sf_dir, "lineitem")
     return df.select("l_orderkey", "l_linenumber", H.slot_of_keys(F.col("l_partkey"), F.col("l_suppkey")).alias("slot"))
 
 
@@ -329,10 +356,7 @@ def dml_insert_mapping(spark, sf_dir):
 def dml_update(spark, sf_dir):
     path = _written(spark, sf_dir, "orders")
     shard = R.single_shard(ORDERS, *R.choose_route(ORDERS, {"o_custkey": [7]}, strict=True))
-    new = dml.update(spark, path, [shard], F.col("o_custkey") == 7, {"o_orderstatus": F.lit("X"), "o_totalprice": F.col("o_totalprice") + 1})
-    draft = S.work_folder(spark, "update")
-    new.write.parquet(draft)
-    dml.replace_shards(spark.read.parquet(draft), path)
+    dml.update_rows(spark, path, [shard], F.col("o_custkey") == 7, {"o_orderstatus": F.lit("X"), "o_totalprice": F.col("o_totalprice") + 1})
     return spark.read.parquet(path).groupBy("o_orderstatus").agg(F.count("*").alias("n"), _money("o_totalprice").alias("total"))
 
 
@@ -340,12 +364,23 @@ def dml_update(spark, sf_dir):
 def dml_delete(spark, sf_dir):
     path = _written(spark, sf_dir, "orders")
     shard = R.single_shard(ORDERS, *R.choose_route(ORDERS, {"o_custkey": [7]}, strict=True))
-    draft = S.work_folder(spark, "delete")
-    dml.delete(spark, path, [shard], F.col("o_custkey") == 7).write.parquet(draft)
-    dml.replace_shards(spark.read.parquet(draft), path)
+    dml.delete_rows(spark, path, [shard], F.col("o_custkey") == 7)
     return spark.read.parquet(path).agg(F.count("*").alias("n"), F.count_distinct("o_custkey").alias("customers"))
 
 
+@query("dml_delete_whole_shard", f"SELECT {shard_sql('o_custkey')} AS shard, count(*) AS n FROM orders WHERE {shard_sql('o_custkey')} <> 5 GROUP BY 1")
+def dml_delete_whole_shard(spark, sf_dir):
+    path = _written(spark, sf_dir, "orders")
+    dml.delete_rows(spark, path, [5], F.col("o_orderkey").isNotNull())
+    return spark.read.parquet(path).groupBy("shard").agg(F.count("*").alias("n"))
+
+
+@query("dml_update_key_watch", "SELECT * FROM (VALUES ('status', ''), ('key', 'o_custkey'), ('id and key', 'o_custkey,order_id')) t(given, watched)")
+def dml_update_key_watch(spark, sf_dir):
+    cases = [("status", ["o_orderstatus"]), ("key", ["o_custkey", "o_orderstatus"]), ("id and key", ["order_id", "o_custkey"])]
+    return spark.createDataFrame([(n, ",".join(dml.watched_columns(ORDERS, c))) for n, c in cases], "given string, watched string")
+
+
 @query("dml_no_where_guard", "SELECT * FROM (VALUES ('update', 'ERR_SQL_SYNTAX_ERROR'), ('delete', 'ERR_SQL_SYNTAX_ERROR')) t(statement, code)")
 def dml_no_where_guard(spark, sf_dir):
     rows = []
@@ -360,11 +395,18 @@ def dml_no_where_guard(spark, sf_dir):
 @query("dml_truncate", f"SELECT count(*) AS n FROM orders WHERE {shard_sql('o_custkey')} <> 2")
 def dml_truncate(spark, sf_dir):
     path = _written(spark, sf_dir, "orders")
-    jvm = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard=2")
-    jvm.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm, True)
+    dml.truncate(spark, path, ORDERS, [2])
     return spark.read.parquet(path).agg(F.count("*").alias("n"))
 
 
+@query("dml_batch_truncate", "SELECT unnest(range(8))::INTEGER AS shard, 0::BIGINT AS left_over")
+def dml_batch_truncate(spark, sf_dir):
+    path = _written(spark, sf_dir, "orders")
+    emptied = dml.truncate(spark, path, ORDERS)
+    left = spark.read.parquet(path).groupBy("shard").agg(F.count("*").alias("n"))
+    return spark.createDataFrame([(s,) for s in emptied], "shard int").join(left, "shard", "left").select("shard", F.coalesce("n", F.lit(0)).alias("left_over"))
+
+
 @query("dml_batch_insert", f"SELECT {shard_sql('l_partkey')} AS shard, count(*) AS n FROM lineitem GROUP BY 1")
 def dml_batch_insert(spark, sf_dir):
     return spark.read.parquet(_written(spark, sf_dir, "lineitem")).groupBy("shard").agg(F.count("*").alias("n"))
@@ -372,14 +414,20 @@ def dml_batch_insert(spark, sf_dir):
 
 @query("dml_batch_delete", "SELECT count(*) AS n FROM orders WHERE o_custkey NOT IN (1, 2, 3, 4, 5, 6, 7, 8, 9, 10)")
 def dml_batch_delete(spark, sf_dir):
-    keys = spark.range(1, 11).select(F.col("id").alias("o_custkey"))
-    return S.table(spark, sf_dir, "orders").join(keys, "o_custkey", "left_anti").agg(F.count("*").alias("n"))
+    path = _written(spark, sf_dir, "orders")
+    dml.delete_keys(spark, path, ORDERS, spark.range(1, 11).select(F.col("id").alias("o_custkey")))
+    return spark.read.parquet(path).agg(F.count("*").alias("n"))
 
 
-@query("dml_dual_write_verify", "SELECT count(*) AS n FROM events WHERE false")
+@query("dml_dual_write_verify", "SELECT CASE event_id % 97 WHEN 5 THEN 'missing_in_second' ELSE 'different' END AS state, count(*) AS n FROM events WHERE event_id % 97 IN (5, 6) GROUP BY 1")
 def dml_dual_write_verify(spark, sf_dir):
-    one, two = (spark.read.parquet(_written(spark, sf_dir, "events", d)) for d in (0, 1))
-    return dml.compare_dimensions(one, two, "event_id", "user_id", "event_type", "value").agg(F.count("*").alias("n"))
+    """Both dimensions of one table, the second one with rows lost and rows changed."""
+    paths = [_written(spark, sf_dir, "events", d) for d in (0, 1)]
+    every = list(range(8))
+    dml.update_rows(spark, paths[1], every, F.col("event_id") % 97 == 6, {"value": F.col("value") + 1})
+    dml.delete_rows(spark, paths[1], every, F.col("event_id") % 97 == 5)
+    one, two = (spark.read.parquet(p) for p in paths)
+    return dml.compare_dimensions(one, two, "event_id", "user_id", "event_type", "value").groupBy("state").agg(F.count("*").alias("n"))
 
 
 @query("dml_affected_rows", f"SELECT count(*)::BIGINT AS affected, 0::BIGINT AS warnings FROM orders WHERE o_orderstatus = 'F'")
@@ -431,13 +479,17 @@ def fn_lcp(spark, sf_dir):
     return spark.createDataFrame([("lineitem", i, d.prefix) for i, d in enumerate(LINEITEM.dimensions)], "name string, dim int, prefix string")
 
 
-@query("sort_natural", "SELECT * FROM (VALUES ('a1', 1), ('a2', 2), ('a02', 3), ('a10', 4), ('b', 5), ('b1c2', 6), ('b1c10', 7)) t(name, place)")
+@query("sort_natural", f"SELECT name, row_number() OVER (ORDER BY k) AS place FROM (SELECT o_orderkey AS k, 'order_' || o_orderkey || '_x' AS name FROM orders UNION ALL SELECT 10 ** 12 + n, 'order_{'9' * 24}' || n || '_x' FROM (VALUES (1), (2), (3)) t(n))")
 def sort_natural(spark, sf_dir):
-    from pyspark.sql import Window
+    names = S.table(spark, sf_dir, "orders").select(F.concat(F.lit("order_"), "o_orderkey", F.lit("_x")).alias("name"))
+    long = spark.createDataFrame([(f"order_{'9' * 24}{n}_x",) for n in (1, 2, 3)], "name string")
+    return number_rows(names.union(long), [natural_key(F.col("name")), F.length("name"), F.col("name")])
+
 
+@query("sort_natural_golden", "SELECT * FROM (VALUES ('a1', 1), ('a2', 2), ('a02', 3), ('a10', 4), ('b', 5), ('b1c2', 6), ('b1c10', 7)) t(name, place)")
+def sort_natural_golden(spark, sf_dir):
     df = spark.createDataFrame([(x,) for x in ("b1c10", "a10", "b", "a02", "a1", "b1c2", "a2")], "name string")
-    order = Window.orderBy(natural_key(F.col("name")), F.length("name"), "name")
-    return df.withColumn("place", F.row_number().over(order))
+    return number_rows(df, [natural_key(F.col("name")), F.length("name"), F.col("name")])
 
 
 @query("filt_func_in", "SELECT o_orderkey FROM orders WHERE upper(o_orderstatus) IN ('F', 'P') AND abs(o_custkey) IN (1, 2, 3, 4)")
@@ -451,10 +503,36 @@ def filt_literal_quote(spark, sf_dir):
     return spark.sql("SELECT o_orderkey FROM {orders} WHERE `o_custkey` = 7", orders=S.table(spark, sf_dir, "orders"))
 
 
-@query("cat_help", "SELECT unnest(['shard_map', 'shard_info', 'choose_route', 'read_sharded', 'write_sharded']) AS name")
+@query("cat_help", "SELECT unnest(['by_keys', 'choose_route', 'java_hash', 'mapping_lookup', 'read_sharded', 'role_of', 'shard_info', 'shards_of', 'single_shard', 'slot_of', 'slot_of_all', 'two_dim_slots', 'with_shard', 'write_sharded']) AS name, true AS told")
 def cat_help(spark, sf_dir):
-    names = ["shard_map", "shard_info", "choose_route", "read_sharded", "write_sharded"]
-    return spark.createDataFrame([(n,) for n in names if hasattr(R, n) or n == "shard_map"], "name string")
+    """The routing functions and whether they have a line of help."""
+    rows = [(n, bool(f.__doc__)) for n, f in vars(R).items() if callable(f) and getattr(f, "__module__", "") == R.__name__ and not n.startswith("_")]
+    return spark.createDataFrame(rows, "name string, told boolean")
+
+
+@query("cat_result_cache", "SELECT * FROM (VALUES (1, 1), (2, 1), (3, 2), (4, 3), (5, 4)) t(call, built)")
+def cat_result_cache(spark, sf_dir):
+    """Calls of a cache of one entry and 30 seconds: again, another text, the first one, and after its time."""
+    now, built, out = 0.0, 0, []
+    cache = S.ResultCache(entries=1, seconds=30, clock=lambda: now)
+
+    def build():
+        nonlocal built
+        built += 1
+        return spark.range(3)
+
+    for call, (at, text) in enumerate([(0, "a"), (29, "a"), (29, "b"), (30, "a"), (61, "a")], 1):
+        now = float(at)
+        assert cache.get(text, build).count() == 3
+        out.append((call, built))
+    cache.clear()
+    return spark.createDataFrame(out, "call int, built int")
+
+
+@query("cat_show_tables", "SELECT unnest(['customer', 'events', 'lineitem', 'orders']) AS name, unnest([1, 2, 2, 1]) AS dims, unnest(['c_custkey', 'user_id;event_id', 'l_partkey;l_suppkey', 'o_custkey']) AS keys")
+def cat_show_tables(spark, sf_dir):
+    rows = [(t.name, len(t.dimensions), ";".join(",".join(d.columns) for d in t.dimensions)) for t in CATALOG.values()]
+    return spark.createDataFrame(rows, "name string, dims int, keys string")
 
 
 @query("cat_show_columns", "SELECT column_name AS name, row_number() OVER () - 1 AS place FROM (DESCRIBE SELECT * FROM orders)")

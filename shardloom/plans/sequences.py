@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from shardloom.functions import hashing as H
 from shardloom.operators import sequences as Q
 from shardloom.plans.registry import query, slot_sql
-from shardloom.sources.tables import table
+from shardloom.sources.tables import table, work_folder
 
 # the block that a request opens depends on all before it: a recursion over each sequence's requests
 _ALLOC = """
 WITH RECURSIVE r AS (SELECT 'seq' || (o_custkey % 5) AS seq, o_orderkey AS req_no, 1 + o_orderkey % 7 AS n,
-                            row_number() OVER (PARTITION BY o_custkey % 5 ORDER BY o_orderkey) AS i FROM orders WHERE o_orderkey <= 1500),
+                            row_number() OVER (PARTITION BY o_custkey % 5 ORDER BY o_orderkey) AS i FROM orders),
 a AS (SELECT seq, 0 AS i, 0::BIGINT AS req_no, 0::BIGINT AS n, 0::BIGINT AS base, 0::BIGINT AS used FROM (SELECT DISTINCT seq FROM r)
   UNION ALL
   SELECT a.seq, r.i, r.req_no, r.n, CASE WHEN a.used + r.n > 100 THEN a.base + 100 ELSE a.base END, CASE WHEN a.used + r.n > 100 THEN r.n ELSE a.used + r.n END
@@ -22,7 +22,7 @@ SELECT seq, req_no, n, base + used - n + 1 AS begin_id, base + used AS end_id FR
 
 
 def _requests(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").where("o_orderkey <= 1500")
+    orders = table(spark, sf_dir, "orders")
     return orders.select(F.concat(F.lit("seq"), F.col("o_custkey") % 5).alias("seq"), F.col("o_orderkey").alias("req_no"), (1 + F.col("o_orderkey") % 7).alias("n"))
 
 
@@ -75,3 +75,10 @@ def seq_common(spark, sf_dir):
 @query("seq_fix_hash", f"SELECT '26383326abc' || lower(lpad(printf('%X', {slot_sql('123')} * 1024 + {slot_sql('456')}), 5, '0')) AS id")
 def seq_fix_hash(spark, sf_dir):
     return spark.range(1).select(H.encode_two_dim(F.lit("26383326abc"), H.slot(F.lit("123")), H.slot(F.lit("456"))).alias("id"))
+
+
+@query("seq_refill", "SELECT * FROM (VALUES (1, 'a', 100), (2, 'a', 200), (3, 'b', 910), (4, 'b', 1), (5, 'a', 300)) t(call, seq, base)")
+def seq_refill(spark, sf_dir):
+    path = f"{work_folder(spark, 'allocator')}/seqs"
+    Q.start_allocator(spark.createDataFrame([("a", 0, 100, 1, 10_000), ("b", 900, 10, 1, 915)], Q.ALLOCATOR), path)
+    return spark.createDataFrame([(i + 1, s, Q.refill(spark, path, s)) for i, s in enumerate("aabba")], "call int, seq string, base long")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shardloom.functions.text import sampling_rate
 from shardloom.operators import telemetry as T
+from shardloom.operators.merge import number_rows
 from shardloom.plans.registry import query
 from shardloom.sources.tables import table, work_folder
 from shardloom.streaming import telemetry as ST
@@ -43,7 +45,7 @@ def win_group_sample(spark, sf_dir):
 
 @query("win_group_avg30", _S + " SELECT win, grp, round((sum(total) OVER w)::DOUBLE / sum(n) OVER w, 6) AS moving FROM s WINDOW w AS (PARTITION BY grp ORDER BY win ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)")
 def win_group_avg30(spark, sf_dir):
-    s = T.moving_average(_doubles(T.samples(_events(spark, sf_dir), "1 hour", "grp")), "grp", 30)
+    s = T.moving_average(T.samples(_events(spark, sf_dir), "1 hour", "grp"), "grp", 30)
     return s.select("win", "grp", F.round("moving", 6).alias("moving"))
 
 
@@ -81,22 +83,26 @@ def win_score(spark, sf_dir):
     return T.worst_of_group(_scores(spark, sf_dir)).select("win", "grp", F.round("score", 6).alias("score"), "level")
 
 
+@query("win_score_suppressed", _SLOW + ", p AS (SELECT win, grp, count(*) AS patterns FROM s GROUP BY ALL), w AS (SELECT win, grp, max(score) AS score, count(*) AS slow FROM z GROUP BY ALL) SELECT w.win, w.grp, round(w.score, 6) AS score FROM w JOIN p USING (win, grp) WHERE NOT (slow >= 3 AND slow * 2 >= patterns)")
+def win_score_suppressed(spark, sf_dir):
+    patterns = T.samples(_events(spark, sf_dir), "1 hour", "grp", "pattern").groupBy("win", "grp").agg(F.count("*").alias("patterns"))
+    return T.worst_of_group(_scores(spark, sf_dir), patterns=patterns, many=3).select("win", "grp", F.round("score", 6).alias("score"))
+
+
 @query("win_slow_ddl", _S + " SELECT win, total::DOUBLE / n / 200 AS score FROM s WHERE grp = 'error'")
 def win_slow_ddl(spark, sf_dir):
-    s = _doubles(T.samples(_events(spark, sf_dir).where("grp = 'error'"), "1 hour", "grp"))
-    return s.select("win", (F.col("avg") / 200).alias("score"))
+    return T.ddl_scores(_doubles(T.samples(_events(spark, sf_dir), "1 hour", "grp")), F.col("grp") == "error").select("win", "score")
 
 
 @query("win_warmup", _S + " SELECT win, grp, n FROM (SELECT *, dense_rank() OVER (ORDER BY win) AS i FROM s) WHERE i >= 3")
 def win_warmup(spark, sf_dir):
-    s = T.samples(_events(spark, sf_dir), "1 hour", "grp")
-    third = s.select("win").distinct().orderBy("win").limit(3).agg(F.max("win").alias("start"))
-    return s.join(F.broadcast(third), F.col("win") >= F.col("start")).select("win", "grp", "n")  # one row
+    return T.after_warmup(T.samples(_events(spark, sf_dir), "1 hour", "grp"), 2).select("win", "grp", "n")
 
 
-@query("win_ring", "SELECT range + 1 AS tick, sum(range + 1) OVER (ORDER BY range ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)::BIGINT AS ring_sum, range >= 4 AS all_match FROM range(8)")
+@query("win_ring", _S + " SELECT win, grp, sum(CASE WHEN n > 1 THEN n ELSE 0 END) OVER w::BIGINT AS ring_sum, count(*) OVER w = 5 AND min(CASE WHEN n > 1 THEN n ELSE 0 END) OVER w > 0 AS all_match FROM s WINDOW w AS (PARTITION BY grp ORDER BY win ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
 def win_ring(spark, sf_dir):
-    return T.ring(spark.range(1, 9).withColumnRenamed("id", "tick"), 5, "tick", "tick").select("tick", "ring_sum", "all_match")
+    s = T.samples(_events(spark, sf_dir), "1 hour", "grp").withColumn("some", F.when(F.col("n") > 1, F.col("n")).otherwise(0))
+    return T.ring(s, 5, "win", "some", "grp").select("win", "grp", "ring_sum", "all_match")
 
 
 @query("win_qps", "SELECT w AS win, count(*) AS n FROM (SELECT unnest(range(0, 6)) AS k, ts FROM events), LATERAL (SELECT time_bucket(INTERVAL 10 MINUTE, ts) - k * INTERVAL 10 MINUTE AS w) WHERE ts >= w AND ts < w + INTERVAL 1 HOUR GROUP BY 1")
@@ -105,7 +111,7 @@ def win_qps(spark, sf_dir):
     return e.groupBy(F.window("ts", "1 hour", "10 minutes")["start"].alias("win")).agg(F.count("*").alias("n"))
 
 
-@query("win_policing", "SELECT user_id, event_id, max(t - i * 500) OVER (PARTITION BY user_id ORDER BY t, event_id) + i * 500 AS send_at FROM (SELECT user_id, event_id, epoch_ms(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) - 1 AS i FROM events)")
+@query("win_policing", "SELECT user_id, event_id, max(t - i * 500) OVER (PARTITION BY user_id ORDER BY t, event_id) + i * 500 AS send_at FROM (SELECT user_id, event_id, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) - 1 AS i FROM events)")
 def win_policing(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("t"))
     return T.leaky_bucket(e, "t", 2, "user_id").select("user_id", F.col("id").alias("event_id"), "send_at")
@@ -118,62 +124,70 @@ def win_hang(spark, sf_dir):
     return T.hanging(scans)
 
 
-@query("win_fuse", "SELECT tick, k::BIGINT AS k, p::BIGINT AS p, (c = 5 AND k > 0 AND p > 0 AND p // greatest(k, 1) <= 3) AS tripped FROM (SELECT range AS tick, sum(range % 3) OVER w AS k, sum(range % 5) OVER w AS p, count(*) OVER w AS c FROM range(40) WINDOW w AS (ORDER BY range ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))")
+@query("win_fuse", "WITH t AS (SELECT user_id % 10 AS grp, epoch_us(ts) // 3600000000 AS tick, count(*) FILTER (WHERE event_type = 'error') AS killed, count(*) FILTER (WHERE event_type <> 'error') AS passed FROM events GROUP BY ALL) SELECT grp, tick, k::BIGINT AS k, p::BIGINT AS p, (c = 5 AND k > 0 AND p > 0 AND p // greatest(k, 1) <= 3) AS tripped FROM (SELECT grp, tick, sum(killed) OVER w AS k, sum(passed) OVER w AS p, count(*) OVER w AS c FROM t WINDOW w AS (PARTITION BY grp ORDER BY tick ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))")
 def win_fuse(spark, sf_dir):
-    df = spark.range(40).selectExpr("1 AS one", "id AS tick", "id % 3 AS killed", "id % 5 AS passed")
-    return T.fuse(df, 5, 3, "one").select("tick", "k", "p", "tripped")
+    return T.fuse(_ticks(spark, sf_dir), 5, 3, "grp").select("grp", "tick", "k", "p", "tripped")
 
 
-@query("win_sample_audit", "SELECT user_id, min(event_id) AS event_id FROM events GROUP BY 1")
+@query("win_sample_audit", "WITH r AS (SELECT *, CASE WHEN value < 10 THEN 1000 WHEN value < 100 THEN 100 WHEN value < 1000 THEN 10 ELSE 1 END AS rate, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events) SELECT event_id, user_id, i = 1 AS first FROM r WHERE i = 1 OR CAST('0x' || substr(md5(event_id::VARCHAR), 1, 8) AS BIGINT) % rate = 0")
 def win_sample_audit(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("event_id").alias("event_id"))
+    from pyspark.sql import Window
 
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
+    e = e.withColumn("first", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) == 1)
+    return T.audit_sample(e, "user_id", "event_id", sampling_rate(F.col("value")), "ts").select("event_id", "user_id", "first")
 
-@query("win_int_overflow", "SELECT 'o_orderkey' AS \"column\", max(o_orderkey) AS most, 1000 AS \"limit\", max(o_orderkey) > 1000 AS over FROM orders UNION ALL SELECT 'o_custkey', max(o_custkey), 1672369200, false FROM orders")
+
+@query("win_int_overflow", "SELECT * FROM (SELECT 'l_orderkey' AS \"column\", max(l_orderkey) AS most, 32766::BIGINT AS \"limit\", max(l_orderkey) > 32766 AS over FROM lineitem UNION ALL SELECT 'l_partkey', max(l_partkey), 1672369200, max(l_partkey) > 1672369200 FROM lineitem UNION ALL SELECT 'l_suppkey', max(l_suppkey), 4194303, max(l_suppkey) > 4194303 FROM lineitem UNION ALL SELECT 'big', max(l_orderkey) * 1000000, 3344738400, max(l_orderkey) * 1000000 > 3344738400 FROM lineitem)")
 def win_int_overflow(spark, sf_dir):
-    return T.int_overflow(table(spark, sf_dir, "orders"), {"o_orderkey": 1000, "o_custkey": 1672369200})
+    df = table(spark, sf_dir, "lineitem").withColumn("big", F.col("l_orderkey") * 1_000_000)
+    return T.int_overflow(df, {"l_orderkey": "smallint unsigned", "l_partkey": "int", "l_suppkey": "mediumint", "big": "int unsigned"})
 
 
-@query("win_query_stats", "SELECT user_id, sum(epoch_ms(ts) - b)::BIGINT AS dur FROM (SELECT user_id, ts, epoch_ms(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS b FROM events) GROUP BY 1")
+@query("win_query_stats", "SELECT user_id, sum(t - b)::BIGINT AS dur FROM (SELECT user_id, epoch_us(ts) // 1000 AS t, lag(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) GROUP BY 1")
 def win_query_stats(spark, sf_dir):
-    from pyspark.sql import Window
-
-    t = F.unix_millis(F.col("ts").cast("timestamp"))
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select("user_id", (t - F.lag(t).over(w)).alias("d")).groupBy("user_id").agg(F.sum("d").alias("dur"))
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
+    return T.query_spans(e, "user_id", F.unix_millis(F.col("ts").cast("timestamp")), "ts", "event_id")
 
 
 # streams: closed windows only
 
 
-@query("stream_samples")
+def _closed(width: str) -> str:
+    """The condition that a window's end isn't after the watermark that the last event leaves."""
+    return f"win + INTERVAL {width} <= (SELECT max(ts) FROM events)"
+
+
+@query("stream_samples", f"SELECT * FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS win, event_type AS grp, sum(CAST(value AS DECIMAL(18,2)))::DOUBLE AS total, count(*) AS n FROM events GROUP BY ALL) WHERE {_closed('1 HOUR')} - INTERVAL 10 MINUTE")
 def stream_samples(spark, sf_dir):
     path = work_folder(spark, "stream-in")
-    table(spark, sf_dir, "events").repartitionByRange(4, "ts").write.parquet(path)
-    return ST.drain(ST.windowed_samples(ST.event_stream(spark, path, 4)), work_folder(spark, "stream-out"))
+    table(spark, sf_dir, "events").withColumn("value", F.col("value").cast("decimal(18,2)")).repartitionByRange(4, "ts").write.parquet(path)
+    out = ST.drain(ST.windowed_samples(ST.event_stream(spark, path, 4)), work_folder(spark, "stream-out"))
+    return out.select(F.col("win").cast("timestamp_ntz").alias("win"), "grp", F.col("total").cast("double").alias("total"), "n")
 
 
-@query("stream_sliding_rate")
+@query("stream_sliding_rate", f"SELECT * FROM (SELECT w AS win, count(*) AS n FROM (SELECT unnest(range(0, 2)) AS k, ts FROM events), LATERAL (SELECT time_bucket(INTERVAL 30 MINUTE, ts) - k * INTERVAL 30 MINUTE AS w) WHERE ts >= w AND ts < w + INTERVAL 1 HOUR GROUP BY 1) WHERE {_closed('1 HOUR')} - INTERVAL 1 MINUTE")
 def stream_sliding_rate(spark, sf_dir):
     path = work_folder(spark, "stream-in")
     table(spark, sf_dir, "events").repartitionByRange(2, "ts").write.parquet(path)
-    return ST.drain(ST.sliding_rate(ST.event_stream(spark, path, 2), "1 hour", "30 minutes"), work_folder(spark, "stream-out"))
+    out = ST.drain(ST.sliding_rate(ST.event_stream(spark, path, 2), "1 hour", "30 minutes"), work_folder(spark, "stream-out"))
+    return out.select(F.col("win").cast("timestamp_ntz").alias("win"), "n")
 
 
-@query("stream_first_sights", "SELECT count(DISTINCT user_id) AS users FROM events")
+@query("stream_first_sights", "SELECT user_id, 1::BIGINT AS n FROM events GROUP BY 1")
 def stream_first_sights(spark, sf_dir):
+    """Each user once, however many events are in how many files."""
     path = work_folder(spark, "stream-in")
-    table(spark, sf_dir, "events").select("user_id", "ts").repartition(1).write.parquet(path)
-    return ST.drain(ST.first_sights(ST.event_stream(spark, path), late="60 days"), work_folder(spark, "stream-out")).agg(F.count_distinct("user_id").alias("users"))
+    table(spark, sf_dir, "events").select("user_id", "ts").repartitionByRange(4, "ts").write.parquet(path)
+    return ST.drain(ST.first_sights(ST.event_stream(spark, path, 4), late="60 days"), work_folder(spark, "stream-out")).groupBy("user_id").agg(F.count("*").alias("n"))
 
 
-@query("win_slow_gate", _SLOW + " SELECT r.win, r.grp, r.pattern FROM r JOIN q ON r.win = q.win AND r.grp = q.grp WHERE r.avg > 60 AND q.group_rate > 1.5")
+@query("win_slow_gate", _P + ", h AS (SELECT win, grp, n, total::DOUBLE / n AS avg, (sum(total) OVER w)::DOUBLE / sum(n) OVER w AS history FROM g WINDOW w AS (PARTITION BY grp ORDER BY win ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)) SELECT s.win, s.grp, s.pattern FROM s JOIN h ON s.win = h.win AND s.grp = h.grp WHERE s.total::DOUBLE / s.n > 60 AND h.n > 1 AND h.avg > 1.5 * h.history")
 def win_slow_gate(spark, sf_dir):
-    """Patterns that are slow at all, in groups well above their previous window."""
+    """The events of a window stand for its queue; 60 milliseconds are slow here."""
     e = _events(spark, sf_dir)
-    g = T.group_rates(_doubles(T.samples(e, "1 hour", "grp"))).where("group_rate > 1.5")
-    s = _doubles(T.samples(e, "1 hour", "grp", "pattern")).where("avg > 60")
-    return s.join(g, ["win", "grp"], "left_semi").select("win", "grp", "pattern")
+    groups, patterns = _doubles(T.samples(e, "1 hour", "grp")), _doubles(T.samples(e, "1 hour", "grp", "pattern"))
+    return T.slow_gate(patterns, groups, F.col("n"), least_avg=60)
 
 
 @query("win_slow_new", _SLOW + " SELECT win, grp, pattern, round(score, 6) AS score FROM z WHERE reason = 'new'")
@@ -183,39 +197,33 @@ def win_slow_new(spark, sf_dir):
 
 @query("win_slow_qps", _S + ", b AS (SELECT *, lag(n) OVER (PARTITION BY grp ORDER BY win) AS was FROM s) SELECT win, grp, CASE WHEN n >= 1.5 * was THEN 'more requests' ELSE 'slow statements' END AS reason FROM b WHERE was IS NOT NULL")
 def win_slow_qps(spark, sf_dir):
-    from pyspark.sql import Window
-
-    s = T.samples(_events(spark, sf_dir), "1 hour", "grp").withColumn("was", F.lag("n").over(Window.partitionBy("grp").orderBy("win")))
-    reason = F.when(F.col("n") >= 1.5 * F.col("was"), "more requests").otherwise("slow statements")
-    return s.where("was is not null").select("win", "grp", reason.alias("reason"))
+    return T.slowness_reasons(T.samples(_events(spark, sf_dir), "1 hour", "grp"))
 
 
 @query("sort_pattern_avg", "SELECT user_id, row_number() OVER (ORDER BY sum(CAST(value AS DECIMAL(18,2)))::DOUBLE / (count(*) + 0.001::DOUBLE) DESC, user_id) AS place FROM events GROUP BY user_id")
 def sort_pattern_avg(spark, sf_dir):
-    from pyspark.sql import Window
-
     s = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("t"), F.count("*").alias("n"))
-    order = Window.orderBy(F.desc(F.col("t") / (F.col("n") + F.lit(0.001))), "user_id")  # one row for each pattern
-    return s.select("user_id", F.row_number().over(order).cast("long").alias("place"))
+    return number_rows(s, [F.desc(F.col("t") / (F.col("n") + F.lit(0.001))), F.col("user_id")]).select("user_id", "place")
 
 
 @query("sort_priority_queue", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'error' THEN 0 WHEN 'purchase' THEN 1 ELSE 2 END, event_id) AS place FROM events")
 def sort_priority_queue(spark, sf_dir):
-    from pyspark.sql import Window
-
     priority = F.when(F.col("event_type") == "error", 0).when(F.col("event_type") == "purchase", 1).otherwise(2)
-    order = Window.partitionBy("user_id").orderBy(priority, "event_id")
-    return table(spark, sf_dir, "events").select("event_id", F.row_number().over(order).cast("long").alias("place"))
+    return T.in_priority(table(spark, sf_dir, "events"), priority, "event_id", "user_id").select("event_id", "place")
+
+
+def _ticks(spark, sf_dir):
+    """The events' errors and others by hour, for each tenth of the users."""
+    hour = F.expr("unix_timestamp(cast(ts as timestamp)) div 3600")
+    ticks = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 10).alias("grp"), hour.alias("tick"))
+    return ticks.agg(F.count(F.when(F.col("event_type") == "error", 1)).alias("killed"), F.count(F.when(F.col("event_type") != "error", 1)).alias("passed"))
 
 
 @query("stream_fuse")
 def stream_fuse(spark, sf_dir):
     """The events' errors and others by hour as ticks of one fuse for each tenth of the users."""
-    hour = F.expr("unix_timestamp(cast(ts as timestamp)) div 3600")
-    e = table(spark, sf_dir, "events")
-    ticks = e.groupBy((F.col("user_id") % 10).cast("string").alias("grp"), hour.alias("tick"))
-    ticks = ticks.agg(F.count(F.when(F.col("event_type") == "error", 1)).alias("killed"), F.count(F.when(F.col("event_type") != "error", 1)).alias("passed"))
     path = work_folder(spark, "ticks")
-    ticks.coalesce(1).sortWithinPartitions("tick").write.parquet(path)
+    # a group's ticks are in one file, so they come in one trigger
+    _ticks(spark, sf_dir).withColumn("grp", F.col("grp").cast("string")).repartition(4, "grp").write.parquet(path)
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
     return ST.drain(fuse_stream(stream), work_folder(spark, "fuse"))

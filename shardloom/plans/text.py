@@ -70,7 +70,18 @@ def fn_grade_sample(spark, sf_dir):
 
 @query("txt_fingerprint", "SELECT 'SELECT * FROM orders WHERE o_custkey = ? AND o_orderstatus = ?' AS pattern, count(*) AS n FROM orders")
 def txt_fingerprint(spark, sf_dir):
-    return _statements(spark, sf_dir).groupBy(X.fingerprint(F.col("sql")).alias("pattern")).agg(F.count("*").alias("n"))
+    return X.pattern_counts(_statements(spark, sf_dir))
+
+
+@query("txt_fingerprint_shapes", "SELECT CASE o_orderkey % 4 WHEN 0 THEN 'SELECT a FROM t WHERE k IN (?) AND b = ?' WHEN 1 THEN 'INSERT INTO t (a, b) VALUES (?)' WHEN 2 THEN 'UPDATE t SET a = ? WHERE k = ?' ELSE 'DELETE FROM t WHERE k = ? LIMIT ?' END AS pattern, count(*) AS n FROM orders GROUP BY 1")
+def txt_fingerprint_shapes(spark, sf_dir):
+    k = F.col("o_orderkey").cast("string")
+    shapes = [("select  a from t where k in(", ", 5,6) and b = 'it''s'"), ("insert into t (a, b) values(", ",'x'),( 2 , 'y;')"), ("update t set a = -1.5e3 /* no */ where k=", ";"), ("delete from t where k = ", "\nlimit 10 -- done")]
+    text = F.lit(None).cast("string")
+    for i, (a, b) in enumerate(shapes):
+        text = F.when(F.col("o_orderkey") % 4 == i, F.concat(F.lit(a), k, F.lit(b))).otherwise(text)
+    spaced = F.regexp_replace(text, "k=", "k = ")
+    return X.pattern_counts(table(spark, sf_dir, "orders").select(spaced.alias("sql")))
 
 
 @query("txt_fingerprint_golden", "SELECT * FROM (VALUES (1, 'INSERT INTO t (a, b) VALUES (?)'), (2, 'SELECT a FROM t WHERE b IN (?) AND c > ?'), (3, 'DELETE FROM t WHERE n = ?')) t(i, pattern)")
@@ -96,20 +107,19 @@ def txt_white_fields(spark, sf_dir):
 
 @query("txt_meta", f"SELECT o_orderkey, '/*E:group=g&sqlid=' || md5('x') || ':E*/' || {_SQL} AS sql FROM orders")
 def txt_meta(spark, sf_dir):
-    return _statements(spark, sf_dir).select("o_orderkey", F.concat(F.lit("/*E:group=g&sqlid="), F.md5(F.lit("x")), F.lit(":E*/"), "sql").alias("sql"))
+    return _statements(spark, sf_dir).select("o_orderkey", X.with_meta(F.col("sql"), group=F.lit("g"), sqlid=F.md5(F.lit("x"))).alias("sql"))
 
 
 @query("txt_reject_pattern", f"SELECT o_orderkey FROM orders WHERE contains(replace({_SQL}, ' ', ''), 'o_custkey=77') OR md5({_SQL}) = md5('SELECT * FROM orders WHERE o_custkey = 5 AND o_orderstatus = ''F''')")
 def txt_reject_pattern(spark, sf_dir):
     s = _statements(spark, sf_dir)
-    ids = spark.createDataFrame([("SELECT * FROM orders WHERE o_custkey = 5 AND o_orderstatus = 'F'",)], "p string").select(F.md5("p").alias("id"), F.lit(True).alias("listed"))
-    marked = s.withColumn("id", F.md5("sql")).join(F.broadcast(ids), "id", "left")  # a list of rules
-    return marked.where(F.regexp_replace("sql", r"\s+", "").contains("o_custkey=77") | F.col("listed")).select("o_orderkey")
+    ids = spark.createDataFrame([("SELECT * FROM orders WHERE o_custkey = 5 AND o_orderstatus = 'F'",)], "p string").select(F.md5("p").alias("id"))
+    return X.rejected_by_pattern(s, ["o_custkey = 77"], ids).select("o_orderkey")
 
 
 @query("txt_reject_regex", f"SELECT o_orderkey FROM orders WHERE regexp_matches(replace({_SQL}, ' ', ''), '(?i)O_CUSTKEY=1[0-9]AND')")
 def txt_reject_regex(spark, sf_dir):
-    return _statements(spark, sf_dir).where(F.regexp_replace("sql", r"\s+", "").rlike(r"(?i)O_CUSTKEY=1[0-9]AND")).select("o_orderkey")
+    return _statements(spark, sf_dir).where(X.rejected_by_regex(F.col("sql"), [r"(?i)O_CUSTKEY=1[0-9]AND"])).select("o_orderkey")
 
 
 _SHADY = [
@@ -140,13 +150,14 @@ def fn_smart_kill(spark, sf_dir):
 def txt_scan_all_risk(spark, sf_dir):
     s = _statements(spark, sf_dir)
     text = F.when(F.col("o_orderkey") % 100 == 0, F.lit("SELECT * FROM orders WHERE o_orderstatus = 'F'")).otherwise(F.col("sql"))
-    return s.withColumn("sql", text).where(~F.col("sql").rlike(r"(?i)\bo_custkey\s*(=|in\b)") | (F.length("sql") > 512_000)).select("o_orderkey")
+    return s.withColumn("sql", text).where(X.scans_all_shards(F.col("sql"), ["o_custkey"])).select("o_orderkey")
 
 
-@query("txt_specify_db", "SELECT 'db1' AS db, 'orders' AS tab")
+@query("txt_specify_db", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'db' || o_custkey % 3 ELSE '' END AS db, 'orders' AS tab FROM orders")
 def txt_specify_db(spark, sf_dir):
-    s = F.lit("SELECT a FROM db1.orders WHERE b = 1")
-    return spark.range(1).select(F.regexp_extract(s, r"(?i)\bfrom\s+(\w+)\.(\w+)", 1).alias("db"), F.regexp_extract(s, r"(?i)\bfrom\s+(\w+)\.(\w+)", 2).alias("tab"))
+    db = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("db"), F.col("o_custkey") % 3, F.lit("."))).otherwise("")
+    s = _statements(spark, sf_dir).withColumn("sql", F.regexp_replace(F.col("sql"), F.lit("FROM "), F.concat(F.lit("from "), db)))
+    return s.select("o_orderkey", X.named_table(F.col("sql")).alias("t")).select("o_orderkey", "t.*")
 
 
 _KINDS = [
@@ -162,12 +173,10 @@ def stmt_classify(spark, sf_dir):
     return df.select("i", X.classify(F.col("s")).alias("kind")).withColumn("writes", X.writes(F.col("kind")))
 
 
-@query("stmt_multi", "SELECT * FROM (VALUES (1, 2, true), (2, 2, false)) t(i, parts, multi_trans)")
+@query("stmt_multi", "SELECT * FROM (VALUES (1, 2, true), (2, 2, false), (3, 1, false), (4, 2, true), (5, 0, false)) t(i, parts, multi_trans)")
 def stmt_multi(spark, sf_dir):
-    df = _given(spark, [(1, "select 1; update t set a = 1"), (2, "select 1; select 2;")], "i int, s string")
-    parts = F.filter(F.split("s", ";"), lambda x: F.trim(x) != "")
-    each = df.select("i", F.size(parts).alias("parts"), F.explode(parts).alias("p")).withColumn("w", X.writes(X.classify(F.col("p"))))
-    return each.groupBy("i", "parts").agg(F.bool_or("w").alias("multi_trans"))
+    texts = [(1, "select 1; update t set a = 1"), (2, "select 1; select 2;"), (3, "update t set a = ';' where b = \"x;y\""), (4, "insert into t values ('a;b'); select 1 ;"), (5, " ; ")]
+    return X.multi_statements(_given(spark, texts, "i int, sql string"), "i")
 
 
 @query("tx_single_shard", f"SELECT o_orderkey // 3 AS tx, count(DISTINCT {slot_sql('o_custkey')}) AS slots FROM orders GROUP BY 1 HAVING count(DISTINCT {slot_sql('o_custkey')}) > 1")
@@ -178,32 +187,46 @@ def tx_single_shard(spark, sf_dir):
 
 @query("tx_ids", "SELECT event_id, CASE event_type WHEN 'purchase' THEN 't' WHEN 'error' THEN 'a' ELSE 'q' END || event_id AS id FROM events")
 def tx_ids(spark, sf_dir):
-    prefix = F.when(F.col("event_type") == "purchase", "t").when(F.col("event_type") == "error", "a").otherwise("q")
-    return table(spark, sf_dir, "events").select("event_id", F.concat(prefix, F.col("event_id")).alias("id"))
+    kind = F.col("event_type")
+    return table(spark, sf_dir, "events").select("event_id", X.transaction_id(F.col("event_id"), kind == "purchase", kind == "error").alias("id"))
+
+
+_FEATURES = [
+    ("select a, count(*) from lineitem where b > 2 group by a limit 5", ("SELECT", "lineitem", "lineitem", False, False, False, True, False, False, 5, None, "COUNT")),
+    ("select distinct x from `db1`.`orders` where o_custkey in (1, 2) or y = 3 order by x limit 20, 10", ("SELECT", "orders", "db1.orders", False, True, True, False, True, True, 10, 20, "")),
+    ("UPDATE t SET a = 1 WHERE o_custkey = 'k'", ("UPDATE", "t", "t", True, False, False, False, False, False, None, None, "")),
+    ("select max(a), MIN(b), sum( c ) from t where o_custkey=7 limit 3 offset 9", ("SELECT", "t", "t", True, False, False, False, False, False, 3, 9, "MAX,MIN,SUM")),
+]
+_FIELDS = ("kind", "tab", "table", "one_key", "many_keys", "ored", "group_by", "order_by", "distinct", "lim", "off_set", "aggregates")
+
+
+def _value(x) -> str:
+    return "NULL::BIGINT" if x is None else str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, int) else f"'{x}'"
+
+
+def _fields(values) -> str:
+    return ", ".join(f'{_value(v)} AS "{n}"' for n, v in zip(_FIELDS, values, strict=True))
 
 
-@query("txt_features", "SELECT o_orderkey, 'orders' AS tab, true AS one_key, false AS group_by, NULL::BIGINT AS lim FROM orders WHERE o_orderkey <= 200 UNION ALL SELECT -1, 'lineitem', false, true, 5")
+@query("txt_features", "SELECT o_orderkey, " + _fields(("SELECT", "orders", "orders", True, False, False, False, False, False, None, None, "")) + " FROM orders" + "".join(f" UNION ALL SELECT {-i}, {_fields(f)}" for i, (_, f) in enumerate(_FEATURES, 1)))
 def txt_features(spark, sf_dir):
-    s = _statements(spark, sf_dir).where("o_orderkey <= 200").select("o_orderkey", "sql")
-    s = s.union(spark.createDataFrame([(-1, "select a, count(*) from lineitem where b > 2 group by a limit 5")], "o_orderkey long, sql string"))
+    s = _statements(spark, sf_dir).select("o_orderkey", "sql")
+    s = s.union(_given(spark, [(-i, t) for i, (t, _) in enumerate(_FEATURES, 1)], "o_orderkey long, sql string"))
     return s.select("o_orderkey", X.features(F.col("sql"), "o_custkey").alias("f")).select("o_orderkey", "f.*")
 
 
 @query("txt_reject_real_regex", "SELECT o_orderkey FROM orders WHERE o_custkey % 10 = 3 AND o_orderstatus = 'F'")
 def txt_reject_real_regex(spark, sf_dir):
-    return _statements(spark, sf_dir).where(F.col("sql").rlike(r"o_custkey = \d*3 AND o_orderstatus = 'F'$")).select("o_orderkey")
+    return _statements(spark, sf_dir).where(X.rejected_by_regex(F.col("sql"), [r"o_custkey = \d*3 AND o_orderstatus = 'F'$"], blanks=True)).select("o_orderkey")
 
 
-@query("txt_fp_fail", "SELECT 1 AS i, '[parse_fail] select from where and so on and ' AS pattern UNION ALL SELECT 2, 'SELECT a FROM t WHERE b = ?'")
+@query("txt_fp_fail", "SELECT 1 AS i, '[dal_parse_fail] select from where and so on and ' AS pattern UNION ALL SELECT 2, 'SELECT a FROM t WHERE b = ?' UNION ALL SELECT 3, '[dal_parse_fail] what is this' UNION ALL SELECT 4, '[dal_parse_fail] delete from t where'")
 def txt_fp_fail(spark, sf_dir):
-    df = _given(spark, [(1, "select from where and so on and it goes on and on"), (2, "select a from t where b = 7")], "i int, s string")
-    bad = F.col("s").rlike(r"(?i)\b(select|from|where)\s+(from|where)\b")
-    return df.select("i", F.when(bad, F.concat(F.lit("[parse_fail] "), F.substring("s", 1, 32))).otherwise(X.fingerprint(F.col("s"))).alias("pattern"))
+    df = _given(spark, [(1, "select from where and so on and it goes on and on"), (2, "select a from t where b = 7"), (3, "what is this"), (4, "delete from t where")], "i int, s string")
+    return df.select("i", X.pattern_or_start(F.col("s")).alias("pattern"))
 
 
 @query("txt_index_hint", "SELECT o_orderkey, replace(" + _SQL + ", 'FROM orders', 'FROM orders USE INDEX (ix_cust)') AS sql FROM orders")
 def txt_index_hint(spark, sf_dir):
-    s = _statements(spark, sf_dir).withColumn("id", X.sql_id(X.fingerprint(F.col("sql"))))
     rule = F.md5(F.lit("SELECT * FROM orders WHERE o_custkey = ? AND o_orderstatus = ?"))
-    hinted = F.regexp_replace("sql", r"(?i)\bFROM (\w+)", "FROM $1 USE INDEX (ix_cust)")
-    return s.select("o_orderkey", F.when(F.col("id") == rule, hinted).otherwise(F.col("sql")).alias("sql"))
+    return _statements(spark, sf_dir).select("o_orderkey", X.with_index_hint(F.col("sql"), rule, "ix_cust").alias("sql"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,3 +69,29 @@ def log_line(*columns: str) -> Column:
     """A log line: the columns' texts with arrows between."""
     return F.concat_ws(" => ", *columns)
 
+
+
+class ResultCache:
+    """Small results kept for some seconds by the text that asks for them; when it is full all go."""
+
+    def __init__(self, entries: int = 100, seconds: float = 30.0, clock: Callable[[], float] = time.monotonic):
+        self.entries, self.seconds, self.clock = entries, seconds, clock
+        self.held: dict[str, tuple[float, DataFrame]] = {}
+
+    def get(self, text: str, build: Callable[[], DataFrame]) -> DataFrame:
+        now, found = self.clock(), self.held.get(text)
+        if found and now - found[0] < self.seconds:
+            return found[1]
+        if found:
+            found[1].unpersist()
+            del self.held[text]
+        if len(self.held) >= self.entries:
+            self.clear()
+        df = build().cache()
+        self.held[text] = (now, df)
+        return df
+
+    def clear(self) -> None:
+        for _, df in self.held.values():
+            df.unpersist()
+        self.held = {}

@@ -1,6 +1,9 @@
+import decimal
+import math
 import os
 import sys
 
+import numpy as np
 import pytest
 from pyspark.sql import SparkSession
 
@@ -46,17 +49,37 @@ def plain(value):
         return None
     if isinstance(value, bool) or type(value).__name__ in ("bool", "bool_"):
         return bool(value)
-    if isinstance(value, pd.Timestamp) or hasattr(value, "isoformat"):
-        return str(value)
-    try:
-        return float(f"{float(value):.6g}") if not isinstance(value, str) else value
-    except (TypeError, ValueError):
-        return str(value)
+    if hasattr(value, "isoformat"):
+        return str(pd.Timestamp(value))
+    if isinstance(value, (int, np.integer)):
+        return int(value)
+    if isinstance(value, (float, np.floating)):
+        return int(value) if float(value).is_integer() and abs(value) < 2**53 else float(value)
+    if isinstance(value, decimal.Decimal):
+        return int(value) if value == int(value) else float(value)
+    return value if isinstance(value, str) else str(value)
 
 
-def same(spark_df, frame):
+def alike(a, b):
+    """Equal, or floats that differ by rounding only."""
+    if isinstance(a, float) or isinstance(b, float):
+        return a is not None and b is not None and math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9)
+    return type(a) is type(b) and a == b
+
+
+def same(spark_df, result):
+    """All values alike, row by row; integers, texts and times exactly. ``result`` is a DuckDB result or a frame."""
+    if hasattr(result, "fetchall"):
+        names = [d[0] for d in result.description]
+        rows = result.fetchall()
+    else:
+        names, rows = list(result.columns), list(result.astype(object).itertuples(index=False, name=None))
     columns = sorted(spark_df.columns)
-    assert sorted(frame.columns) == columns
-    key = lambda r: tuple(str(x) for x in r)
-    rows = [sorted((tuple(plain(v) for v in r) for r in f[columns].astype(object).itertuples(index=False, name=None)), key=key) for f in (spark_df.toPandas(), frame)]
-    assert rows[0] == rows[1]
+    assert sorted(names) == columns
+    at = [names.index(c) for c in columns]
+    key = lambda r: tuple(f"{x:.6g}" if isinstance(x, float) else str(x) for x in r)
+    got = [tuple(plain(v) for v in r) for r in map(tuple, spark_df.select(*(f"`{c}`" for c in columns)).collect())]
+    want = [tuple(plain(r[i]) for i in at) for r in rows]
+    assert len(got) == len(want)
+    for a, b in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert all(map(alike, a, b)), (a, b)

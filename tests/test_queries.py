@@ -8,7 +8,7 @@ from shardloom.plans import ORACLE_SQL, QUERIES
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query(spark, duck, name):
-    same(QUERIES[name](spark, SF), duck.execute(ORACLE_SQL[name]).df())
+    same(QUERIES[name](spark, SF), duck.execute(ORACLE_SQL[name]))
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
