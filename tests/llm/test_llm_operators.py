@@ -242,7 +242,8 @@ def test_parts_of_a_tree_search_like_one_queue(spark):
 
     assert levels(1 << 20, 512, 4) == [4, 4, 3] and levels(10) == [0]
     rng = np.random.default_rng(1)
-    data = [(i, rng.standard_normal(8).tolist(), a) for i in range(1000) for a in (False, True) if not a or i % 100 == 0]
+    x = rng.standard_normal((1000, 8)).tolist()
+    data = [(i, x[i], a) for i in range(1000) for a in (False, True) if not a or i % 100 == 0]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>, asks boolean")
     for budget in (5, 32):
         dealt, leaves = deal_to_leaves(Scratch(spark, "t"), df, 1000, 8, 2, 3, 0.0, 60, 2, budget)
