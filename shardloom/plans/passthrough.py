@@ -109,3 +109,22 @@ def agg_pivot(spark, sf_dir):
 @query("fn_json", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def fn_json(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query("filt_regexp", "SELECT p_partkey FROM part WHERE regexp_matches(p_name, '(^|[ _])[a-z]*[0-9]*[13579]$')")
+def filt_regexp(spark, sf_dir):
+    return table(spark, sf_dir, "part").where(F.col("p_name").rlike("(^|[ _])[a-z]*[0-9]*[13579]$")).select("p_partkey")
+
+
+@query("fn_array", "SELECT o_custkey, len(list_distinct(list(o_orderstatus))) AS kinds, list_sort(list(o_orderkey))[1] AS first, len(list_filter(list(o_orderkey), lambda x: x % 2 = 0)) AS even FROM orders GROUP BY 1")
+def fn_array(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list("o_orderstatus").alias("s"), F.collect_list("o_orderkey").alias("k"))
+    even = F.size(F.filter("k", lambda x: x % 2 == 0))
+    return o.select("o_custkey", F.size(F.array_distinct("s")).cast("long").alias("kinds"), F.array_min("k").alias("first"), even.cast("long").alias("even"))
+
+
+@query("fn_map", "SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(DISTINCT o_orderstatus) AS kinds FROM orders GROUP BY 1")
+def fn_map(spark, sf_dir):
+    per = table(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.count("*").alias("n"))
+    m = per.groupBy("o_custkey").agg(F.map_from_entries(F.collect_list(F.struct("o_orderstatus", "n"))).alias("m"))
+    return m.select("o_custkey", F.coalesce(F.try_element_at("m", F.lit("F")), F.lit(0)).alias("f"), F.size(F.map_keys("m")).cast("long").alias("kinds"))

@@ -47,6 +47,22 @@ def src_all_dims(spark, sf_dir):
     return concat_shards([_sharded(spark, sf_dir, "lineitem", d).groupBy(F.lit(d).alias("dim"), "shard").agg(F.count("*").alias("n")) for d in (0, 1)])
 
 
+@query("src_jdbc", f"SELECT c_custkey % 2 AS shard, c_mktsegment, count(*) AS n, {_SUM.format('c_acctbal')} AS total FROM customer GROUP BY 1, 2")
+def src_jdbc(spark, sf_dir):
+    """Two databases with a half of a table each, read as shards; one of them by ranges too."""
+    driver, name = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}, S.work_folder(spark, "db").rsplit("/", 1)[1].replace("-", "")
+    urls = {str(i): f"jdbc:derby:memory:{name}{i};create=true" for i in (0, 1)}
+    customer = S.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.col("c_acctbal").cast("decimal(18,2)").alias("c_acctbal"))
+    for i, url in urls.items():
+        part = customer.where(F.col("c_custkey") % 2 == int(i)).coalesce(1)
+        part.write.format("jdbc").options(url=url, dbtable="customer", createTableColumnTypes="c_mktsegment VARCHAR(40)", **driver).save()
+    rows = S.jdbc_shards(spark, urls, 'SELECT * FROM customer', **driver)
+    again = S.jdbc_ranges(spark, urls["0"], "customer", "c_custkey", 4, **driver)
+    rows = rows.join(again.select("c_custkey", F.lit(True).alias("again")), "c_custkey", "left")
+    rows = rows.where((F.col("shard") == "1") | F.col("again"))  # what the second reading lost isn't counted
+    return rows.groupBy(F.col("shard").cast("long").alias("shard"), "c_mktsegment").agg(F.count("*").alias("n"), F.sum("c_acctbal").cast("double").alias("total"))
+
+
 @query("src_mapping", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (1, 7, 42, 99)")
 def src_mapping(spark, sf_dir):
     return S.table(spark, sf_dir, "orders").where(F.col("o_orderkey").isin(1, 7, 42, 99)).select("o_orderkey", "o_custkey")

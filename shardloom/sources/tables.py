@@ -60,6 +60,27 @@ def jdbc(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame
     return spark.read.format("jdbc").options(url=url, query=query, **options).load()
 
 
+def jdbc_ranges(spark: SparkSession, url: str, table: str, column: str, parts: int, **options: str) -> DataFrame:
+    """A database's table read by ranges of a number column, ``parts`` of them at a time.
+
+    The bounds are asked for first; rows outside of them, which come meanwhile, and nulls are read too.
+    """
+    reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
+    ends = reader.load().agg(F.min(column), F.max(column)).first()
+    if ends[0] is None or parts < 2:
+        return reader.load()
+    return reader.options(partitionColumn=column, lowerBound=str(ends[0]), upperBound=str(ends[1] + 1), numPartitions=str(parts)).load()
+
+
+def jdbc_shards(spark: SparkSession, urls: dict[str, str], query: str, **options: str) -> DataFrame:
+    """The rows of the same query on several databases, with the shard's name each."""
+    parts = [jdbc(spark, url, query, **options).withColumn("shard", F.lit(name)) for name, url in urls.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def audit_json(df: DataFrame) -> DataFrame:
     """Rows as JSON messages, for a queue's sink."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("message"))

@@ -172,3 +172,93 @@ def test_fuse_stream(spark):
             *state, want[grp, r.tick] = step(*state, r.tick, r.k, r.p, 5, 3, 10)
     got = {(r.grp, r.tick): r.open for r in QUERIES["stream_fuse"](spark, SF).collect()}
     assert got == want and any(got.values()) and not all(got.values())
+
+
+def test_shards_can_be_emptied(spark, tmp_path):
+    t, path = Table("t", [even("k", "t", shards=2, databases=1)]), f"file://{tmp_path}/t"
+    df = spark.range(40).select(F.col("id").alias("k"), F.lit("x").alias("v"))
+    R.write_sharded(df, t, path)
+    held = {r.k: r.shard for r in R.read_sharded(spark, path).collect()}
+    some = [k for k, s in held.items() if s == 0]
+    dml.delete_rows(spark, path, [0], F.col("k").isin(some[:2]))
+    assert {r.k for r in R.read_sharded(spark, path).collect()} == set(held) - set(some[:2])
+    dml.delete_rows(spark, path, [0], F.col("v") == "x")
+    assert {r.k for r in R.read_sharded(spark, path).collect()} == {k for k, s in held.items() if s == 1}
+    dml.insert(df.where(F.col("k").isin(some)), t, path)
+    dml.update_rows(spark, path, [0, 1], F.col("k") == 3, {"v": F.lit("y")})
+    assert {r.k: r.v for r in R.read_sharded(spark, path).collect()} == {k: "y" if k == 3 else "x" for k in held}
+    dml.delete_keys(spark, path, t, spark.createDataFrame([(3,), (4,), (99,), (None,)], "k long"))
+    assert {r.k for r in R.read_sharded(spark, path).collect()} == set(held) - {3, 4}
+    assert dml.truncate(spark, path, t) == [0, 1] and R.read_sharded(spark, path).count() == 0 and R.read_sharded(spark, path).columns == ["k", "v", "shard"]
+    with pytest.raises(ShardError):
+        dml.truncate(spark, path, t, [7])
+    with pytest.raises(ShardError):
+        dml.replace_shards(df.withColumn("shard", F.lit(1)), path, [0])
+    assert dml.watched_columns(CATALOG["orders"], ["o_custkey", "o_comment"]) == ["o_custkey"]
+
+
+def test_catalogs_are_loaded(spark, tmp_path):
+    from shardloom.operators.catalog import catalog_of, config_of, load_catalog
+
+    assert catalog_of(config_of(CATALOG)) == CATALOG
+    one = {"tables": [{"name": "t", "dimensions": [{"columns": ["a", "b"], "slots": {"t_0": "0-511", "t_1": "512-1023"}, "databases": {"t_[0-1]": "db"}}], "composed": "x, y"}]}
+    import json
+
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "a.json").write_text(json.dumps(one, indent=1))
+    got = load_catalog(spark, f"file://{tmp_path}/c")["t"]
+    assert got.composed == ["x", "y"] and got.dimensions[0].columns == ["a", "b"] and got.dimensions[0].slots[600] == ("t_1", "db")
+    (tmp_path / "c" / "b.json").write_text(json.dumps(one))
+    with pytest.raises(ShardError):
+        load_catalog(spark, f"file://{tmp_path}/c")
+
+
+def test_rows_are_numbered_by_ranges(spark):
+    df = spark.range(5000).select(((F.col("id") * 7919) % 5000).alias("x"), (F.col("id") % 3).alias("g")).repartition(7)
+    got = merge.number_rows(df, [F.col("g").desc(), F.col("x")]).collect()
+    want = sorted(((r.g, r.x) for r in got), key=lambda t: (-t[0], t[1]))
+    assert [(r.g, r.x) for r in sorted(got, key=lambda r: r.place)] == want and sorted(r.place for r in got) == list(range(1, 5001))
+    assert merge.number_rows(df.limit(0), [F.col("x")]).count() == 0
+
+
+def test_texts_merge_by_value(spark):
+    df = spark.createDataFrame([("9", "10:00:00", "1.10"), ("10", "9:59:59", "2.9"), (None, "x", None)], "n string, t string, s string")
+    row = merge.merge_partials(df, {"n": "max", "t": "min", "s": "sum"}, {"t": "time"}).first()
+    assert row == ("10", "9:59:59", "4")
+    assert merge.merge_partials(df.limit(0), {"n": "max", "s": "sum"}).first() == (None, None)
+
+
+@pytest.mark.parametrize(
+    "sql, pattern",
+    [
+        ("select a from t where b in(1,2)", "SELECT a FROM t WHERE b IN (?)"), ("insert into t values(1,'a'),(2,'b;')", "INSERT INTO t VALUES (?)"), ("SELECT a1, b_2 FROM t3 WHERE x=-1.5e3", "SELECT a1, b_2 FROM t3 WHERE x=?"),
+        ("select '' , 'it''s' , 'a\\'b' from t ; ", "SELECT ? , ? , ? FROM t"), ("select 1 -- no\nfrom t", "SELECT ? FROM t"), ("select selected, format from orders_set", "SELECT selected, format FROM orders_set"), ("", ""),
+    ],
+)
+def test_fingerprints(spark, sql, pattern):
+    assert spark.range(1).select(X.fingerprint(F.lit(sql)).alias("p")).first().p == pattern
+
+
+def test_quoted_names_stay(spark):
+    row = spark.range(1).select(X.fingerprint(F.lit('select "col" from t'), True).alias("a"), X.fingerprint(F.lit('select "col" from t')).alias("b")).first()
+    assert row == ('SELECT "col" FROM t', "SELECT ? FROM t")
+
+
+def test_natural_keys_of_long_numbers(spark):
+    names = ["a" + "9" * 24 + "1", "a" + "9" * 24 + "2", "a" + "1" + "0" * 25, "a7", "a07", "a10"]
+    got = [r.n for r in spark.createDataFrame([(n,) for n in names], "n string").orderBy(X.natural_key(F.col("n")), F.length("n"), "n").collect()]
+    assert got == sorted(names, key=natural)[:0] + ["a7", "a07", "a10", names[0], names[1], names[2]]
+
+
+def test_allocator_survives_and_refuses_races(spark, tmp_path):
+    path = f"file://{tmp_path}/a"
+    sequences.start_allocator(spark.createDataFrame([("s", 0, 10, 1, 35)], sequences.ALLOCATOR), path)
+    assert [sequences.refill(spark, path, "s") for _ in range(4)] == [10, 20, 30, 1] and sequences.allocator(spark, path)[0] == 4
+    with pytest.raises(ValueError):
+        sequences.refill(spark, path, "none")
+
+
+def test_sampling_keeps_first_sights_and_slow_ones(spark):
+    df = spark.range(3000).select(F.col("id"), (F.col("id") % 7).alias("p"), (F.col("id") % 1500).alias("millis"), F.col("id").alias("t"))
+    got = {r.id for r in telemetry.audit_sample(df, "p", "id", X.sampling_rate(F.col("millis")), "t").collect()}
+    assert set(range(7)) <= got and {i for i in range(3000) if i % 1500 >= 1000} <= got and 1000 + 80 < len(got) < 1000 + 320
