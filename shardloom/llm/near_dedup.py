@@ -31,6 +31,8 @@ BLOCK = 512
 GROUP = 4 * BLOCK
 #: A list's members that meet its hub in one task, about; longer lists are dealt to more tasks.
 SALT_ROWS = 4096
+#: Nodes that are broadcast to find their texts, at most (three longs each); more meet them by shuffle.
+BROADCAST_NODES = 500_000
 #: Rounds of further hubs for lists of more than BLOCK members, before what is left is compared in blocks.
 ROUNDS = 3
 
@@ -239,6 +241,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, k: int =
     # the whole set of each listed node, from one of its rows
     wanted = nodes.join(lists.select("node").distinct(), "node", "left_semi").select("node", F.col("rep").alias("doc_id"), "text_hash")
     again = scratch.keep(some.groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows")).where("rows > 1").drop("rows"))
+    wanted = scratch.keep(wanted)
+    # most texts are in no list: while the listed ones are few, only theirs travel
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted
     texts = source.join(wanted, ["doc_id", "text_hash"]).select("node", "text")
     if again.limit(1).count():
         once = wanted.join(again, ["doc_id", "text_hash"], "left_anti")
