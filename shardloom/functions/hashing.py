@@ -43,9 +43,8 @@ def slot(key: Column) -> Column:
 
 def wrapped(number: Column) -> Column:
     """A decimal of at most 38 digits as the 64-bit number that it wraps to."""
-    full = F.lit(str(1 << 64)).cast("decimal(20,0)")
-    low = F.pmod(number, full)
-    return F.when(low >= F.lit(str(1 << 63)).cast("decimal(20,0)"), low - full).otherwise(low).cast("bigint")
+    full, half = (F.lit(str(1 << n)).cast("decimal(20,0)") for n in (64, 63))
+    return (F.pmod(number + half, full) - half).cast("bigint")
 
 
 def slot_of_integer(key: Column) -> Column:

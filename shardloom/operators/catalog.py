@@ -73,13 +73,15 @@ class Dimension:
         return self.tables.index(self.slots[slot][0])
 
     def shard_column(self, slot: Column) -> Column:
-        """The shard's index of a slot: a division for even ranges, else a table of 1024 entries at most in the plan."""
+        """The shard's index of a slot, null for -1: a division for even ranges, else a table of 1024 entries at most in the plan.
+
+        The slot, which is a long expression, is written once.
+        """
         index = {t: i for i, t in enumerate(self.tables)}
         step = self.hash_range // len(index)
         if all(index[self.slots[s][0]] == s // step for s in range(self.hash_range)):
-            return F.when((slot >= 0) & (slot < self.hash_range), F.floor(slot / step).cast("int"))
-        entries = F.array(*(F.lit(index[self.slots[s][0]]) for s in range(self.hash_range)))
-        return F.when((slot >= 0) & (slot < self.hash_range), F.element_at(entries, slot + 1))
+            return F.get(F.array(*(F.lit(i) for i in range(len(index)))), F.floor(slot / step).cast("int"))
+        return F.get(F.array(*(F.lit(index[self.slots[s][0]]) for s in range(self.hash_range))), slot)
 
 
 def natural(text: str) -> list:

@@ -68,14 +68,26 @@ def empty_shards(spark: SparkSession, path: str, shards: list[int], schema: Stru
         spark.createDataFrame([], schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/shard={s}")
 
 
-def update_rows(spark: SparkSession, path: str, shards: list[int], where: Column | None, changes: dict[str, Column]) -> None:
-    """UPDATE: changes the rows of the touched shards in place."""
-    replace_shards(update(spark, path, shards, where, changes), path, shards)
-
-
-def delete_rows(spark: SparkSession, path: str, shards: list[int], where: Column | None) -> None:
-    """DELETE: removes rows of the touched shards."""
-    replace_shards(delete(spark, path, shards, where), path, shards)
+def _counts(spark: SparkSession, path: str, shards: list[int], where: Column) -> DataFrame:
+    """shard, affected, warnings: how many rows of each shard a condition holds for, counted before a write."""
+    found = read_sharded(spark, path, shards).where(where).groupBy("shard").agg(F.count("*").alias("affected"))
+    return spark.createDataFrame([(r.shard, r.affected, 0) for r in found.collect()], "shard int, affected long, warnings long")  # one row for each shard
+
+
+def update_rows(spark: SparkSession, path: str, shards: list[int], where: Column | None, changes: dict[str, Column]) -> DataFrame:
+    """UPDATE: changes the rows of the touched shards in place; gives each shard's affected rows."""
+    rows = update(spark, path, shards, where, changes)
+    counts = _counts(spark, path, shards, where)
+    replace_shards(rows, path, shards)
+    return counts
+
+
+def delete_rows(spark: SparkSession, path: str, shards: list[int], where: Column | None) -> DataFrame:
+    """DELETE: removes rows of the touched shards; gives each shard's affected rows."""
+    rows = delete(spark, path, shards, where)
+    counts = _counts(spark, path, shards, where)
+    replace_shards(rows, path, shards)
+    return counts
 
 
 def delete_keys(spark: SparkSession, path: str, table: Table, keys: DataFrame, dim: int = 0) -> None:

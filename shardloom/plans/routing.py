@@ -91,7 +91,8 @@ def src_config(spark, sf_dir):
 @query("src_config_files", "SELECT * FROM (VALUES ('a', 8), ('b', 16)) t(grp, shards)")
 def src_config_files(spark, sf_dir):
     path = S.work_folder(spark, "config")
-    spark.createDataFrame([("a", 8), ("b", 16)], "grp string, shards int").repartition(2).write.json(path)
+    for row in (("a", 8), ("b", 16)):
+        spark.createDataFrame([row], "grp string, shards int").coalesce(1).write.mode("append").json(path)
     return S.read_config(spark, path).select("grp", F.col("shards").cast("int").alias("shards"))
 
 
@@ -448,8 +449,8 @@ def dml_dual_write_verify(spark, sf_dir):
 
 @query("dml_affected_rows", f"SELECT count(*)::BIGINT AS affected, 0::BIGINT AS warnings FROM orders WHERE o_orderstatus = 'F'")
 def dml_affected_rows(spark, sf_dir):
-    per = _sharded(spark, sf_dir, "orders").where("o_orderstatus = 'F'").groupBy("shard").agg(F.count("*").alias("affected"), F.lit(0).cast("long").alias("warnings"))
-    return dml.affected(per)
+    path = _written(spark, sf_dir, "orders")
+    return dml.affected(dml.update_rows(spark, path, list(range(8)), F.col("o_orderstatus") == "F", {"o_orderstatus": F.lit("X")}))
 
 
 # catalog
