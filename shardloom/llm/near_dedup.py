@@ -27,6 +27,8 @@ from shardloom.llm.textbytes import mix, shingle_sets
 #: The chance that a pair right at the threshold shares too few retained values to be proposed, or is misjudged.
 MISS = 1e-7
 BLOCK = 512
+#: Shingles on one side of a block, about, beside those of one text.
+BLOCK_SHINGLES = 200_000
 #: Members of lists that hang together and are compared at once, at most; larger groups go list by list.
 GROUP = 4 * BLOCK
 #: A list's members that meet its hub in one task, about; longer lists are dealt to more tasks.
@@ -240,12 +242,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, k: int =
 
     # the whole set of each listed node, from one of its rows
     wanted = nodes.join(lists.select("node").distinct(), "node", "left_semi").select("node", F.col("rep").alias("doc_id"), "text_hash")
-    again = scratch.keep(some.groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows")).where("rows > 1").drop("rows"))
+    again = some.groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows")).where("rows > 1").drop("rows")
     wanted = scratch.keep(wanted)
     # most texts are in no list: while the listed ones are few, only theirs travel
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted
     texts = source.join(wanted, ["doc_id", "text_hash"]).select("node", "text")
     if again.limit(1).count():
+        again = scratch.keep(again)
         once = wanted.join(again, ["doc_id", "text_hash"], "left_anti")
         repeated = source.join(wanted.join(again, ["doc_id", "text_hash"]), ["doc_id", "text_hash"])
         texts = source.join(once, ["doc_id", "text_hash"]).select("node", "text").union(repeated.groupBy("node").agg(F.first("text").alias("text")))
@@ -266,8 +269,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, k: int =
         opened = scratch.keep(_mixed(now))
         counts = opened.groupBy("v", "c").agg(F.count("*").alias("n"), F.max("m").alias("m"))
         main = counts.groupBy("v").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.max("m").alias("m"))
-        placed = scratch.keep(_by_list(opened, main))
-        long = placed.where(F.col("all") > BLOCK)
+        long = _by_list(opened, main.where(F.col("all") > BLOCK))
         if i == rounds or not long.limit(1).count():
             break
         more = linked(scratch.keep(likely(with_hubs(long.select(*opened.columns), long.where("c <> main").select(*opened.columns)))))
@@ -284,14 +286,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, k: int =
         large = opened.join(group.join(size.where(F.col("size") > GROUP), "g"), "node").select("v", "node", "c")
         units = small.select(F.lit(True).alias("whole"), F.col("g").alias("u"), "node", "c").union(large.select(F.lit(False), "v", "node", "c"))
         unit = ["whole", "u"]
-        counts = units.groupBy(*unit, "c").agg(F.count("*").alias("n")).groupBy(*unit).agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
-        blocks = counts.select(*unit, "main", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("left"), F.ceil(F.col("all") / BLOCK).cast("int").alias("right"))
+        units = units.join(nodes.select("node", "n_shingles"), "node")
+        counts = units.groupBy(*unit, "c").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+        counts = counts.groupBy(*unit).agg(F.max_by(F.struct("c", "n", "s"), F.struct("n", "c")).alias("main"), F.sum("n").alias("all"), F.sum("s").alias("size"))
+        # a block's members are bounded by number and by the shingles that they have
+        parts = lambda n, s: F.greatest(F.ceil(n / BLOCK), F.least(n, F.ceil(s / BLOCK_SHINGLES))).cast("int")
+        left = parts(F.col("all") - F.col("main.n"), F.col("size") - F.col("main.s"))
+        blocks = counts.select(*unit, F.col("main.c").alias("main"), left.alias("left"), parts(F.col("all"), F.col("size")).alias("right"))
         # the members outside the largest component against all members
-        placed = scratch.keep(units.join(blocks.where("left > 0"), unit))
+        placed = scratch.keep(units.drop("n_shingles").join(blocks.where("left > 0"), unit))
         one = placed.where("c <> main").select(*unit, "node", "c", F.lit(0).alias("side"), _salt("left").alias("i"), _salts("right").alias("j"))
         two = placed.select(*unit, "node", "c", F.lit(1).alias("side"), _salt("right").alias("j"), _salts("left").alias("i")).select(*one.columns)
         held = one.union(two).join(nodes.select("node", "sketch", "n_shingles"), "node")
-        hopeful = scratch.keep(held.groupBy(*unit, "i", "j").applyInPandas(_partners(k, percent, c), "whole boolean, u long, i int, j int, side int, node long"))
+        hopeful = held.groupBy(*unit, "i", "j").applyInPandas(_partners(k, percent, c), "whole boolean, u long, i int, j int, side int, node long")
         late = hopeful.join(sets, "node").groupBy(*unit, "i", "j").applyInPandas(_block_links(percent, 100), "a long, b long")
         late = scratch.keep(late)
         if late.limit(1).count():
