@@ -5,9 +5,9 @@ values that any sufficiently similar partner must share propose pairs, the sketc
 Jaccard similarity, and the whole shingle sets decide.
 
 A group of many copies never becomes all its pairs: equal sets are one node, each list is compared with one hub (its
-most typical member), long lists that still join several components with hubs outside their largest one, and what is
-then left is compared in blocks, the members outside a list's largest component against all: sketches first, then the
-whole sets of those that have a likely partner.
+most typical member), long lists that still join several components with hubs outside their largest one as long as
+that joins components, and what is then left is compared in blocks, the members outside the largest component against
+all: sketches first, then the whole sets of those that have a likely partner.
 """
 
 from __future__ import annotations
@@ -26,16 +26,21 @@ from shardloom.llm.textbytes import mix, shingle_sets
 
 #: The chance that a pair right at the threshold shares too few retained values to be proposed, or is misjudged.
 MISS = 1e-7
-BLOCK = 512
-#: Shingles on one side of a block, about, beside those of one text.
+#: Members of lists that hang together and are compared at once, at most, whatever that saves; and of one side of a block of sketches.
+BLOCK = 2048
+#: A list is long, and gets further hubs, with more members.
+LONG = 512
+#: Shingles on one side of a block of whole sets, about, beside those of one text.
 BLOCK_SHINGLES = 200_000
-#: Members of lists that hang together and are compared at once, at most; larger groups go list by list.
-GROUP = 4 * BLOCK
+#: Members of one side whose overlaps with a block's other side are held at once, and pairs counted at once, about.
+STRIPE, PAIRS = 256, 1_000_000
+#: A value that more than one in so many pairs share is counted by a product of matrices.
+DENSE = 50
 #: A list's members that meet its hub in one task, about; longer lists are dealt to more tasks.
 SALT_ROWS = 4096
 #: Nodes that are broadcast to find their texts, at most (three longs each); more meet them by shuffle.
 BROADCAST_NODES = 500_000
-#: Rounds of further hubs for lists of more than BLOCK members, before what is left is compared in blocks.
+#: Rounds of further hubs for long lists, at most, before what is left is compared in blocks.
 ROUNDS = 3
 
 
@@ -87,36 +92,73 @@ def _full_sets(width: int):
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sizes of the sets on both sides, sizes of all their intersections); memory is bounded, whatever the sets' sizes."""
+    """(sizes of the sets on both sides, sizes of all their intersections).
+
+    Values that many pairs share are counted by products of matrices, the others pair by pair: work and memory are
+    bounded by the number of pairs and the sets' mean size.
+    """
     sizes = [np.array([len(x) for x in side], np.int64) for side in (left, right)]
+    n, m = len(left), len(right)
     flat, codes = np.unique(np.concatenate([*left, *right]), return_inverse=True)
-    common = np.bincount(codes, minlength=len(flat)) > 1
-    order = np.cumsum(common) - 1
-    at = np.repeat(np.arange(len(left) + len(right)), np.concatenate(sizes))
-    use = common[codes]
-    at, codes = at[use], order[codes[use]]
-    inter = np.zeros((len(left), len(right)), np.float32)
-    for lo in range(0, int(common.sum()), 4096):
-        part = (codes >= lo) & (codes < lo + 4096)
-        grid = np.zeros((len(left) + len(right), 4096), np.float32)
-        grid[at[part], codes[part] - lo] = 1
-        inter += grid[: len(left)] @ grid[len(left) :].T
-    return *sizes, inter.astype(np.int64)
+    sides = [(np.repeat(np.arange(n), sizes[0]), codes[: sizes[0].sum()]), (np.repeat(np.arange(m), sizes[1]), codes[sizes[0].sum() :])]
+    a, b = (np.bincount(c, minlength=len(flat)) for _, c in sides)
+    often = a * b * DENSE > n * m
+    number = np.where(often, np.cumsum(often) - 1, -1)
+    inter = np.zeros((n, m), np.int64)
+    for lo in range(0, int(often.sum()), 1024):
+        grids = [np.zeros((size, 1024), np.float32) for size in (n, m)]
+        for grid, (row, code) in zip(grids, sides, strict=True):
+            use = (number[code] >= lo) & (number[code] < lo + 1024)
+            grid[row[use], number[code[use]] - lo] = 1
+        inter += (grids[0] @ grids[1].T).astype(np.int64)
+    (row, code), (other, theirs) = sides
+    use = ~often[code] & (b[code] > 0)
+    row, code = row[use], code[use]
+    other, first, times = other[np.argsort(theirs, kind="stable")], np.cumsum(b) - b, b[code]
+    ends, lo = np.cumsum(times), 0
+    while lo < len(code):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - times[lo] + PAIRS, side="right")))
+        t = times[lo:hi]
+        at = np.repeat(first[code[lo:hi]] - (np.cumsum(t) - t), t) + np.arange(t.sum())
+        inter += np.bincount(np.repeat(row[lo:hi], t) * m + other[at], minlength=n * m).reshape(n, m)
+        lo = hi
+    return *sizes, inter
 
 
 def _partners(k: int, percent: int, least: int):
-    """The members of one block pair whose sketches allow for a link with a member of another component."""
+    """The members of one block pair whose sketches allow for a link with a member of another component.
+
+    They are given by smaller pairs of blocks (a, b) whose whole sets fit into a task: in each those that have a likely
+    partner there, likely partners being placed near each other.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        if not len(left) or not len(right):
-            return pdf.iloc[:0][["whole", "u", "i", "j", "side", "node"]]
-        a, b, inter = _overlaps(list(left["sketch"]), list(right["sketch"]))
-        union = a[:, None] + b[None, :] - inter
-        enough = inter >= np.where(union < k, -(-union * percent // 100), least)
-        n, m = left.n_shingles.to_numpy()[:, None], right.n_shingles.to_numpy()[None, :]
-        enough &= (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent) & (left.c.to_numpy()[:, None] != right.c.to_numpy()[None, :])
-        return pd.concat([left[enough.any(axis=1)], right[enough.any(axis=0)]])[["whole", "u", "i", "j", "side", "node"]]
+        out = []
+        if len(left) and len(right):
+            enough = np.zeros((len(left), len(right)), bool)
+            m, theirs = right.n_shingles.to_numpy()[None, :], right.c.to_numpy()[None, :]
+            for lo in range(0, len(left), STRIPE):
+                some = left.iloc[lo : lo + STRIPE]
+                a, b, inter = _overlaps(list(some["sketch"]), list(right["sketch"]))
+                union = a[:, None] + b[None, :] - inter
+                likely = inter >= np.where(union < k, -(-union * percent // 100), least)
+                n = some.n_shingles.to_numpy()[:, None]
+                enough[lo : lo + STRIPE] = likely & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent) & (some.c.to_numpy()[:, None] != theirs)
+            at = []
+            for side, table in ((enough, left), (enough.T, right)):
+                who = np.flatnonzero(side.any(axis=1))
+                who = who[np.argsort(side[who].argmax(axis=1), kind="stable")] if len(who) else who
+                at.append((who, np.cumsum(table.n_shingles.to_numpy()[who]) // BLOCK_SHINGLES))
+            (one, part_one), (two, part_two) = at
+            for a in np.unique(part_one):
+                for b in np.unique(part_two):
+                    i, j = one[part_one == a], two[part_two == b]
+                    cell = enough[np.ix_(i, j)]
+                    for table, who in ((left, i[cell.any(axis=1)]), (right, j[cell.any(axis=0)])):
+                        out.append(table.iloc[who][["whole", "u", "i", "j", "side", "node"]].assign(a=a, b=b))
+        empty = pdf.iloc[:0][["whole", "u", "i", "j", "side", "node"]].assign(a=0, b=0)
+        return pd.concat(out) if out else empty
 
     return run
 
@@ -124,8 +166,8 @@ def _partners(k: int, percent: int, least: int):
 def _block_links(num: int, den: int):
     """Links between the members on side 0 and those on side 1 of one block pair.
 
-    Gives for each member the smallest member that it is linked with through this block: as good as all its links for
-    components, and no more rows than members.
+    Gives each member that is linked with a smaller one, through others of the block too, with one member of its group:
+    as good as all its links for components, and no more rows than members.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -133,22 +175,18 @@ def _block_links(num: int, den: int):
         left, right = rows[rows.side == 0].reset_index(drop=True), rows[rows.side == 1].reset_index(drop=True)
         if not len(left) or not len(right):
             return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        a, b, inter = _overlaps(list(left.shingles), list(right.shingles))
-        linked = den * inter >= num * (a[:, None] + b[None, :] - inter)
-        i, j = np.nonzero(linked)
-        ids, n = np.concatenate([left.node.to_numpy(), right.node.to_numpy()]), len(left)
+        ids, root = np.unique(np.concatenate([left.node.to_numpy(), right.node.to_numpy()]), return_inverse=True)
+        mine, theirs = root[: len(left)], root[len(left) :]
         root = np.arange(len(ids))
-        for a, b in zip(i, n + j, strict=True):
-            while root[a] != a:
-                root[a] = root[root[a]]
-                a = root[a]
-            while root[b] != b:
-                root[b] = root[root[b]]
-                b = root[b]
-            if a != b:
-                root[max(a, b)] = min(a, b)
-        for x in range(len(ids)):
-            root[x] = root[root[x]]
+        for lo in range(0, len(left), STRIPE):
+            a, b, inter = _overlaps(list(left.shingles[lo : lo + STRIPE]), list(right.shingles))
+            linked = den * inter >= num * (a[:, None] + b[None, :] - inter)
+            for x, partners in zip(mine[lo : lo + STRIPE], linked, strict=True):
+                roots = np.unique(root[np.append(theirs[partners], x)])
+                if len(roots) > 1:
+                    hit = np.zeros(len(ids), bool)
+                    hit[roots] = True
+                    root[hit[root]] = roots[0]
         keep = root != np.arange(len(ids))
         return pd.DataFrame({"a": ids[keep], "b": ids[root[keep]]})
 
@@ -209,10 +247,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, k: int =
     # a whole sketch meets whole ones only if its largest partner, of n / t shingles, is whole too; else values are cut off
     whole = F.size("sketch") * 100 <= k * percent
     need = F.when(whole, F.ceil(F.size("sketch") * t)).otherwise(F.least(F.lit(c), F.ceil(F.size("sketch") * t))).cast("int")
-    held = values.join(often, "v").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"), F.sum(F.log2("df")).alias("typical"))
-    held = held.join(nodes.select("node", F.size("sketch").alias("s"), (F.size("sketch") - need + 1).alias("p")), "node")
+    rare = values.join(often, "v").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"), F.sum(F.log2("df")).alias("typical"))
+    rare = rare.join(nodes.select("node", F.size("sketch").alias("s"), (F.size("sketch") - need + 1).alias("p")), "node")
     room = F.greatest(F.lit(0), F.col("p") - (F.col("s") - F.size("vs")))
-    lists = held.select("node", (F.col("typical") / F.col("s")).alias("typical"), F.explode(F.slice("vs", F.lit(1), room)).alias("x"))
+    lists = rare.select("node", (F.col("typical") / F.col("s")).alias("typical"), F.explode(F.slice("vs", F.lit(1), room)).alias("x"))
     lists = scratch.keep(lists.select("node", "typical", F.col("x.v").alias("v"), F.ceil(F.col("x.df") / SALT_ROWS).cast("int").alias("m")))
 
     def with_hubs(members: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -228,9 +266,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, k: int =
         of_hub = of_hub.select(F.col("node").alias("hub"), "hs", *(F.col(x).alias(f"{x}_h") for x in table.columns if x != "node"))
         return pairs.join(table, "node").join(of_hub, ["hub", "hs"])
 
+    # most nodes are in no list: what follows reads the listed ones only
+    listed = scratch.keep(lists.select("node").distinct())
+    few = listed.count() <= BROADCAST_NODES
+    held = scratch.keep(nodes.join(F.broadcast(listed) if few else listed, "node", "left_semi").drop("fp1", "fp2"))
+
     def likely(pairs: DataFrame) -> DataFrame:
         """The pairs that the sketch of their union makes likely."""
-        both = beside_hub(pairs, nodes.select("node", "sketch", "n_shingles"))
+        both = beside_hub(pairs, held.select("node", "sketch", "n_shingles"))
         union = F.slice(F.array_sort(F.array_union("sketch", "sketch_h")), 1, k)
         shared = F.size(F.array_intersect(F.array_intersect(union, "sketch"), "sketch_h"))
         short = F.least("n_shingles", "n_shingles_h") * 100 >= F.greatest("n_shingles", "n_shingles_h") * percent
@@ -241,11 +284,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, k: int =
     close = scratch.keep(likely(scratch.keep(with_hubs(lists, lists))))
 
     # the whole set of each listed node, from one of its rows
-    wanted = nodes.join(lists.select("node").distinct(), "node", "left_semi").select("node", F.col("rep").alias("doc_id"), "text_hash")
+    wanted = held.select("node", F.col("rep").alias("doc_id"), "text_hash")
     again = some.groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows")).where("rows > 1").drop("rows")
-    wanted = scratch.keep(wanted)
-    # most texts are in no list: while the listed ones are few, only theirs travel
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted
+    # while the listed ones are few, only their texts travel
+    wanted = F.broadcast(wanted) if few else wanted
     texts = source.join(wanted, ["doc_id", "text_hash"]).select("node", "text")
     if again.limit(1).count():
         again = scratch.keep(again)
@@ -259,53 +301,71 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, k: int =
         checked = beside_hub(pairs, sets).withColumn("i", i)
         return checked.where(F.col("i") * 100 >= percent * (F.size("shingles") + F.size("shingles_h") - F.col("i"))).select(F.col("node").alias("a"), F.col("hub").alias("b"))
 
-    links = scratch.keep(linked(close))
-    joined = scratch.keep(components(scratch, links))
+    def merged(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
+        """(node, c) after further links (a, b), and the number of pairs of components that these join."""
+        new = links.join(labels.toDF("a", "x"), "a").join(labels.toDF("b", "y"), "b").where("x <> y")
+        new = scratch.keep(new.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+        n = new.count()
+        if n:
+            heads = components(scratch, new).toDF("c", "head")
+            labels = scratch.keep(labels.join(heads, "c", "left").select("node", F.coalesce("head", "c").alias("c")))
+        return labels, n
+
+    # the component of each listed node
+    labels, _ = merged(listed.select("node", F.col("node").alias("c")), scratch.keep(linked(close)))
 
     # lists that still join several components
-    opened = lists
-    for i in range(rounds + 1):
-        now = opened.join(joined.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-        opened = scratch.keep(_mixed(now))
+    opened = scratch.keep(_mixed(lists.join(labels, "node")))
+    for _ in range(rounds):
         counts = opened.groupBy("v", "c").agg(F.count("*").alias("n"), F.max("m").alias("m"))
-        main = counts.groupBy("v").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.max("m").alias("m"))
-        long = _by_list(opened, main.where(F.col("all") > BLOCK))
-        if i == rounds or not long.limit(1).count():
+        main = counts.groupBy("v").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("all"), F.max("m").alias("m"))
+        long = _by_list(opened, main.where(F.col("all") > LONG))
+        if not long.limit(1).count():
+            break
+        apart = counts.select("c").distinct().count()
+        more = likely(scratch.keep(with_hubs(long.select(*opened.columns), long.where("c <> main").select(*opened.columns))))
+        labels, n = merged(labels, scratch.keep(linked(scratch.keep(more))))
+        if n:
+            opened = scratch.keep(opened.drop("c").join(labels, "node"))
+        # hubs that join few of the components don't close lists: the rest is left to blocks
+        if n * 10 < apart:
             break
-        more = linked(scratch.keep(likely(with_hubs(long.select(*opened.columns), long.where("c <> main").select(*opened.columns)))))
-        links = scratch.keep(links.union(more))
-        joined = scratch.keep(components(scratch, links))
-        opened = opened.drop("c")
+        opened = scratch.keep(_mixed(opened))
     if opened.limit(1).count():
-        # lists that hang together are compared at once if they have few members, so that no pair comes up for each list
+        # lists that hang together are compared at once if they have few members or that takes fewer pairs than list by list
         heads = opened.groupBy("v").agg(F.min("node").alias("b"), F.max("m").alias("m"))
-        group = components(scratch, _by_list(opened, heads).select(F.col("node").alias("a"), "b"))
-        group = scratch.keep(group.withColumnRenamed("component", "g"))
-        size = group.groupBy("g").agg(F.count("*").alias("size"))
-        small = opened.join(group.join(size.where(F.col("size") <= GROUP), "g"), "node").select("g", "node", "c").distinct()
-        large = opened.join(group.join(size.where(F.col("size") > GROUP), "g"), "node").select("v", "node", "c")
-        units = small.select(F.lit(True).alias("whole"), F.col("g").alias("u"), "node", "c").union(large.select(F.lit(False), "v", "node", "c"))
+        group = components(scratch, _by_list(opened, heads).select(F.col("node").alias("a"), "b")).toDF("node", "g")
+        members = scratch.keep(group.join(labels, "node"))
+        of_group = opened.join(members.select("node", "g"), "node")
+
+        def work(rows: DataFrame, *unit: str) -> DataFrame:
+            """The members of each unit, and the pairs of those outside its largest component with all."""
+            counts = rows.groupBy(*unit, "c").agg(F.count("*").alias("n"))
+            return counts.groupBy(*unit).agg(F.sum("n").alias("all"), ((F.sum("n") - F.max("n")) * F.sum("n")).alias("pairs"))
+
+        by_list = work(of_group, "g", "v").groupBy("g").agg(F.sum("pairs").alias("by_list"))
+        way = scratch.keep(work(members, "g").join(by_list, "g").select("g", ((F.col("all") <= BLOCK) | (F.col("pairs") <= F.col("by_list"))).alias("whole")))
+        small = members.join(way.where("whole"), "g").select("whole", F.col("g").alias("u"), "node", "c")
+        large = of_group.join(way.where("not whole"), "g").select("whole", F.col("v").alias("u"), "node", "c")
+        units = small.union(large)
         unit = ["whole", "u"]
-        units = units.join(nodes.select("node", "n_shingles"), "node")
-        counts = units.groupBy(*unit, "c").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-        counts = counts.groupBy(*unit).agg(F.max_by(F.struct("c", "n", "s"), F.struct("n", "c")).alias("main"), F.sum("n").alias("all"), F.sum("s").alias("size"))
-        # a block's members are bounded by number and by the shingles that they have
-        parts = lambda n, s: F.greatest(F.ceil(n / BLOCK), F.least(n, F.ceil(s / BLOCK_SHINGLES))).cast("int")
-        left = parts(F.col("all") - F.col("main.n"), F.col("size") - F.col("main.s"))
-        blocks = counts.select(*unit, F.col("main.c").alias("main"), left.alias("left"), parts(F.col("all"), F.col("size")).alias("right"))
+        counts = units.groupBy(*unit, "c").agg(F.count("*").alias("n"))
+        counts = counts.groupBy(*unit).agg(F.max_by(F.struct("c", "n"), F.struct("n", "c")).alias("main"), F.sum("n").alias("all"))
+        parts = lambda n: F.ceil(n / BLOCK).cast("int")
+        blocks = counts.select(*unit, F.col("main.c").alias("main"), parts(F.col("all") - F.col("main.n")).alias("left"), parts(F.col("all")).alias("right"))
         # the members outside the largest component against all members
-        placed = scratch.keep(units.drop("n_shingles").join(blocks.where("left > 0"), unit))
+        placed = scratch.keep(units.join(blocks.where("left > 0"), unit))
         one = placed.where("c <> main").select(*unit, "node", "c", F.lit(0).alias("side"), _salt("left").alias("i"), _salts("right").alias("j"))
         two = placed.select(*unit, "node", "c", F.lit(1).alias("side"), _salt("right").alias("j"), _salts("left").alias("i")).select(*one.columns)
-        held = one.union(two).join(nodes.select("node", "sketch", "n_shingles"), "node")
-        hopeful = held.groupBy(*unit, "i", "j").applyInPandas(_partners(k, percent, c), "whole boolean, u long, i int, j int, side int, node long")
-        late = hopeful.join(sets, "node").groupBy(*unit, "i", "j").applyInPandas(_block_links(percent, 100), "a long, b long")
-        late = scratch.keep(late)
-        if late.limit(1).count():
-            joined = scratch.keep(components(scratch, links.union(late)))
+        both = one.union(two).join(held.select("node", "sketch", "n_shingles"), "node")
+        hopeful = both.groupBy(*unit, "i", "j").applyInPandas(_partners(k, percent, c), "whole boolean, u long, i int, j int, side int, node long, a long, b long")
+        hopeful = scratch.keep(hopeful)
+        hopeful = F.broadcast(hopeful) if hopeful.count() <= BROADCAST_NODES // 4 else hopeful
+        late = hopeful.join(sets, "node").groupBy(*unit, "i", "j", "a", "b").applyInPandas(_block_links(percent, 100), "a long, b long")
+        labels, _ = merged(labels, scratch.keep(late))
 
     # the component's least row stands for it
-    grouped = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    grouped = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("c", "node"))
     least = grouped.groupBy("component").agg(F.min(F.struct("rep", "text_hash")).alias("least"))
     ids = grouped.join(least, "component").select(*fingerprint, "least")
     rows = some.drop("sketch").join(ids, fingerprint)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from shardloom.llm.textbytes import prefix_hashes, slices, span_hashes, words
+from shardloom.llm.textbytes import SMALL_SLICE, prefix_hashes, slices, span_hashes, words
 
 PASSAGE_WORDS = 64
 #: Labelled documents that the model is fitted on, about, at most.
@@ -155,7 +155,7 @@ class Model:
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Labels with the encodings of TRAIN_PASSAGES passages at most of each text."""
     for batch in batches:
-        for row, data, offsets in slices(batch.column(1)):
+        for row, data, offsets in slices(batch.column(1), SMALL_SLICE):
             x, first = passages(data, offsets)
             spread = [np.linspace(a, b - 1, min(b - a, TRAIN_PASSAGES)).astype(np.int64) for a, b in zip(first[:-1], first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(spread)), pa.array([x[at].astype("<f4").tobytes() for at in spread], pa.binary())], ["quality", "x"])
@@ -164,7 +164,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _score(model: Model, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, data, offsets in slices(batch.column(0)):
+            for row, data, offsets in slices(batch.column(0), SMALL_SLICE):
                 x, first = passages(data, offsets)
                 score = model.score(x.astype(np.float64), first)[0]
                 yield pa.RecordBatch.from_arrays([*(c.slice(row, len(score)) for c in batch.columns), pa.array(score)], [*batch.schema.names, name])

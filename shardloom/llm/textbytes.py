@@ -21,6 +21,8 @@ BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 SLICE_BYTES = 2 << 20
+#: Where rows are handled one by one: a slice needs about fifty times its bytes for a moment.
+SMALL_SLICE = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -104,7 +106,7 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
 
     A text with fewer words than ``width`` gives its whole word sequence as one shingle; none without words.
     """
-    for _, data, offsets in slices(column):
+    for _, data, offsets in slices(column, SMALL_SLICE):
         data = _LOWER[data]
         start, end, by_row = words(data, offsets)
         codes = span_hashes(prefix_hashes(data), start, end)

@@ -4,18 +4,21 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from shardloom.llm import near_dedup, textbytes
 from shardloom.llm.common import Scratch, components, tokenizer_file
 from shardloom.llm.forest import near_duplicate_vectors, nearest_neighbours
 from shardloom.llm.mixing import mix_sources
 from shardloom.llm.near_dedup import least_shared, near_duplicates
 from shardloom.llm.packing import B, K1, Bm25, bm25_idf, pack_documents, pack_shard, routing_ranks
-from shardloom.llm.quality import fit_quality, held_out, passages, quality_scores, score_quality
+from shardloom.llm.quality import FEATURES, Model, _score, fit_quality, held_out, passages, quality_scores, score_quality
 from shardloom.llm.run_index import RunLengthIndex
 from shardloom.llm.sharding import assign_shards, write_shards
 from shardloom.llm.suffix_dedup import repeated_strings
@@ -145,6 +148,37 @@ def test_large_group_of_near_copies(spark):
     assert {i: r.component_id for i, r in got.items()} == closure(sets, links)
 
 
+def test_hubs_that_join_nothing_end_the_rounds(spark, monkeypatch):
+    """Hundreds of different texts on one template: their lists are searched for open ones once, not in each round."""
+    rng = random.Random(3)
+    page = [f"t{j}" for j in range(60)]
+    out = [(i, " ".join([*page, *(f"{i}x{j}" for j in range(34))])) for i in range(700)]
+    for i in range(0, 40, 2):  # few pairs among them
+        w = out[i][1].split()
+        w[rng.randrange(70, 90)] = "z"
+        out[i + 1] = (i + 1, " ".join(w))
+    calls, rows = [], near_dedup._mixed
+    monkeypatch.setattr(near_dedup, "_mixed", lambda x: calls.append(1) or rows(x))
+    monkeypatch.setattr(near_dedup, "BLOCK", 256)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 5000)
+    sets = {i: shingles(t) for i, t in out}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    got = by_id(near_duplicates(spark.createDataFrame(out, "doc_id long, text string")))
+    assert {i: r.component_id for i, r in got.items()} == closure(sets, links) and len(links) == 20
+    assert len(calls) == 1
+
+
+@pytest.mark.parametrize("dense", [1, 50, 10**9])
+def test_overlaps(monkeypatch, dense):
+    monkeypatch.setattr(near_dedup, "DENSE", dense)
+    monkeypatch.setattr(near_dedup, "PAIRS", 50)
+    rng = np.random.default_rng(5)
+    left, right = ([np.unique(rng.integers(-300, 300, n) // rng.integers(1, 20)) for n in rng.integers(0, 60, m)] for m in (40, 30))
+    a, b, inter = near_dedup._overlaps(left, right)
+    assert (a == [len(x) for x in left]).all() and (b == [len(x) for x in right]).all()
+    assert (inter == [[len(np.intersect1d(x, y)) for y in right] for x in left]).all()
+
+
 def test_short_text_in_a_longer_one(spark):
     # 63 shingles inside 84 and 80: a longer sketch keeps 64 values, so fewer of the common ones are seen
     pairs = []
@@ -170,6 +204,22 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(51)}, 100: 100, 101: 100, 102: 100}
 
 
+def test_memory_of_shingles_and_passages():
+    """A worker's memory for a batch of texts is far below a hundred MB, whatever the batch's size."""
+    batch = pa.record_batch([pa.array([" ".join(f"w{i * j % 997}" for j in range(600)) for i in range(4000)])], ["text"])
+    model = Model(np.zeros(FEATURES), np.ones(FEATURES), Model.fit(np.zeros((0, FEATURES)), np.zeros(1, int), np.zeros(0)).p)
+    for work in (lambda: shingle_count(textbytes.shingle_sets(batch.column(0), 5)), lambda: shingle_count(b.column(1) for b in _score(model, "s")(iter([batch])))):
+        textbytes._powers.cache_clear()
+        tracemalloc.start()
+        assert work() >= 4000
+        assert tracemalloc.get_traced_memory()[1] < 60e6
+        tracemalloc.stop()
+
+
+def shingle_count(parts):
+    return sum(map(len, parts))
+
+
 # vectors
 
 VECTORS = "vec_id long, embedding array<float>, label int, leaf long, bits string"
