@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from shardloom.llm.anchors import GRAM, anchors, gram_hashes
 from shardloom.llm.common import Scratch
 from shardloom.llm.run_index import RunLengthIndex
-from shardloom.llm.textbytes import mix, prefix_hashes, slices, span_hashes
+from shardloom.llm.textbytes import SMALL_SLICE, mix, prefix_hashes, slices, span_hashes
 
 #: Anchors that one task groups at a time, about, and bytes in one index, about.
 BUCKET_ANCHORS = 500_000
@@ -37,7 +37,7 @@ SPANS = "doc_id long, covered binary, tests binary, hot binary"
 
 def _places(column: pa.Array, use: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets, row, place, hash) of the anchors in runs of rows of a batch."""
-    for first, data, offsets in slices(column):
+    for first, data, offsets in slices(column, SMALL_SLICE):
         hashes, rows, places = gram_hashes(data), [], []
         for i in range(len(offsets) - 1):
             if use[first + i]:
@@ -209,7 +209,7 @@ def _matched(length: int):
         code = [np.zeros(len(table), np.uint64) for _ in range(2)]
         full = [np.zeros(len(table), bool) for _ in range(2)]
         for chunk in table.column("bytes").chunks:
-            for first, data, offsets in slices(chunk):
+            for first, data, offsets in slices(chunk, SMALL_SLICE):
                 here, n = slice(row + first, row + first + len(offsets) - 1), np.diff(offsets)
                 prefix = prefix_hashes(data)
                 # of the bytes around the anchor, half of those before or after it must be elsewhere too
@@ -256,7 +256,7 @@ def _cut(keep_text: bool, length: int):
     side = length - GRAM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(lo, 500) for b in batches for lo in range(0, len(b), 500)):
             rows = []
             for doc_id, text, places, parts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):  # others are carried
                 data = (text or "").encode()

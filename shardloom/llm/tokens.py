@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
-from shardloom.llm.textbytes import _LOWER, prefix_hashes, slices, span_hashes
+from shardloom.llm.textbytes import _LOWER, SMALL_SLICE, prefix_hashes, slices, span_hashes
 
 #: First bytes of characters that may be white space beyond ASCII, and ASCII control characters: no cut before them.
 _NO_CUT = np.zeros(256, dtype=bool)
@@ -82,7 +82,7 @@ class PieceEncoder:
 
     def batch(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each row's text, in order; none for a null or empty text."""
-        for _, data, offsets in slices(column):
+        for _, data, offsets in slices(column, SMALL_SLICE):
             whole = self._with_added(data, offsets)
             for i, ids in enumerate(self._rows(data, offsets)):
                 yield whole.get(i, ids)

@@ -21,7 +21,7 @@ from shardloom.llm.packing import B, K1, Bm25, bm25_idf, pack_documents, pack_sh
 from shardloom.llm.quality import FEATURES, Model, _score, fit_quality, held_out, passages, quality_scores, score_quality
 from shardloom.llm.run_index import RunLengthIndex
 from shardloom.llm.sharding import assign_shards, write_shards
-from shardloom.llm.suffix_dedup import repeated_strings
+from shardloom.llm.suffix_dedup import _anchors, _cut, repeated_strings
 from shardloom.llm.token_tables import lookup, read_manifest, read_tables, write_tables
 from shardloom.llm.tokens import encoder
 from shardloom.llm.warc import find_captures, read_captures, read_records, surt, write_archive
@@ -216,6 +216,27 @@ def test_memory_of_shingles_and_passages():
         tracemalloc.stop()
 
 
+def test_memory_of_anchors_cuts_and_tokens():
+    """The same holds for a batch's anchors, for what is left of its texts, and for their ids."""
+    text = pa.array([" ".join(f"w{i * j % 997}" for j in range(600)) for i in range(4000)])
+    ids, e = pa.array(range(4000)), encoder(tokenizer_file("byte_bpe_50k.json"))
+    spans = pa.array([[np.array([0, 60], "<i8").tobytes()]] * 4000, pa.list_(pa.binary()))
+    batch = pa.record_batch([ids, text, pa.nulls(4000, pa.list_(pa.binary())), spans, ids], ["doc_id", "text", "covered", "spans", "row"])
+    cut = pa.concat_arrays([b.column("text") for b in _cut(True, 50)(iter([batch]))])
+    assert cut.to_pylist() == [t[60:] for t in text.to_pylist()]
+    works = [
+        (60e6, lambda: shingle_count(b.column(1) for b in _anchors(50, 7, np.zeros(0, np.uint64))(iter([batch.select([0, 1])])))),
+        (10e6, lambda: shingle_count(b.column(0) for b in _cut(True, 50)(iter([batch])))),
+        (60e6, lambda: shingle_count(e.batch(text))),
+    ]
+    for most, work in works:
+        textbytes._powers.cache_clear()
+        tracemalloc.start()
+        assert work() > 0
+        assert tracemalloc.get_traced_memory()[1] < most
+        tracemalloc.stop()
+
+
 def shingle_count(parts):
     return sum(map(len, parts))
 
