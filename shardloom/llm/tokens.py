@@ -33,6 +33,17 @@ MEMORY_PIECES = 3_000_000
 _RECENT = 200_000
 
 
+def _codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the pieces that follow each other in ``data``, by slices of about SMALL_SLICE bytes."""
+    out, i = np.zeros(len(start), np.uint64), 0
+    while i < len(start):
+        first = start[i]
+        j = max(i + 1, int(np.searchsorted(end, first + SMALL_SLICE, side="right")))
+        out[i:j] = span_hashes(prefix_hashes(data[first : end[j - 1]]), start[i:j] - first, end[i:j] - first)
+        i = j
+    return out
+
+
 class PieceEncoder:
     """Encodes batches of texts with one tokenizer file."""
 
@@ -82,7 +93,7 @@ class PieceEncoder:
 
     def batch(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each row's text, in order; none for a null or empty text."""
-        for _, data, offsets in slices(column, SMALL_SLICE):
+        for _, data, offsets in slices(column):
             whole = self._with_added(data, offsets)
             for i, ids in enumerate(self._rows(data, offsets)):
                 yield whole.get(i, ids)
@@ -112,7 +123,7 @@ class PieceEncoder:
         cut[offsets] = True
         start = np.flatnonzero(cut[:-1])
         end = np.append(start[1:], len(data))
-        codes, distinct = pd.factorize(span_hashes(prefix_hashes(data), start, end))
+        codes, distinct = pd.factorize(_codes(data, start, end))
         if len(self.starts) + len(distinct) > MEMORY_PIECES:
             self._forget()
         slots = self._find(distinct)
